@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from .packing import op5_packing
 from .quality_rules import op1_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_packing)}
 ORACLE_SQL: dict[str, str] = {}
