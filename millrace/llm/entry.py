@@ -8,9 +8,10 @@ from .license_scan import op3_license_scan
 from .license_scan import oracle_sql as license_sql
 from .packing import op5_packing
 from .personal_data import op6_personal_data
+from .quality_model import op7_quality_model
 from .quality_rules import op1_quality_rules
 from .revisits import op4_revisits
 from .shingle_join import op8_shingle_join
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, op4_revisits, op5_packing, op6_personal_data, op8_shingle_join, op10_fingerprints)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, op4_revisits, op5_packing, op6_personal_data, op7_quality_model, op8_shingle_join, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql()}
