@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import quality_rules
+from millrace.llm import language_id, packing, personal_data, quality_rules, shingle_join
 from millrace.llm.shared import materialize, table
 
 
@@ -13,7 +14,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language isn't clear go."""
+    return language_id.keep_documents(spark, docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates, the document with the smallest id stays."""
+    return shingle_join.one_of_each(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts gives way to its kind; n_chars follows the text."""
+    clean = personal_data.redact(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents that are left, as token pieces placed in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", private),
+    ("packing", packed),
+]
 
 #: Compression ratios, trained likelihoods and tokenizers are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
