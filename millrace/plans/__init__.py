@@ -1 +1,3 @@
+"""Registered queries; importing this package registers all of them."""
 
+from . import advantage_queries, batch_queries, catalog, metric_queries  # noqa: F401
