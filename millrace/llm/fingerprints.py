@@ -120,7 +120,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     shared = hashed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     members = hashed.where("doc_id is not null").join(shared, "fingerprint", "left_semi").select("doc_id").distinct()
 
-    spread = docs.where("doc_id is not null").repartition(partitions(spark), "doc_id")
+    spread = docs.where("doc_id is not null")
     heads = (
         spread.join(links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("of"), "quarter"), "doc_id")
         .select("of", F.struct(wide_hash(canonical(F.col("text"))).alias("fingerprint"), F.expr("left(text, quarter)").alias("head")).alias("next"))
