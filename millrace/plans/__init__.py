@@ -1,3 +1,3 @@
 """Registered queries; importing this package registers all of them."""
 
-from . import advantage_queries, batch_queries, catalog, metric_queries, policy_queries  # noqa: F401
+from . import advantage_queries, batch_queries, catalog, metric_queries, policy_queries, scoring_queries  # noqa: F401
