@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..functions.scoring import overlong_penalty, score_at_last
 
@@ -106,7 +107,5 @@ def rate_limited(df: DataFrame, call: Callable[[str], float], text: str, request
                     failed.append(True)
             yield part.assign(reward=rewards, failed=failed)
 
-    from pyspark.sql.types import BooleanType, DoubleType
-
-    schema = df.schema.add("reward", DoubleType()).add("failed", BooleanType())
+    schema = StructType([*df.schema.fields, StructField("reward", DoubleType()), StructField("failed", BooleanType())])
     return df.mapInPandas(score, schema)
