@@ -210,8 +210,8 @@ def _votes(kind: Kind) -> str:
         'line_start', if(x.left = '' or x.left rlike '\\n$', 1, 0)))"""
 
 
-def candidates(df: DataFrame, text_col: str, keep: list[str], kinds=KINDS) -> DataFrame:
-    """``keep`` and ``found``: the array of all candidate spans of each row, kinds in order, then by start."""
+def candidates(df: DataFrame, text_col: str, keep: list[str], kinds=KINDS, out: str = "found") -> DataFrame:
+    """``keep`` and ``out``: the array of all candidate spans of each row, kinds in order, then by start."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = [F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(keep)]
     held = [f"own_{k}" for k in range(len(keep))]
@@ -222,7 +222,7 @@ def candidates(df: DataFrame, text_col: str, keep: list[str], kinds=KINDS) -> Da
     x = x.select(*held, *[F.when(F.col(f"g_{k.name}").isNotNull(), _spans(k)).otherwise(F.slice(_spans(k), 1, 0)).alias(f"s_{k.name}") for k in kinds])
     empty = "array()"
     parts = ", ".join(f"coalesce({_votes(k)}, {empty})" for k in kinds)
-    return x.select(*[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], F.expr(f"concat({parts})").alias("found"))
+    return x.select(*[F.col(h).alias(c) for h, c in zip(held, keep, strict=True)], F.expr(f"concat({parts})").alias(out))
 
 
 def pattern_counts(found: DataFrame) -> list[dict]:
@@ -311,7 +311,7 @@ def personal_data(
     all of them. No row is shuffled, so no source or copy can be hot.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
-    found = materialize(candidates(df, text_col, keep, kinds).withColumnRenamed("found", "__found__"), "spans")
+    found = materialize(candidates(df, text_col, keep, kinds, "__found__"), "spans")
     weights = train(pattern_counts(found.select(F.col("__found__").alias("found"))))
     base = ", ".join(f"'{k.name}'" for k in kinds if k.base)
     scored = f"transform(__found__, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'score', {score(weights)}))"
