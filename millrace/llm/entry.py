@@ -11,8 +11,9 @@ from .personal_data import op6_personal_data
 from .piece_codec import op9_piece_codec
 from .quality_model import op7_quality_model
 from .quality_rules import op1_quality_rules
+from .revisits import ORACLE_SQL as REVISIT_SQL
 from .revisits import op4_revisits
 from .shingle_join import op8_shingle_join
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, op4_revisits, op5_packing, op6_personal_data, op7_quality_model, op8_shingle_join, op9_piece_codec, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql()}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "op4_revisits": REVISIT_SQL}

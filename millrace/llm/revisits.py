@@ -149,3 +149,24 @@ def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.floor(F.col("record_id") / 2).cast("bigint").alias("page_id"), "record_id", "canonical", F.unix_seconds("captured").alias("captured_s"), "response_id", "validator", "valid", F.array_join(listed, "; ").alias("headers")
     )
+
+
+ORACLE_SQL = r"""
+with base as (select page_id, md5(coalesce(html, '')) as digest, coalesce(cast(length(html) as varchar), '0') as size,
+    regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as bare from pages where page_id is not null),
+cut as (select *, regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^(www|m)\.|:(80|443)$', '', 'g') as host, regexp_replace(bare, '^[^/?]*', '') as rest from base),
+parted as (select *, regexp_replace(regexp_replace(rest, '\?.*$', ''), '(\.html?|/)+$', '') as path,
+    case when contains(rest, '?') then regexp_replace(regexp_replace(regexp_replace(rest, '^[^?]*\?', ''), '(?i)(^|&)(utm_[a-z]+|fbclid|gclid|ref|sessionid|phpsessid)=[^&]*', '', 'g'), '^&', '') else '' end as query from cut),
+page as (select page_id, host || path || case when query <> '' then '?' || query else '' end as canonical, size, page_id % 5 = 0 as dated, 'day ' || (page_id // 1440) as day, '"' || substr(digest, 1, 16) || '"' as tag from parted),
+responses as (select *, 2 * page_id as record_id, 1700000000 + 60 * page_id as t from page),
+revisits as (select *, 2 * page_id + 1 as record_id, 1700000000 + 60 * (3 * page_id + 7) as t, case when page_id % 7 = 0 then '"outdated"' else 'W/' || tag end as sent from page),
+met as (select r.page_id, r.record_id, r.canonical, r.t, r.dated, r.day, r.sent, f.record_id as response_id, f.dated as was_dated, f.day as was_day, f.tag as was_tag, f.size as was_size
+    from revisits r asof left join responses f on r.canonical = f.canonical and r.t > f.t),
+judged as (select *, case when response_id is null then 'none' when not dated and not was_dated then 'etag' when dated and was_dated then 'last-modified' else 'none' end as validator,
+    case when response_id is null then false when not dated and not was_dated then regexp_replace(sent, '^W/', '') = was_tag when dated and was_dated then day = was_day else true end as valid from met)
+select page_id, record_id, canonical, t as captured_s, response_id, validator, valid,
+    'age: ' || (page_id % 60) || case when valid then '; content-length: ' || was_size || '; content-type: text/html' else '; content-length: 0' end
+    || case when not dated then '; etag: ' || sent when valid and not was_dated then '; etag: ' || was_tag else '' end
+    || case when dated then '; last-modified: ' || day when valid and was_dated then '; last-modified: ' || was_day else '' end as headers
+from judged
+"""
