@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_OWN_DIRS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,12 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a session that names none (tests,
-    local mode) gets a temporary folder of its own, which is then kept in that setting.
+    local mode) gets a temporary folder, one for the whole application.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set(CHECKPOINT_KEY, found)
+        application = spark.sparkContext.applicationId
+        if application not in _OWN_DIRS:
+            _OWN_DIRS[application] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        found = _OWN_DIRS[application]
     return found.rstrip("/")
 
 
