@@ -26,8 +26,21 @@ _CACHE_ENTRIES = 300_000
 _CACHED_CHARS = 48
 _HEAP_FROM = 40
 
-#: No piece goes on into the white space after other characters, so units can be encoded one by one.
-_UNITS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+
+
+def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Cuts text where no piece goes on, so that units can be encoded one by one.
+
+    No piece goes on into the white space after other characters. If none joins letters and other characters either,
+    units end there too, and far fewer of them differ. Which it is, the pieces say.
+    """
+    pieces = list(pieces)
+    coarse = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    word = re.compile(r"[^\W\d_]")
+    numerals = re.escape("".join(sorted({c for p in pieces for c in p if word.match(c) and not c.isalpha()})))
+    letter = f"[^\\W\\d_{numerals}]"
+    fine = re.compile(f"{SPACE}*(?:{letter}+|(?:(?!{letter})[^{SPACE}])+)|{SPACE}+")
+    return fine if all(len(fine.findall(p)) == 1 for p in pieces) else coarse
 
 
 class PieceVocabulary:
@@ -46,6 +59,7 @@ class PieceVocabulary:
         self.unknown = model.unk_id()
         self.falls_back = all(model.is_byte(k) for k in self.byte_ids)
         self.longest = max(map(len, self.ids))
+        self.cut = unit_pattern(self.ids).findall
         #: Bytes that an id stands for; control ids stand for none.
         self.bytes = [b""] * size
         for piece, k in self.ids.items():
@@ -231,14 +245,17 @@ class PieceCodec:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; an empty text has none."""
-        split = [_UNITS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {u for units in split for u in units if u not in self.units}
-        here = self._learn(new) if new else {}
-        merged = _Either(self.units, here).__getitem__ if here else self.units.__getitem__
-        out = [b"".join(map(merged, units)) for units in split]
-        if len(self.units) + len(here) > _CACHE_ENTRIES:
-            self.units.clear()
-        self.units.update((u, v) for u, v in here.items() if len(u) <= _CACHED_CHARS)
+        units, cut = self.units, self.vocabulary.cut
+        split = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        new = {u for parts in split for u in parts if u not in units}
+        if new:
+            units.update(self._learn(new))
+        out = [b"".join(map(units.__getitem__, parts)) for parts in split]
+        if len(units) > _CACHE_ENTRIES:
+            units.clear()
+        else:
+            for u in [u for u in new if len(u) > _CACHED_CHARS]:
+                del units[u]
         return out
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -247,15 +264,6 @@ class PieceCodec:
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", errors="replace")
 
 
-class _Either:
-    def __init__(self, first: dict, second: dict):
-        self.first, self.second = first, second
-
-    def __getitem__(self, key: str) -> bytes:
-        found = self.first.get(key)
-        return self.second[key] if found is None else found
-
-
 def _slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
     held, size = [], 0
     for t in texts:
