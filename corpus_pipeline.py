@@ -10,8 +10,8 @@ from millrace.llm.shared import materialize, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands reject go."""
-    return quality_rules.keep_documents(docs)
+    """Documents that the compression bands reject go; the lower limits are fitted to all documents."""
+    return quality_rules.keep_documents(docs, **quality_rules.fit_limits(docs))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

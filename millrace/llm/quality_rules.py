@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -33,6 +34,16 @@ CHUNK_BAND = (0.24, 0.74)
 CHUNK_SHARE = 0.5
 LEVEL = 3
 
+#: Fitted limits: bands of half an octave; a ratio is low from this many robust deviations under its band's median on.
+FIT_EDGES = tuple(round(2 ** (k / 2)) for k in range(14, 35))
+FIT_DISTANCE = 3.5
+#: Different texts (or their chunks) that a band needs before its own distribution counts; others keep the fixed limits.
+FIT_LEAST = 100
+#: Deviations count as this share of the median at least, so that a band full of near copies doesn't reject the rest.
+FIT_FLOOR = 0.015
+#: Cells of a ratio's histogram in one unit of ratio.
+FIT_CELLS = 2000
+
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 _CONTINUATION = bytes(range(0x80, 0xC0))
@@ -83,25 +94,32 @@ def base_counts(raw: bytes) -> tuple[int, int, int, int, int]:
     )
 
 
+def passes_base(counts: Sequence[int]) -> bool:
+    return not (counts[0] < 50 or 100 * counts[4] > 50 * counts[0])
+
+
+def chunks_of(raw: bytes, chunk_bytes: int) -> list[bytes]:
+    """Chunks of a text that is longer than one; a short tail is judged with the whole text only."""
+    if len(raw) <= chunk_bytes:
+        return []
+    cut = (raw[at : at + chunk_bytes] for at in range(0, len(raw), chunk_bytes))
+    return [c for c in cut if 2 * len(c) >= chunk_bytes]
+
+
 def measure(raw: bytes, press, bands=BANDS, chunk_bytes=CHUNK_BYTES, chunk_band=CHUNK_BAND, share=CHUNK_SHARE) -> tuple:
     """One row of RESULT for one text."""
     counts = base_counts(raw)
-    n_words, n_repeat = counts[0], counts[4]
-    base_failed = n_words < 50 or 100 * n_repeat > 50 * n_words
+    base_failed = not passes_base(counts)
     if not raw:
         return (*counts, base_failed, None, 0.0, 0.0, "empty", False)
     ratio = len(press(raw)) / len(raw)
     lowest, highest = next((lo, hi) for most, lo, hi in bands if len(raw) <= most)
     low = high = checked = 0
-    if len(raw) > chunk_bytes:
-        for at in range(0, len(raw), chunk_bytes):
-            chunk = raw[at : at + chunk_bytes]
-            if 2 * len(chunk) < chunk_bytes:  # a short tail is judged with the whole text only
-                continue
-            checked += len(chunk)
-            r = len(press(chunk)) / len(chunk)
-            low += len(chunk) * (r < chunk_band[0])
-            high += len(chunk) * (r > chunk_band[1])
+    for chunk in chunks_of(raw, chunk_bytes):
+        checked += len(chunk)
+        r = len(press(chunk)) / len(chunk)
+        low += len(chunk) * (r < chunk_band[0])
+        high += len(chunk) * (r > chunk_band[1])
     low_share, high_share = (low / checked, high / checked) if checked else (0.0, 0.0)
     reason = (
         "base"
@@ -136,6 +154,55 @@ def compression_rules(text: Column, bands=BANDS, chunk_bytes=CHUNK_BYTES, chunk_
     return rules.asNondeterministic()(text)
 
 
+def ratio_cells(raw: bytes, press, chunk_bytes: int = CHUNK_BYTES) -> list[tuple[int, int]]:
+    """(band, cell) of a text's ratio and, as band -1, of its chunks' ratios; none if the base rule rejects it."""
+    if not passes_base(base_counts(raw)):
+        return []
+    cells = [(bisect_left(FIT_EDGES, len(raw)), raw)] + [(-1, c) for c in chunks_of(raw, chunk_bytes)]
+    return [(band, round(FIT_CELLS * len(press(x)) / len(x))) for band, x in cells]
+
+
+def lowest_usual(cells: dict[int, int]) -> float | None:
+    """The ratio FIT_DISTANCE robust deviations under the median of a histogram; None if it has too few entries."""
+    if sum(cells.values()) < FIT_LEAST:
+        return None
+    at = np.array(sorted(cells))
+    n = np.array([cells[x] for x in at])
+    middle = at[np.searchsorted(np.cumsum(n), n.sum() / 2)]
+    away = np.abs(at - middle)
+    order = np.argsort(away, kind="stable")
+    deviation = 1.4826 * away[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]
+    return float(middle - FIT_DISTANCE * max(deviation, FIT_FLOOR * middle)) / FIT_CELLS
+
+
+def fit_limits(df: DataFrame, text_col: str = "text") -> dict:
+    """``bands`` and ``chunk_band`` for the functions here, from the ratios of all texts of ``df``.
+
+    Lower limits rise to a robust distance under the median of the length band's own distribution; a band
+    with few texts keeps the fixed limit, and none falls under it. Upper limits stay fixed. Equal texts
+    count once. One grouped count, whose rows the grid bounds, goes to the driver.
+    """
+
+    @arrow_udf("array<struct<band int, cell int>>")
+    def cells_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        press = zstandard.ZstdCompressor(level=LEVEL).compress
+        kind = pa.list_(pa.struct([("band", pa.int32()), ("cell", pa.int32())]))
+        for texts in batches:
+            raw = texts.cast(pa.binary() if pa.types.is_string(texts.type) else pa.large_binary())
+            yield pa.array([[{"band": b, "cell": c} for b, c in ratio_cells(x.as_py() or b"", press)] for x in raw], type=kind)
+
+    text = F.col(f"`{text_col}`")
+    once = df.select(F.xxhash64(text).alias("digest"), cells_of.asNondeterministic()(text).alias("cells")).groupBy("digest").agg(F.any_value("cells").alias("cells"))
+    found: dict[int, dict[int, int]] = {}
+    for r in once.select(F.inline("cells")).groupBy("band", "cell").count().collect():
+        found.setdefault(r["band"], {})[r["cell"]] = r["count"]
+    bands = []
+    for k, most in enumerate((*FIT_EDGES, BANDS[-1][0])):
+        lowest, highest = next((lo, hi) for size, lo, hi in BANDS if most <= size)
+        bands.append((most, max(lowest, lowest_usual(found.get(k, {})) or lowest), highest))
+    return {"bands": tuple(bands), "chunk_band": (max(CHUNK_BAND[0], lowest_usual(found.get(-1, {})) or 0.0), CHUNK_BAND[1])}
+
+
 def quality_rules(df: DataFrame, text_col: str = "text", out: str = "quality_rules", **limits) -> DataFrame:
     """``df`` with one struct column ``out`` that holds the counts, ratios, reason and verdict.
 
@@ -155,4 +222,4 @@ def keep_documents(df: DataFrame, text_col: str = "text", **limits) -> DataFrame
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality_rules(docs).select("doc_id", "quality_rules.*")
+    return quality_rules(docs, **fit_limits(docs)).select("doc_id", "quality_rules.*")

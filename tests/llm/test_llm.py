@@ -59,6 +59,24 @@ def test_quality_odd(spark, odd_docs, odd_texts, no_docs):
     assert kept.columns == odd_docs.columns and {r["doc_id"] for r in kept.collect()} >= {1, 2, 3}
 
 
+def test_quality_fitted(spark):
+    """Litter of few symbol runs compresses better than prose of its length, by less than the fixed limits ask for."""
+    import random
+
+    draw = random.Random(8)
+    vocabulary = ["".join(draw.choice("etaoinshrdlucmfw") for _ in range(draw.randint(2, 9))) for _ in range(3000)]
+    prose = [" ".join(draw.choices(vocabulary, k=draw.randint(420, 470))) for _ in range(400)]
+    litter = [" ".join(x + draw.choice(["###", "$$$", "%%%", "&&&"]) for x in draw.choices(vocabulary[:150], k=draw.randint(280, 310))) for _ in range(20)]
+    copies = [prose[0]] * 600
+    df = spark.createDataFrame(list(enumerate(prose + litter + copies)), "doc_id int, text string").repartition(3)
+    limits = quality_rules.fit_limits(df)
+    assert quality_rules.keep_documents(df).count() == 1020
+    kept = {r["doc_id"] for r in quality_rules.keep_documents(df, **limits).collect()}
+    assert not kept & set(range(400, 420)) and len(kept & set(range(400))) >= 396 and kept >= set(range(420, 1020))
+    few = quality_rules.fit_limits(df.limit(30))
+    assert few["chunk_band"] == quality_rules.CHUNK_BAND and {(lo, hi) for _, lo, hi in few["bands"]} == {(lo, hi) for _, lo, hi in quality_rules.BANDS}
+
+
 # ---- 2
 
 
