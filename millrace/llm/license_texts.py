@@ -1,4 +1,12 @@
-"""Texts of known licences and the short notices that stand for one (fixed values)."""
+"""Texts of known licences and the short notices that stand for one (fixed values).
+
+The folder ``licenses`` beside this file has complete texts as their publishers give them; ``--`` in a file name is ``:``.
+"""
+
+from __future__ import annotations
+
+import re
+from pathlib import Path
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO '
@@ -66,3 +74,32 @@ LICENSES: dict[str, str] = {
     + "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n"
     + "3. This notice may not be removed or altered from any source distribution.",
 }
+
+#: Headings that are often put over a text which has none of its own.
+_TITLES = {
+    "BSD-2-Clause": ("BSD 2-Clause License",),
+    "BSD-3-Clause": ("BSD 3-Clause License",),
+    "ISC": ("ISC License", "The ISC License"),
+    "MIT": ("The MIT License", "The MIT License (MIT)"),
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _complete() -> dict[str, str]:
+    """The texts of the folder, and the forms of them in which the appendix is left out or filled in."""
+    found = {}
+    for path in sorted(Path(__file__).with_name("licenses").glob("*.txt")):
+        name, body = path.stem.replace("--", ":"), path.read_text(encoding="utf-8")
+        found[name] = body
+        if _END in body:
+            terms = body[: body.index(_END)]
+            found[f"{name}:terms"] = terms + _END
+            found[f"{name}:terms without end"] = terms
+        filled = re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", body)
+        if filled != body:  # a copyright line that names someone is no part of the canonical text
+            found[f"{name}:filled in"] = filled
+    return found
+
+
+LICENSES |= _complete()
+LICENSES |= {f"{name}:title {k}": f"{title}\n\n{LICENSES[name]}" for name, titles in _TITLES.items() for k, title in enumerate(titles, 1)}

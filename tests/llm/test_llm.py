@@ -8,6 +8,7 @@ import itertools
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import compare
@@ -135,6 +136,21 @@ def test_license_variants(spark, no_docs):
     assert license_scan.scan_licenses(no_docs).count() == 0
 
 
+def test_license_complete(spark, tmp_path):
+    whole = {p.stem.replace("--", ":"): p.read_text() for p in (Path(license_scan.__file__).parent / "licenses").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"} <= set(whole)
+    names = sorted(whole)
+    filled = whole["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2021 Some Body")
+    terms = whole["GPL-3.0"].split("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS\n"
+    texts = [*(whole[n] for n in names), filled, terms, "The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n" + LICENSES["MIT"], whole["GPL-2.0"][:-200]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    folder = table_of(spark, docs, tmp_path)
+    query = entry.QUERIES["op3_license_scan"](spark, folder)
+    expected = [*names, "Apache-2.0:filled in", "GPL-3.0:terms", "MIT:title 2", None]
+    assert {r["doc_id"]: r["license_id"] for r in query.collect()} == dict(enumerate(expected))
+    assert not compare.difference(query, compare.connect(folder), entry.ORACLE_SQL["op3_license_scan"])
+
+
 # ---- 4
 
 
