@@ -154,6 +154,16 @@ def tool_call_table(spark, sf_dir):
     return spark.sql("select event_id as k, cast(p.call_no as bigint) as call_no, p.name from calls_of_events, lateral parse_tool_calls(t) p")
 
 
+@query("tool_call_table_all", "select event_id as k, c as call_no, event_type as name from events, range(2) t(c)")
+def tool_call_table_all(spark, sf_dir):
+    """As tool_call_table, over every event."""
+    e = load(spark, sf_dir, "events")
+    call = F.concat(F.lit('<tool_call>{"name": "'), F.col("event_type"), F.lit('", "arguments": {}}</tool_call>'))
+    e.select("event_id", F.concat(call, F.lit(" x "), call).alias("t")).createOrReplaceTempView("calls_of_all_events")
+    spark.udtf.register("parse_tool_calls", T.ParseToolCalls)
+    return spark.sql("select event_id as k, cast(p.call_no as bigint) as call_no, p.name from calls_of_all_events, lateral parse_tool_calls(t) p")
+
+
 @query("media_placeholder_split", "select p_partkey as k, 3 + (p_partkey % 2) as n, 1 + (p_partkey % 2) as media from part")
 def media_placeholder_split(spark, sf_dir):
     k = F.col("p_partkey")

@@ -287,3 +287,11 @@ def test_ring_pool_stream(spark, tmp_path):
     rows = run_stream(spark, tmp_path, lambda s: stateful.ring_pool_stream(s, "k", "good", "n", "v", 2), "update")
     final = [r for r in rows if r["k"] == 0][-1]
     assert sorted(json.loads(final["positives"])) == ["e18", "e24"] and sorted(json.loads(final["negatives"])) == ["e26", "e28"]
+
+
+def test_tool_calls_of_all_events(spark, sf_dir):
+    from millrace.plans.catalog import QUERIES
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    found = QUERIES["tool_call_table_all"](spark, sf_dir).groupBy("k").count().collect()
+    assert len(found) == events and {r["count"] for r in found} == {2}
