@@ -11,7 +11,9 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
+
+from . import grading
 
 SCORERS: dict[str, Callable[[Column, Column], Column]] = {}
 
@@ -96,6 +98,20 @@ def question_score(solution: Column, golden: Column, format_score: float = 0.0,
     return F.when(answer.isNull(), 0.0).when(hit, F.when(tags > 10, score / 4).otherwise(score)).otherwise(format_score)
 
 
+def golden_answers(truth: Column) -> Column:
+    """Answers in a text: ``{"target": answer or list}``, a JSON list, or one plain answer."""
+    one = F.get_json_object(truth, "$.target")
+    return F.coalesce(F.from_json(truth, "target array<string>")["target"], F.when(one.isNotNull(), F.array(one)), F.from_json(truth, "array<string>"), F.array(truth))
+
+
+@register_scorer(*[f"searchR1_{x}" for x in ("nq", "triviaqa", "popqa", "hotpotqa", "2wikimultihopqa", "musique", "bamboogle")])
+def searched_question_score(solution: Column, truth: Column) -> Column:
+    """As question_score, but opening or closing tags alone must be more than ten for the quarter."""
+    answer = tagged_answer(solution)
+    many = (F.regexp_count(solution, F.lit("<answer>")) > 10) | (F.regexp_count(solution, F.lit("</answer>")) > 10)
+    return F.when(answer.isNull(), 0.0).when(exact_match(answer, golden_answers(truth)), F.when(many, 0.25).otherwise(1.0)).otherwise(0.0)
+
+
 # ---- formats
 
 
@@ -122,6 +138,20 @@ def tool_format(response: Column, answer: Column) -> Column:
     return F.when(shape, 1.0).otherwise(0.0)
 
 
+@F.pandas_udf(DoubleType())
+def tool_correctness(response: pd.Series, answer: pd.Series) -> pd.Series:
+    """From -3 to 3: how well the response's calls match those of the answer; 0 if it has none."""
+    return pd.Series([grading.tool_correctness(r, a) for r, a in zip(response, answer, strict=True)], dtype="float64")
+
+
+def tool_reward(solution: Column, answer: Column, markup: str) -> Column:
+    """Struct (score, format_reward, accuracy_reward) of the last assistant turn in the ``llama`` or ``qwen`` markup."""
+    start, end = {"llama": ("<|start_header_id|>assistant<|end_header_id|>", "<|eot_id|>"), "qwen": ("<|im_start|>assistant", "<|im_end|>")}[markup]
+    response = F.regexp_replace(F.substring_index(F.substring_index(solution, start, -1), end, 1), r"^\s+|\s+$", "")
+    shape, calls = tool_format(response, answer), tool_correctness(response, answer)
+    return F.struct((shape + calls).alias("score"), shape.alias("format_reward"), calls.alias("accuracy_reward"))
+
+
 # ---- mathematics
 
 
@@ -188,7 +218,7 @@ def strip_latex(text: Column) -> Column:
     return F.regexp_replace(x, r"^(-?[0-9]+)/(-?[0-9]+)$", r"\\frac{$1}{$2}")
 
 
-@register_scorer("lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval")
+@register_scorer("lighteval/MATH", "DigitalLearningGmbH/MATH-lighteval", "HuggingFaceH4/MATH-500")
 def boxed_score(solution: Column, truth: Column) -> Column:
     answer = last_boxed(solution)
     return F.when(answer.isNotNull() & (strip_latex(answer) == strip_latex(truth)), 1.0).otherwise(0.0)
@@ -295,6 +325,30 @@ def numbers_equal(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([same(p, r) for p, r in zip(prediction, reference, strict=True)])
 
 
+@F.pandas_udf(StructType().add("correct", BooleanType()).add("formatted", BooleanType()).add("answer", StringType()))
+def prime_answer(solution: pd.Series, truth: pd.Series) -> pd.DataFrame:
+    """The answer that the solution marks, graded by text, parts and arithmetic."""
+    rows = [(False, False, None) if s is None or t is None else grading.prime_score(s, t, safe_number) for s, t in zip(solution, truth, strict=True)]
+    return pd.DataFrame(rows, columns=["correct", "formatted", "answer"])
+
+
+@register_scorer(*[f"numina_{x}" for x in ("aops_forum", "synthetic_math", "amc_aime", "synthetic_amc", "cn_k12", "olympiads")])
+def prime_score(solution: Column, truth: Column) -> Column:
+    return F.when(prime_answer(solution, truth)["correct"], 1.0).otherwise(0.0)
+
+
+@F.pandas_udf(BooleanType())
+def answers_agree(given: pd.Series, truth: pd.Series) -> pd.Series:
+    return pd.Series([grading.grade_answer(g, t, safe_number) for g, t in zip(given, truth, strict=True)], dtype="bool")
+
+
+@register_scorer("hiyouga/geometry3k")
+def geometry_score(solution: Column, truth: Column) -> Column:
+    """Nine tenths for the boxed answer, one for the format."""
+    right = F.when(answers_agree(last_boxed(solution), truth), 0.9).otherwise(0.0)
+    return right + 0.1 * F.coalesce(think_format(solution), F.lit(0.0))
+
+
 def strip_commas(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<=\d),(?=\d{3}(\D|$))", "")
 

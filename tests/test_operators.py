@@ -295,3 +295,39 @@ def test_tool_calls_of_all_events(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     found = QUERIES["tool_call_table_all"](spark, sf_dir).groupBy("k").count().collect()
     assert len(found) == events and {r["count"] for r in found} == {2}
+
+
+def test_scores_of_all_sources(spark):
+    tag = "<answer>The Paris.</answer>"
+    rows = [
+        ("HuggingFaceH4/MATH-500", r"so \boxed{\frac12}", r"\frac{1}{2}", 1.0),
+        ("searchR1_nq", tag, '{"target": ["London", "paris"]}', 1.0),
+        ("searchR1_popqa", tag, '{"target": "paris"}', 1.0),
+        ("searchR1_musique", tag * 6, "paris", 1.0),
+        ("searchR1_bamboogle", tag * 11, '["paris"]', 0.25),
+        ("searchR1_hotpotqa", "Paris", '["paris"]', 0.0),
+        ("numina_olympiads", "So the answer is 1,234", "1234", 1.0),
+        ("numina_cn_k12", r"Step 2: \boxed{x = 3/4}", r"\frac{3}{4}", 1.0),
+        ("numina_amc_aime", "The answer is 2/4", "1/2", 1.0),
+        ("numina_aops_forum", r"\boxed{(1, 2+3)}", "(1,5)", 1.0),
+        ("numina_synthetic_amc", r"\boxed{6.28}", r"2\pi", 1.0),
+        ("numina_synthetic_math", "Answer: 5 meters", "7", 0.0),
+        ("hiyouga/geometry3k", r"<think>a</think> \boxed{12}", "12.0", 1.0),
+        ("hiyouga/geometry3k", r"\boxed{12}", "13", 0.0),
+        ("aime2024", "Answer: 7", "7", 1.0),
+        ("numina_cn_k12", None, "7", 0.0),
+    ]
+    df = frame(spark, rows, "source string, solution string, truth string, expected double")
+    got = df.select("source", "solution", "expected", S.score_by_source(F.col("source"), F.col("solution"), F.col("truth")).alias("score")).collect()
+    assert not [r for r in got if r["score"] is None or abs(r["score"] - r["expected"]) > 1e-9]
+    assert not S.grading.grade_answer("2/4", "1/2", S.safe_number)  # fractions must be reduced; only values agree
+
+
+def test_tool_reward(spark):
+    one, two = '{"name": "f", "parameters": {"a": 1, "b": 2}}', '{"name": "f", "parameters": {"a": 1, "c": 2}}'
+    answer = f"<think>x</think>\n<tool_call>\n{one}\n</tool_call>"
+    partly = 6 * (1 + 1 / 3 + 1) / 4 - 3  # names 1, parameter names 1/3, one value, of 1 + 1 + 2
+    rows = [(answer, answer, 4.0), (answer.replace(one, two), answer, 1 + partly), ("no", answer, -3.0), (answer, "<think>x</think>", 0.0), ("<think>y</think>", "<think>x</think>", 1.0)]
+    df = frame(spark, [(f"<|im_start|>user hi<|im_end|><|im_start|>assistant\n{r}<|im_end|>", a, e) for r, a, e in rows], "solution string, answer string, expected double")
+    for r in df.select("expected", S.tool_reward(F.col("solution"), F.col("answer"), "qwen").alias("got")).collect():
+        assert abs(r["got"]["score"] - r["expected"]) < 1e-9, r
