@@ -190,11 +190,12 @@ def page_evidence(pages: DataFrame, languages: list[str], logs: np.ndarray) -> D
     return likelihoods(source, "body", logs, EVIDENCE)
 
 
-def document_evidence(docs: DataFrame, languages: list[str], logs: np.ndarray) -> DataFrame:
-    """Evidence of plain documents: their text, and their source as host."""
+def document_evidence(docs: DataFrame, languages: list[str], logs: np.ndarray, key: Column | None = None) -> DataFrame:
+    """Evidence of plain documents: their text, and their source as host; ``key`` takes the place of their id."""
+    key = F.col("doc_id") if key is None else key
     nothing = F.lit(None).cast("string")
     source = docs.select(
-        F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"),
+        F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("row"), key.cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"),
         F.col("source").cast("string").alias("host"), nothing.alias("domain"), nothing.alias("declared"), nothing.alias("suffix"), F.coalesce("text", F.lit("")).alias("body"),
     )
     return likelihoods(source, "body", logs, EVIDENCE)
@@ -203,16 +204,17 @@ def document_evidence(docs: DataFrame, languages: list[str], logs: np.ndarray) -
 EVIDENCE = ["row", "doc_id", "page_id", "host", "domain", "declared", "suffix"]
 
 
-def identify(spark: SparkSession, docs: DataFrame, pages: DataFrame | None = None, labelled: DataFrame | None = None) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, pages: DataFrame | None = None, labelled: DataFrame | None = None, key: Column | None = None) -> DataFrame:
     """One row for each document and page: doc_id or page_id, host, declared, suffix, lang, posterior and kept.
 
     Likelihoods are trained on the rows of ``labelled`` (by default ``docs``) that name a language. A row is kept
     unless no language is likeliest or the posterior is under LEAST_POSTERIOR. Null and empty texts have no text
     evidence and, with no other evidence than their host's, are not kept; equal rows get equal results; without
-    labelled rows every language is ``und``; empty tables give no rows; other columns are ignored.
+    labelled rows every language is ``und``; empty tables give no rows; other columns are ignored. ``key``, a whole
+    number, is given out as doc_id instead of the documents' own.
     """
     languages, logs = train(docs if labelled is None else labelled)
-    evidence = document_evidence(docs, languages, logs)
+    evidence = document_evidence(docs, languages, logs, key)
     if pages is not None:
         evidence = evidence.unionByName(page_evidence(pages, languages, logs))
     blank = F.forall("scores", lambda x: x == 0.0)
@@ -225,9 +227,13 @@ def identify(spark: SparkSession, docs: DataFrame, pages: DataFrame | None = Non
 
 
 def keep_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose language is clear; a row with a null id is judged by its own text only."""
-    rejected = identify(spark, docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("__rejected__")).distinct()
-    return docs.join(rejected, F.col("doc_id") == F.col("__rejected__"), "left_anti")
+    """The rows of ``docs`` whose language is clear, ids being ignored.
+
+    A verdict follows from text and source alone, so rows are known again by a 64-bit hash of both; null counts as empty text.
+    """
+    judged = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.col("source").isNull())
+    rejected = identify(spark, docs, key=judged).where("not kept").select(F.col("doc_id").alias("__rejected__")).distinct()
+    return docs.join(rejected, judged == F.col("__rejected__"), "left_anti")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,6 +113,16 @@ def test_language_odd(spark, odd_docs, odd_texts, no_docs):
     assert language_id.keep_documents(spark, odd_docs).columns == odd_docs.columns
 
 
+def test_language_keeps_by_row(spark, docs):
+    """Rows without id, and rows that share one, are judged each by itself."""
+    few = docs.where("lang = 'en'").orderBy("doc_id").limit(40)
+    text = few.first()["text"]
+    extra = spark.createDataFrame([(None, text, None), (None, "", None), (None, None, None), (-5, text, None), (-5, "", None)], "doc_id bigint, text string, lang string")
+    both = few.select("doc_id", "text", "lang", "source").unionByName(extra.withColumn("source", F.lit(None).cast("string")))
+    kept = Counter((r["doc_id"], r["text"]) for r in language_id.keep_documents(spark, both).collect() if r["doc_id"] in (None, -5))
+    assert kept == {(None, text): 1, (-5, text): 1}
+
+
 # ---- 3
 
 
