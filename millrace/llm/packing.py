@@ -23,6 +23,8 @@ WINDOW = 2048
 END_ID = 1
 #: Lengths are rounded up to this many tokens when combinations are enumerated.
 GRID = 8
+#: Lengths up to this many tokens are planned as they are.
+EXACT = 256
 #: Most pieces of an enumerated combination.
 DEPTH = 3
 #: Residuals of lengths up to this share of the window weigh less, as the greedy pass can still place them.
@@ -169,12 +171,12 @@ def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-8) -> np.ndarray:
     return x
 
 
-def packing_plan(histogram: dict[int, int], bins: int, depth: int = DEPTH) -> list[tuple[dict[int, int], int]]:
+def packing_plan(histogram: dict[int, int], bins: int, depth: int = DEPTH, grid: int = 1) -> list[tuple[dict[int, int], int]]:
     """Patterns (length in bins to how many of it) with the times each is used; together they use up ``histogram``.
 
     The combinations' repeat counts solve the least squares problem and are rounded; what is left over is packed
-    greedily, longest first, a pattern being repeated as often as its lengths last. Depends on ``bins`` only, not
-    on the number of documents.
+    greedily, longest first, a pattern being repeated as often as its lengths last. Combinations are of multiples of
+    ``grid``; other lengths are packed greedily. Depends on ``bins`` only, not on the number of documents.
     """
     left = {k: int(v) for k, v in histogram.items() if v > 0}
     plan: list[tuple[dict[int, int], int]] = []
@@ -188,7 +190,8 @@ def packing_plan(histogram: dict[int, int], bins: int, depth: int = DEPTH) -> li
 
     if left.get(bins):
         use({bins: 1}, left[bins])
-    ways = [w for w in combinations(bins, depth) if all(k in left for k in w)] if left else []
+    scaled = ((tuple(grid * k for k in w)) for w in combinations(bins // grid, depth)) if left else ()
+    ways = [w for w in scaled if all(k in left for k in w)]
     if ways:
         lengths = sorted(left)
         row = {k: i for i, k in enumerate(lengths)}
@@ -226,23 +229,23 @@ def pack(df: DataFrame, id_col="doc_id", text_col="text", tokenizer=TOKENIZER, w
 
     Returns PIECES with sequence_id and offset (and ``ids`` if asked for). A document longer than the window is cut
     at its multiples; each rest is placed whole. Null and empty texts are documents of the end id alone; repeated
-    rows are packed each for itself; an empty table gives no rows; other columns are ignored. Only the histogram of
-    ``window / grid`` lengths comes to the driver. The numbering of equally long pieces is dealt over SALTS parts,
+    rows are packed each for itself; an empty table gives no rows; other columns are ignored. Lengths up to EXACT
+    count as they are, longer ones on the grid. Only the histogram of these lengths comes to the driver. The numbering of equally long pieces is dealt over SALTS parts,
     so a length that a third of all rows share is no hot key.
     """
     spark = df.sparkSession
-    bins = window // grid
+    rounded = (F.ceil(F.col("length") / grid) * grid).cast("int")
     pieces = (
         token_pieces(df, id_col, text_col, tokenizer, window, end_id, with_ids)
-        .withColumn("bin", F.ceil(F.col("length") / grid).cast("int"))
+        .withColumn("bin", F.when(F.col("length") <= EXACT, F.col("length").cast("int")).otherwise(rounded))
         .withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     )
     pieces = materialize(pieces, "pieces")
-    counts = pieces.groupBy("bin", "salt").agg(F.count("*").alias("n"))  # at most bins * SALTS rows
+    counts = pieces.groupBy("bin", "salt").agg(F.count("*").alias("n"))  # at most (EXACT + window / grid) * SALTS rows
     counts = materialize(counts, "lengths")
     histogram = {r["bin"]: r["n"] for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     rows, used, sequences = [], Counter(), 0
-    for pattern, times in packing_plan(histogram, bins, depth):
+    for pattern, times in packing_plan(histogram, window // grid * grid, depth, grid):
         for k, m in pattern.items():
             rows.append((k, used[k], used[k] + m * times, m, sequences))
             used[k] += m * times

@@ -257,6 +257,13 @@ def test_packing_odd(odd_docs, odd_texts, no_docs):
     assert packing.pack(no_docs).count() == 0
 
 
+def test_packing_short(spark):
+    """Many empty texts, of one token each, fill whole sequences."""
+    rows = packing.pack(spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("").alias("text"))).collect()
+    check_packed(rows, {})
+    assert len(rows) == 5000 and len({r["sequence_id"] for r in rows}) == 3
+
+
 def test_packing_plan_uses_all():
     import random
 
