@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import math
 import os
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _OWN_DIRS: dict[str, str] = {}
+#: Masters whose only executor is the driver's process.
+_LOCAL = re.compile(r"local(\[[^\]]*\])?")
+#: Most ids (about 16 MB) that are broadcast to spare the other side a shuffle.
+BROADCAST_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session that names none (tests,
-    local mode) gets a temporary folder, one for the whole application.
+    The cluster names it in ``spark.checkpoint.dir``. Only a local session, whose executor is the driver's own
+    process, may go without and gets a temporary folder, one for the whole application; any other master raises, as
+    executors would write rows to disks that nobody else reads.
     """
     found = spark.conf.get(CHECKPOINT_KEY, None)
     if not found:
+        master = spark.sparkContext.master
+        if not _LOCAL.fullmatch(master):
+            raise RuntimeError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share; master is {master}")
         application = spark.sparkContext.applicationId
         if application not in _OWN_DIRS:
             _OWN_DIRS[application] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -36,13 +46,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here and an executor
-    that is lost later costs nothing. The folder is dropped when the driver's process ends.
+    that is lost later costs nothing. The folder goes when ``release`` is called or the driver's process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace-{os.getpid()}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._written = path
+    return back
+
+
+def release(*written: DataFrame) -> None:
+    """Drop the folders of results of ``materialize`` that no later plan reads."""
+    for df in written:
+        _drop(df.sparkSession, df._written)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -54,6 +72,31 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def limited_to(df: DataFrame, column: str, wanted: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``df`` whose ``column`` (bigint) is among the distinct ids ``wanted``, a table with one column.
+
+    Up to ``most`` ids are sent to every task, so that ``df`` isn't shuffled; more are joined by shuffle.
+    """
+    name = wanted.columns[0]
+    small = wanted.limit(most + 1).count() <= most
+    return df.join(F.broadcast(wanted) if small else wanted, F.col(column) == F.col(name), "left_semi")
+
+
+def rank_among(marks: list, value: Column) -> Column:
+    """How many of the sorted ``marks`` are at most ``value``: a coarse search, then one within its part."""
+    if not marks:
+        return F.lit(0)
+    step = max(1, math.isqrt(len(marks)))
+    parts = [marks[at : at + step] for at in range(0, len(marks), step)]
+
+    def within(part: list) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(m) for m in part]), lambda m: m <= value))
+
+    coarse = within([p[0] for p in parts])
+    fine = F.size(F.filter(F.element_at(F.array(*[F.array(*[F.lit(m) for m in p]) for p in parts]), F.greatest(coarse, F.lit(1))), lambda m: m <= value))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -456,7 +456,47 @@ def test_intersections():
 
 
 def test_prefix_depth():
-    assert shingle_join.prefix_depth(0.8) == 5 and shingle_join.prefix_depth(0.8, target=0.99) == 6 and shingle_join.prefix_depth(0.1, trees=2) == 1
+    assert shingle_join.prefix_depth(0.8) == 5 and shingle_join.prefix_depth(0.8, target=0.99) == 7 and shingle_join.prefix_depth(0.1, trees=2) == 1
+    deep = [(8, True, 300.0, 300), (8, False, 700.0, 700)]
+    depth = lambda found: shingle_join.adapted_depth(found, 0.8, 20, 8, 4, 0.9995)
+    assert depth([]) == 5 and depth(deep) == 8 and depth([*deep, (6, False, 2.0, 2)]) == 6 and depth([*deep, (4, True, 2.0, 2)]) == 4
+    assert depth([(8, False, 700.0, 700)]) == 5  # no link near the threshold: a pair there has to be expected
+
+
+def test_forest(spark):
+    """Prefixes shared with any other row, over many ranges, against all pairs."""
+    import random
+
+    draw = random.Random(12)
+    branch = lambda: b"".join(bytes([0, draw.choice([0, 0, 0, 1])]) for _ in range(8))
+    rows = {k: branch() + branch() for k in range(300)}
+    reps = spark.createDataFrame(list(rows.items()), "rep bigint, signature binary")
+    want = {}
+    for t in (0, 16):
+        for k, x in rows.items():
+            n = max(shingle_join.common_prefix(x[t : t + 16], y[t : t + 16]) for j, y in rows.items() if j != k)
+            if n >= 4:
+                want[t // 16, k] = n
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "7", "400"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            out = shingle_join.forest(reps, 2, 8, 4).collect()
+            assert {(r["tree"], r["rep"]): r["depth"] for r in out} == want and len(out) == len(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_shingle_join_recall(spark, sf_dir, size):
+    """Links found, of all that brute force finds."""
+    folder = sf_dir.replace("0.001", size)
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()}
+    links = Counter(k for p in near_pairs(texts) for k in p)
+    found = {r["doc_id"]: r["n_links"] for r in entry.QUERIES["op8_shingle_join"](spark, folder).collect()}
+    assert all(found[k] <= links[k] for k in texts) and sum(found.values()) >= 0.999 * sum(links.values())
 
 
 def test_shingle_join_odd(odd_docs, odd_texts, no_docs):
