@@ -72,14 +72,19 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def limited_to(df: DataFrame, column: str, wanted: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+def limited_to(df: DataFrame, column: Column | str, wanted: DataFrame, how: str = "left_semi", most: int = BROADCAST_IDS) -> DataFrame:
     """The rows of ``df`` whose ``column`` (bigint) is among the distinct ids ``wanted``, a table with one column.
 
     Up to ``most`` ids are sent to every task, so that ``df`` isn't shuffled; more are joined by shuffle.
     """
-    name = wanted.columns[0]
+    column = F.col(column) if isinstance(column, str) else column
     small = wanted.limit(most + 1).count() <= most
-    return df.join(F.broadcast(wanted) if small else wanted, F.col(column) == F.col(name), "left_semi")
+    return df.join(F.broadcast(wanted) if small else wanted, column == F.col(wanted.columns[0]), how)
+
+
+def without(df: DataFrame, column: Column | str, unwanted: DataFrame) -> DataFrame:
+    """The other rows, those with a null included."""
+    return limited_to(df, column, unwanted, "left_anti")
 
 
 def rank_among(marks: list, value: Column) -> Column:
