@@ -29,8 +29,8 @@ EXACT = 256
 DEPTH = 3
 #: Residuals of lengths up to this share of the window weigh less, as the greedy pass can still place them.
 SHORT, SHORT_WEIGHT = 0.125, 0.1
-#: Parts into which the rows of each length are dealt before they are numbered.
-SALTS = 128
+#: Pieces of one length are numbered in parts of about this size.
+PART_PIECES = 100_000
 
 #: The split pattern of the tokenizer file (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -52,20 +52,22 @@ class PackedTokenizer:
 
     No token crosses a space that follows or precedes other characters, so a text is cut at its spaces and each
     distinct part is encoded once and kept. Texts where white space of several kinds meets around a space are
-    encoded whole. Special tokens' strings are ordinary text.
+    encoded whole. The strings of added tokens become their ids, as ``tokenizers`` has it without further settings.
     """
 
     def __init__(self, path: str = TOKENIZER):
         self.exact = Tokenizer.from_file(path)
-        self.exact.encode_special_tokens = True
         alphabet = _byte_alphabet()
         ranks = {
             bytes(alphabet[c] for c in piece): k
             for piece, k in self.exact.get_vocab(with_added_tokens=False).items()
             if all(c in alphabet for c in piece)
         }
-        special = set(self.exact.get_added_tokens_decoder())
-        ranks = {piece: k for piece, k in ranks.items() if k not in special}
+        added = self.exact.get_added_tokens_decoder()
+        ranks = {piece: k for piece, k in ranks.items() if k not in added}
+        self.added = {t.content: array("I", [k]).tobytes() for k, t in added.items()}
+        plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split if plain else None
         self.quick = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.mixed = re.compile(r"\s \s").search
         self.parts = _Parts(self._encode)
@@ -75,7 +77,14 @@ class PackedTokenizer:
             return array("I", self.exact.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.quick.encode_ordinary(text)).tobytes()
 
+    def _encode_added(self, text: str) -> bytes:
+        if self.split is None:  # tokens that take in white space or need word bounds
+            return array("I", self.exact.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.added[x] if k % 2 else self.encode(x) for k, x in enumerate(self.split(text)) if x)
+
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.added):
+            return self._encode_added(text)
         if self.mixed(text):
             return self._encode(text)
         first, *rest = text.split(" ")
@@ -230,18 +239,20 @@ def pack(df: DataFrame, id_col="doc_id", text_col="text", tokenizer=TOKENIZER, w
     Returns PIECES with sequence_id and offset (and ``ids`` if asked for). A document longer than the window is cut
     at its multiples; each rest is placed whole. Null and empty texts are documents of the end id alone; repeated
     rows are packed each for itself; an empty table gives no rows; other columns are ignored. Lengths up to EXACT
-    count as they are, longer ones on the grid. Only the histogram of these lengths comes to the driver. The numbering of equally long pieces is dealt over SALTS parts,
-    so a length that a third of all rows share is no hot key.
+    count as they are, longer ones on the grid. Only the histogram of these lengths comes to the driver, and the plan, whose
+    size follows from the window, goes to every task. Equally long pieces are numbered in parts whose number grows with the
+    table, so a length that a third of all rows share is no hot key.
     """
     spark = df.sparkSession
     rounded = (F.ceil(F.col("length") / grid) * grid).cast("int")
     pieces = (
         token_pieces(df, id_col, text_col, tokenizer, window, end_id, with_ids)
         .withColumn("bin", F.when(F.col("length") <= EXACT, F.col("length").cast("int")).otherwise(rounded))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SALTS)).cast("int"))
     )
     pieces = materialize(pieces, "pieces")
-    counts = pieces.groupBy("bin", "salt").agg(F.count("*").alias("n"))  # at most (EXACT + window / grid) * SALTS rows
+    parts = max(8, -(-pieces.count() // PART_PIECES))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int"))
+    counts = pieces.groupBy("bin", "salt").agg(F.count("*").alias("n"))
     counts = materialize(counts, "lengths")
     histogram = {r["bin"]: r["n"] for r in counts.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
     rows, used, sequences = [], Counter(), 0
@@ -256,7 +267,7 @@ def pack(df: DataFrame, id_col="doc_id", text_col="text", tokenizer=TOKENIZER, w
     inside = Window.partitionBy("bin", "salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = (
         pieces.withColumn("rank", F.row_number().over(inside).cast("bigint") - 1)
-        .join(F.broadcast(offsets), ["bin", "salt"])
+        .join(offsets, ["bin", "salt"])  # dealt alike, so pieces aren't shuffled again
         .withColumn("rank", F.col("rank") + F.col("earlier"))
     )
     placed = ranked.join(
@@ -277,4 +288,5 @@ def pack(df: DataFrame, id_col="doc_id", text_col="text", tokenizer=TOKENIZER, w
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack`` of all documents; null, empty, repeated and very long texts as stated there."""
     return pack(table(spark, sf_dir, "documents"))
