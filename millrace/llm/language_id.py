@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, table
+from .shared import materialize, table, without
 
 #: Buckets of hashed byte trigrams (a power of two).
 BUCKETS = 1 << 15
@@ -22,7 +22,10 @@ EFFECTIVE = 150
 HOST_WEIGHT, DOMAIN_WEIGHT = 8.0, 32.0
 #: Pseudo-counts in the likelihoods of declared languages and address suffixes.
 DECLARED_WEIGHT = 2.0
-SALTS = 64
+#: A host with more than this share of the rows is hot; fewer than its reciprocal can be.
+HOT_SHARE = 1 / 64
+#: Most languages that labels may name; each is one row of BUCKETS numbers on every executor.
+MAX_LANGUAGES = 500
 UNKNOWN = "und"
 LEAST_POSTERIOR = 0.5
 
@@ -58,9 +61,14 @@ def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages and their log probabilities of each bucket, from all rows that name a language.
 
-    Counts are summed in each task and then over all; languages * BUCKETS numbers come to the driver.
+    Counts are summed in each task and then over all; languages * BUCKETS numbers come to the driver. More than
+    MAX_LANGUAGES languages raise an error; without a column of that name no row names one.
     """
-    named = df.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    if lang_col.lower() not in {c.lower() for c in df.columns}:
+        return [], np.zeros((0, BUCKETS), dtype=np.float32)
+    named = df.where(F.col(f"`{lang_col}`").isNotNull()).select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").alias("text"))
+    if named.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
     counted = named.mapInArrow(_trigram_counts, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     summed = counted.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
     rows = {r["lang"]: r for r in summed.collect()}
@@ -73,92 +81,133 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     return languages, logs.astype(np.float32)
 
 
+def softmax(logs: np.ndarray) -> np.ndarray:
+    """Each row's exponentials as shares of their sum."""
+    raised = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
+def _rows(values: pa.Array, n: int) -> np.ndarray:
+    """An array column of ``n`` numbers a row as a matrix; null rows are all 0."""
+    return np.array([x if x is not None else [0.0] * n for x in values.to_pylist()], dtype=np.float64).reshape(-1, n)
+
+
+def _lists(matrix: np.ndarray) -> pa.Array:
+    return pa.array(list(matrix), pa.list_(pa.float64()))
+
+
 def likelihoods(df: DataFrame, text_col: str, logs: np.ndarray, keep: list[str]) -> DataFrame:
-    """``keep`` and ``scores``: the tempered log likelihood of each language and, last, of none (every bucket alike)."""
+    """``keep`` and ``scores``: the tempered log likelihood of each language and, last, of none (every bucket alike);
+    ``alone``, what they say by themselves as probabilities; and ``blank``, whether there is no text to say anything.
+    """
     schema = df.select(*keep).schema
-    held = df.sparkSession.sparkContext.broadcast(logs)  # languages * BUCKETS numbers
+    held = df.sparkSession.sparkContext.broadcast(logs)  # at most MAX_LANGUAGES * BUCKETS numbers
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         none = -math.log(BUCKETS)
         for batch in batches:
-            scores = []
-            for text in batch.column(batch.num_columns - 1):
+            scores = np.zeros((batch.num_rows, len(own) + 1))
+            blank = np.ones(batch.num_rows, dtype=bool)
+            for k, text in enumerate(batch.column(batch.num_columns - 1)):
                 buckets = trigram_buckets(text.as_py() or "")
                 n = len(buckets)
                 if n <= 1 or not len(own):
-                    scores.append([0.0] * (len(own) + 1))
                     continue
                 counts = np.bincount(buckets, minlength=BUCKETS)
                 some = np.flatnonzero(counts)
-                scale = min(n, EFFECTIVE) / n
-                scores.append([*(own[:, some] @ counts[some] * scale).tolist(), none * min(n, EFFECTIVE)])
+                blank[k] = False
+                scores[k, :-1] = own[:, some] @ counts[some] * (min(n, EFFECTIVE) / n)
+                scores[k, -1] = none * min(n, EFFECTIVE)
             columns = [batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(scores, pa.list_(pa.float64()))], names=[*keep, "scores"])
-
-    out = schema.add("scores", T.ArrayType(T.DoubleType()))
-    return df.select(*keep, F.col(text_col)).mapInArrow(score, out)
+            yield pa.RecordBatch.from_arrays([*columns, _lists(scores), _lists(softmax(scores)), pa.array(blank)], names=[*keep, "scores", "alone", "blank"])
 
-
-def _softmax(logs: Column) -> Column:
-    top = F.array_max(logs)
-    raised = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
+    numbers = T.ArrayType(T.DoubleType())
+    return df.select(*keep, F.col(text_col)).mapInArrow(score, schema.add("scores", numbers).add("alone", numbers).add("blank", T.BooleanType()))
 
 
 def _sums(column: str, n: int) -> list[Column]:
     return [F.sum(F.col(column)[k]).alias(f"s{k}") for k in range(n)]
 
 
+def posteriors(scores, alone, host, domain, world, declared, suffix) -> np.ndarray:
+    """Posterior of each row over the languages and none, from matrices with a row each.
+
+    ``scores`` are log likelihoods of the text, ``alone`` its posterior by itself; ``host``, ``domain`` and ``world``
+    are sums of ``alone`` over all rows of the row's host, domain and of the table (rows without a host or domain: the
+    level above's alone, marked by sums of 0). ``declared`` and ``suffix`` are pairs: sums of ``alone`` over all
+    rows with the row's value, and sums over all rows with any value beside the number of values (or zeros). A
+    row's own share is taken out of all of them.
+    """
+    def without(sums: np.ndarray) -> np.ndarray:
+        return np.maximum(sums - alone, 0.0)
+
+    everywhere = without(world) + 1.0
+    prior = everywhere / everywhere.sum(axis=1, keepdims=True)
+    for sums, weight in ((domain, DOMAIN_WEIGHT), (host, HOST_WEIGHT)):
+        there = sums.sum(axis=1, keepdims=True) > 0
+        rest = np.where(there, without(sums), 0.0)
+        prior = (rest + weight * prior) / (rest.sum(axis=1, keepdims=True) + weight)
+    logs = scores + np.log(prior + 1e-9)
+    for own, every, values in (declared, suffix):
+        said = own.sum(axis=1, keepdims=True) > 0
+        likely = (without(own) + DECLARED_WEIGHT) / (without(every) + DECLARED_WEIGHT * np.maximum(values, 1.0))
+        logs = logs + np.where(said, np.log(likely), 0.0)
+    return softmax(logs)
+
+
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
-    """Posterior over ``languages`` and none for rows (row, host, domain, declared, suffix, scores).
+    """``lang`` and ``posterior`` for rows (row, host, domain, declared, suffix, blank, scores, alone) beside their other columns.
 
-    Text posteriors summed by host, domain and over all give priors, each level smoothed by the one above; a row's
-    own share is taken out of its host's counts. The same sums by declared language and by suffix give their
-    likelihoods. Null evidence says nothing. Hosts are joined by salted keys, so that a host with a third of all
-    rows is dealt over SALTS parts.
+    Text posteriors summed by host, domain and over all give priors, each level smoothed by the one above; the same
+    sums by declared language and by suffix give their likelihoods. A row's own share is taken out of all these sums, so
+    no evidence counts twice. Null evidence says nothing; a row without text, declared language and suffix is
+    ``und`` with the posterior of that. Sums of hosts are joined by shuffle but for hot hosts, each with HOT_SHARE
+    of all rows or more, which therefore are few and are broadcast.
     """
     n = len(languages) + 1
     s = [f"s{k}" for k in range(n)]
-    rows = materialize(evidence.withColumn("alone", _softmax(F.col("scores"))), "evidence")
-    hosts = rows.where("host is not null").groupBy("host", "domain").agg(*_sums("alone", n))
-    domains = hosts.groupBy("domain").agg(*[F.sum(c).alias(c) for c in s])
-    total = rows.agg(*_sums("alone", n)).first()
-    everywhere = [(total[c] or 0.0) + 1.0 for c in s]
-    world = F.array(*[F.lit(x / sum(everywhere)) for x in everywhere])
+    rows = materialize(evidence, "evidence")
+    hosts = materialize(rows.where("host is not null").groupBy("host", "domain").agg(F.count("*").alias("n"), *_sums("alone", n)), "hosts")
+    total = rows.agg(F.count("*").alias("n"), *_sums("alone", n)).first()
+    world = np.array([total[c] or 0.0 for c in s])
     counts = F.array(*s)
-    weight = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    domains = domains.select("domain", F.zip_with(counts, world, lambda c, w: (c + DOMAIN_WEIGHT * w) / (weight + DOMAIN_WEIGHT)).alias("parent"))
-    hosts = materialize(hosts.join(domains, hosts["domain"].eqNullSafe(domains["domain"]), "left").select("host", counts.alias("counts"), F.coalesce("parent", world).alias("parent")), "hosts")
-
-    def likelihood(column: str) -> Column:
-        """Log likelihood of the value in ``column`` by language, from a table of at most languages + 1 values."""
-        found = {r[column]: [r[c] for c in s] for r in rows.where(F.col(column).isNotNull()).groupBy(column).agg(*_sums("alone", n)).collect()}
-        nothing = F.array(*[F.lit(0.0)] * n)
-        if not found:
-            return nothing
-        sums = [sum(v[k] for v in found.values()) + DECLARED_WEIGHT * len(found) for k in range(n)]
-        known = F.create_map(*[x for v, c in found.items() for x in (F.lit(v), F.array(*[F.lit(math.log((c[k] + DECLARED_WEIGHT) / sums[k])) for k in range(n)]))])
-        return F.coalesce(F.element_at(known, F.col(column)), nothing)
-
-    salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    at = F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")
-    joined = rows.withColumn("salt", at).join(salted, ["host", "salt"], "left")
-    own = F.zip_with("counts", "alone", lambda c, a: F.greatest(c - a, F.lit(0.0)))
-    rest = F.aggregate(own, F.lit(0.0), lambda a, x: a + x)
-    prior = F.when(F.col("counts").isNull(), world).otherwise(F.zip_with(own, "parent", lambda c, p: (c + HOST_WEIGHT * p) / (rest + HOST_WEIGHT)))
-    joined = joined.select(*rows.columns, F.transform(prior, lambda p: F.log(p + 1e-9)).alias("prior"))
-    parts = joined.select(*rows.columns, "prior", likelihood("declared").alias("by_declared"), likelihood("suffix").alias("by_suffix"))
-    logs = F.zip_with(F.zip_with("scores", "prior", lambda a, b: a + b), F.zip_with("by_declared", "by_suffix", lambda a, b: a + b), lambda a, b: a + b)
-    posterior = parts.select(*rows.columns, _softmax(logs).alias("posterior"))
-    best = F.array_max("posterior")
-    names = F.array(*[F.lit(x) for x in [*languages, UNKNOWN]])
-    return posterior.select(
-        *[c for c in rows.columns if c not in ("scores", "alone")],
-        F.element_at(names, F.array_position("posterior", best).cast("int")).alias("lang"),
-        best.alias("posterior"),
-    )
+    domains = hosts.where("domain is not null").groupBy("domain").agg(*[F.sum(c).alias(c) for c in s]).select("domain", counts.alias("domain_sums"))
+    by_host = hosts.groupBy("host").agg(F.sum("n").alias("n"), F.max("domain").alias("domain"), *[F.sum(c).alias(c) for c in s])
+    by_host = materialize(by_host.join(domains, "domain", "left").select("host", "n", counts.alias("host_sums"), "domain_sums"), "priors")
+    hot = by_host.where(F.col("n") >= max(1.0, HOT_SHARE * (total["n"] or 0))).drop("n")
+    is_hot = F.coalesce(F.col("host").isin([r["host"] for r in hot.select("host").collect()]), F.lit(False))
+    plain = rows.where(F.col("host").isNotNull() & ~is_hot).join(by_host.drop("n"), "host")
+    nowhere = rows.where("host is null")
+    joined = plain.unionByName(rows.where(is_hot).join(F.broadcast(hot), "host")).unionByName(nowhere, allowMissingColumns=True)
+
+    def said(column: str) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Sums by the value of ``column``, of which there are at most languages + 1."""
+        found = {r[column]: np.array([r[c] for c in s]) for r in rows.where(F.col(column).isNotNull()).groupBy(column).agg(*_sums("alone", n)).collect()}
+        return found, sum(found.values(), np.zeros(n))
+
+    tables = {c: said(c) for c in ("declared", "suffix")}
+    names = [*languages, UNKNOWN]
+    keep = [c for c in rows.columns if c not in ("scores", "alone", "blank")]
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            scores, alone, host, domain = (_rows(batch.column(c), n) for c in ("scores", "alone", "host_sums", "domain_sums"))
+            pairs, silent = [], batch.column("blank").to_numpy(zero_copy_only=False).copy()
+            for c, (found, every) in tables.items():
+                values = batch.column(c).to_pylist()
+                own = np.array([found[v] if v is not None else np.zeros(n) for v in values])
+                pairs.append((own, np.broadcast_to(every, own.shape), float(len(found))))
+                silent &= np.array([v is None for v in values])
+            posterior = posteriors(scores, alone, host, domain, np.broadcast_to(world, alone.shape), *pairs)
+            best = np.where(silent, n - 1, posterior.argmax(axis=1))
+            columns = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([names[k] for k in best], pa.string()), pa.array(posterior[np.arange(len(best)), best])], names=[*keep, "lang", "posterior"])
+
+    schema = rows.select(*keep).schema.add("lang", T.StringType()).add("posterior", T.DoubleType())
+    return joined.select(*rows.columns, "host_sums", "domain_sums").mapInArrow(decide, schema)
 
 
 def address_parts(url: Column, languages: list[str]) -> tuple[Column, Column, Column]:
@@ -196,7 +245,7 @@ def document_evidence(docs: DataFrame, languages: list[str], logs: np.ndarray, k
     nothing = F.lit(None).cast("string")
     source = docs.select(
         F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("row"), key.cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"),
-        F.col("source").cast("string").alias("host"), nothing.alias("domain"), nothing.alias("declared"), nothing.alias("suffix"), F.coalesce("text", F.lit("")).alias("body"),
+        (F.col("source").cast("string") if "source" in docs.columns else nothing).alias("host"), nothing.alias("domain"), nothing.alias("declared"), nothing.alias("suffix"), F.coalesce("text", F.lit("")).alias("body"),
     )
     return likelihoods(source, "body", logs, EVIDENCE)
 
@@ -207,34 +256,39 @@ EVIDENCE = ["row", "doc_id", "page_id", "host", "domain", "declared", "suffix"]
 def identify(spark: SparkSession, docs: DataFrame, pages: DataFrame | None = None, labelled: DataFrame | None = None, key: Column | None = None) -> DataFrame:
     """One row for each document and page: doc_id or page_id, host, declared, suffix, lang, posterior and kept.
 
-    Likelihoods are trained on the rows of ``labelled`` (by default ``docs``) that name a language. A row is kept
+    Likelihoods are trained on the rows of ``labelled`` (by default ``docs``) that name a language; a text of more than
+    EFFECTIVE trigrams has its likelihood scaled to that many, as neighbours aren't independent. A row is kept
     unless no language is likeliest or the posterior is under LEAST_POSTERIOR. Null and empty texts have no text
     evidence and, with no other evidence than their host's, are not kept; equal rows get equal results; without
-    labelled rows every language is ``und``; empty tables give no rows; other columns are ignored. ``key``, a whole
-    number, is given out as doc_id instead of the documents' own.
+    labelled rows, or a column ``lang``, every language is ``und``; without a column ``source`` documents have no
+    host; empty tables give no rows; other columns are ignored. ``key``, a whole number, is given out as doc_id instead
+    of the documents' own.
     """
     languages, logs = train(docs if labelled is None else labelled)
     evidence = document_evidence(docs, languages, logs, key)
     if pages is not None:
         evidence = evidence.unionByName(page_evidence(pages, languages, logs))
-    blank = F.forall("scores", lambda x: x == 0.0)
-    flagged = evidence.withColumn("blank", blank)
-    fused = fuse(flagged, languages)
-    lang = F.when(F.col("blank") & F.col("declared").isNull() & F.col("suffix").isNull(), F.lit(UNKNOWN)).otherwise(F.col("lang"))
-    return fused.select("doc_id", "page_id", "host", "declared", "suffix", lang.alias("lang"), "posterior").withColumn(
+    return fuse(evidence, languages).select("doc_id", "page_id", "host", "declared", "suffix", "lang", "posterior").withColumn(
         "kept", (F.col("lang") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR)
     )
 
 
-def keep_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_documents(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is clear, ids being ignored.
 
-    A verdict follows from text and source alone, so rows are known again by a 64-bit hash of both; null counts as empty text.
+    A verdict follows from text and source alone, so rows are known again by a 64-bit hash of both; null counts as empty
+    text, a missing column ``source`` as null. If no row of ``labelled`` (by default ``docs``) names a language, or
+    the column is missing, nothing can be judged and all rows stay. Repeated rows share their verdict.
     """
-    judged = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.col("source").isNull())
-    rejected = identify(spark, docs, key=judged).where("not kept").select(F.col("doc_id").alias("__rejected__")).distinct()
-    return docs.join(rejected, judged == F.col("__rejected__"), "left_anti")
+    known = docs if labelled is None else labelled
+    if "lang" not in known.columns or known.where("lang is not null").isEmpty():
+        return docs
+    source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    judged = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(source, F.lit("")), source.isNull())
+    rejected = identify(spark, docs, labelled=labelled, key=judged).where("not kept").select(F.col("doc_id").alias("__rejected__")).distinct()
+    return without(docs, judged, materialize(rejected, "rejected"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identify`` of all documents and pages; null, empty and repeated rows as stated there."""
     return identify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))
