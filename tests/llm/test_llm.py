@@ -24,6 +24,8 @@ from millrace.llm.license_texts import LICENSES
 def table_of(spark, docs, tmp_path, **others):
     """A folder with these tables, for queries."""
     for name, df in {"documents": docs, **others}.items():
+        if df is None:
+            continue
         df.write.parquet(f"{tmp_path}/{name}.parquet")
     return str(tmp_path)
 
@@ -113,6 +115,61 @@ def test_language_odd(spark, odd_docs, odd_texts, no_docs):
     assert language_id.keep_documents(spark, odd_docs).columns == odd_docs.columns
 
 
+def test_language_posteriors(spark):
+    """Fusion against its definition, one row at a time."""
+    import math
+
+    import numpy as np
+
+    draw = np.random.default_rng(11)
+    hosts = [("a.x.com", "x.com"), ("b.x.com", "x.com"), ("c.y.de", "y.de"), ("lone.z.fr", "z.fr"), ("plain", None), (None, None)]
+    rows = []
+    for k in range(60):
+        host, domain = hosts[0 if k < 30 else k % 6]
+        host, domain = hosts[3] if k == 59 else (hosts[0] if host == "lone.z.fr" else (host, domain))
+        logs = (draw.normal(0, 2, 3) if k % 9 else np.zeros(3)).tolist()
+        alone = (np.exp(logs) / np.exp(logs).sum()).tolist()
+        rows.append((f"r{k}", host, domain, ["en", "de", "other", None][k % 4], ["en", None][k % 2], not k % 9, logs, alone))
+    df = spark.createDataFrame(rows, "row string, host string, domain string, declared string, suffix string, blank boolean, scores array<double>, alone array<double>")
+    out = {r["row"]: r for r in language_id.fuse(df.withColumn("extra", F.lit(1)), ["de", "en"]).collect()}
+
+    def sums(test, but):
+        return [sum(r[7][k] for r in rows if test(r) and r is not but) for k in range(3)]
+
+    for r in rows:
+        prior = [x + 1 for x in sums(lambda q: True, r)]
+        prior = [x / sum(prior) for x in prior]
+        for column, weight in ((2, language_id.DOMAIN_WEIGHT), (1, language_id.HOST_WEIGHT)):
+            own = sums(lambda q, column=column: r[column] is not None and q[column] == r[column], r)
+            prior = [(a + weight * p) / (sum(own) + weight) for a, p in zip(own, prior, strict=True)]
+        logs = [x + math.log(p + 1e-9) for x, p in zip(r[6], prior, strict=True)]
+        for column in (3, 4):
+            if r[column] is not None:
+                values = len({q[column] for q in rows if q[column] is not None})
+                own, every = sums(lambda q, column=column: q[column] == r[column], r), sums(lambda q, column=column: q[column] is not None, r)
+                w = language_id.DECLARED_WEIGHT
+                logs = [x + math.log((a + w) / (b + w * values)) for x, a, b in zip(logs, own, every, strict=True)]
+        total = sum(map(math.exp, logs))
+        want = [math.exp(x) / total for x in logs]
+        best = 2 if r[5] and r[3] is None and r[4] is None else want.index(max(want))
+        assert (out[r[0]]["lang"], out[r[0]]["posterior"]) == (["de", "en", "und"][best], pytest.approx(want[best], abs=1e-9))
+    assert len(out) == 60
+
+
+def test_language_columns(spark, docs, monkeypatch):
+    """Tables without lang, without source, and with more languages than the bound."""
+    few = docs.where("doc_id < 60")
+    assert language_id.keep_documents(spark, few.drop("lang")).count() == few.count()
+    assert language_id.keep_documents(spark, few.withColumn("lang", F.lit(None).cast("string"))).count() == few.count()
+    assert language_id.keep_documents(spark, few.drop("lang"), labelled=docs).columns == few.drop("lang").columns
+    bare = language_id.keep_documents(spark, few.drop("source"))
+    assert bare.columns == few.drop("source").columns and bare.count() >= 0.9 * few.count()
+    assert {r["lang"] for r in language_id.identify(spark, few.drop("lang", "source")).collect()} == {"und"}
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="more than 2"):
+        language_id.identify(spark, few)
+
+
 def test_language_keeps_by_row(spark, docs):
     """Rows without id, and rows that share one, are judged each by itself."""
     few = docs.where("lang = 'en'").orderBy("doc_id").limit(40)
@@ -198,17 +255,28 @@ def test_revisits_cases(spark):
         (7, "https://a.com/x", at(9), 304, {}, "d"),
         (7, "https://a.com/x", at(9), 304, {}, "d"),
         (8, "https://a.com/x", None, 304, {}, "d"),
+        (9, "https://a.com/x", at(9), 304, {"age": "3"}, None),
     ]
     df = spark.createDataFrame(rows, "record_id bigint, url string, captured timestamp, status int, headers map<string,string>, digest string").withColumn("span", F.lit(1)).withColumn("stored", F.lit(1))
     for spans in (1, 3, 256):
         out = revisits.resolve_revisits(df, spans).collect()
         by = {r["record_id"]: r for r in out}
-        assert len(out) == 7 and by[2]["response_id"] == 1 and by[2]["valid"] and by[2]["headers"] == {"etag": 'W/"a"', "content-length": "9", "age": "7"}
+        assert len(out) == 8 and by[2]["response_id"] == 1 and by[2]["valid"] and by[2]["headers"] == {"etag": 'W/"a"', "content-length": "9", "age": "7"}
         assert by[4]["response_id"] == 3 and not by[4]["valid"] and by[5]["response_id"] is None and by[6]["response_id"] is None and by[8]["response_id"] is None
+        assert by[9]["response_id"] == 3 and by[9]["validator"] == "none" and by[9]["valid"] is None and by[9]["headers"] == {"age": "3"}
         assert by[7]["response_id"] == 3 and by[7]["validator"] == "digest" and by[7]["valid"]
     assert revisits.resolve_revisits(df.limit(0)).count() == 0
 
 
+def test_revisits_large_ids(spark, tmp_path):
+    """Ids beyond what 32 bits hold, one far off the others in time, and no pages at all."""
+    pages = spark.createDataFrame([(k, "http://a.com/x", "y") for k in (1, 2, 3, 800_000_000, 999_999_999_999, 2**61)] + [(None, "u", "v")], "page_id bigint, url string, html string")
+    folder = table_of(spark, None, tmp_path, pages=pages)
+    assert not compare.difference(entry.QUERIES["op4_revisits"](spark, folder), compare.connect(folder), entry.ORACLE_SQL["op4_revisits"])
+    none = table_of(spark, None, tmp_path / "none", pages=pages.limit(0))
+    assert entry.QUERIES["op4_revisits"](spark, none).count() == 0
+
+
 # ---- 5
 
 
@@ -216,7 +284,6 @@ def tokens_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
@@ -265,6 +332,13 @@ def test_packing_short(spark):
     assert len(rows) == 5000 and len({r["sequence_id"] for r in rows}) == 3
 
 
+def test_packing_added_tokens(spark):
+    """The string of an added token is its id, as an untouched tokenizer has it."""
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a  <|endoftext|>\n <|endoftext", "<|endoftext|> " * 3000]
+    check_packed(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect(), {k: [tokens_of(t)] for k, t in enumerate(texts)})
+    assert len(tokens_of(texts[0])) == 5 and 50256 in tokens_of(texts[0])
+
+
 def test_packing_plan_uses_all():
     import random
 
@@ -610,6 +684,51 @@ def test_equal_hash_different_bytes(spark):
     assert [r[0] for r in fingerprints.differing_buckets(df, "bucket", F.col("value")).collect()] == ["h"]
 
 
+@pytest.mark.parametrize("hashed", ["one bucket", "by first letter"])
+def test_equal_hashes(spark, odd_docs, odd_texts, tmp_path, monkeypatch, hashed):
+    """Equal fingerprints mean equal texts even if the hash says nothing."""
+    monkeypatch.setattr(fingerprints, "wide_hash", lambda value: F.lit("h") if hashed == "one bucket" else F.left(value, F.lit(1)))
+    texts = {k: t for k, t in odd_texts if k is not None} | {20: "abcd", 21: "abcd", 22: "abcdabcd", 23: "aabc"}
+    more = spark.createDataFrame([(20, "abcd"), (21, "abcd"), (22, "abcdabcd"), (23, "aabc")], "doc_id bigint, text string")
+    docs = odd_docs.select("doc_id", "text").unionByName(more)
+    rows = [r for r in entry.QUERIES["op10_fingerprints"](spark, table_of(spark, docs, tmp_path)).collect() if r["doc_id"] is not None]
+    order = sorted(texts)
+    following = dict(zip(order, order[1:] + order[:1], strict=True))
+    seen = defaultdict(set)
+    for r in rows:
+        text, after = texts[r["doc_id"]] or "", texts[following[r["doc_id"]]] or ""
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        seen[r["fingerprint"]].add(canonical(text))
+        seen[r["edited_fingerprint"]].add(canonical(edited))
+        assert r["near_edited"] == (canonical(text) == canonical(edited)) and r["near_next"] == (canonical(text) == canonical(after))
+    assert all(len(x) == 1 for x in seen.values()) and len({x for y in seen.values() for x in y}) == len(seen)
+    classes = {r["doc_id"]: r["class_size"] for r in fingerprints.fingerprints(more).collect()}
+    assert classes == {20: 2, 21: 2, 22: 1, 23: 1}
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Only a local session does without a folder that all executors share."""
+    from millrace.llm import shared
+
+    assert shared.shared_dir(spark)
+    monkeypatch.setattr(shared, "_OWN_DIRS", {})
+    for master in ("yarn", "spark://h:7077", "k8s://h", "local-cluster[3,2,1024]"):
+        class Session:
+            conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+            sparkContext = type("Context", (), {"master": master, "applicationId": "a"})
+
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared.shared_dir(Session)
+
+
+def test_rank_among(spark):
+    marks = sorted({(k * k * 7) % 1000 for k in range(60)})
+    df = spark.range(-5, 1005)
+    from millrace.llm.shared import rank_among
+
+    assert all(r[1] == sum(m <= r[0] for m in marks) for r in df.select("id", rank_among(marks, F.col("id"))).collect())
+
+
 def test_successors(spark):
     ids = [5, -3, 10**15, 7, 8, 9]
     out = {r["doc_id"]: r["next_id"] for r in fingerprints.successors(spark.createDataFrame([(k,) for k in ids], "doc_id bigint")).collect()}
