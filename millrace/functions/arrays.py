@@ -83,18 +83,32 @@ def logprob_of(logits: Column, label: Column) -> Column:
     return F.element_at(logits, label + 1) - (F.log(total(F.transform(logits, lambda v: F.exp(v - top)))) + top)
 
 
-def reverse_scan(items: Column, start: Column, step: Callable[[Column, Column], Column], value: str = "out") -> Column:
-    """Fold from the last element; ``step`` returns the next state, whose field ``value`` is gathered in the array's order.
+#: Elements of a block of a scan.
+_BLOCK = 128
+
+
+def scan(items: Column, start: Column, step: Callable[[Column, Column], Column], value: str = "out") -> Column:
+    """Fold from the first element; ``step`` returns the next state, whose field ``value`` is gathered for each element.
 
-    Each step adds one entry in front of the result.
+    Elements are taken block by block, so that the arrays that grow with each step stay short and time is linear in the
+    length.
     """
-    fields = F.struct(start.alias("state"), F.array().cast("array<double>").alias("done"))
+    last = F.greatest(F.lit(0), F.floor((F.size(items) - 1) / _BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(items, b * _BLOCK + 1, _BLOCK))
 
-    def merge(acc: Column, x: Column) -> Column:
-        state = step(acc["state"], x)
-        return F.struct(state.alias("state"), F.concat(F.array(state[value]), acc["done"]).alias("done"))
+    def through(states: Column, block: Column) -> Column:
+        carried = F.array(F.element_at(F.element_at(states, -1), -1))
+        return F.concat(states, F.array(F.aggregate(block, carried, lambda own, x: F.concat(own, F.array(step(F.element_at(own, -1), x))))))
 
-    return F.aggregate(F.reverse(items), fields, merge)["done"]
+    done = F.aggregate(blocks, F.array(F.array(start)), through)
+    # Each block's first state is the one carried into it.
+    states = F.flatten(F.transform(F.slice(done, F.lit(2), F.size(done)), lambda own: F.slice(own, F.lit(2), F.size(own))))
+    return F.transform(states, lambda s: s[value])
+
+
+def reverse_scan(items: Column, start: Column, step: Callable[[Column, Column], Column], value: str = "out") -> Column:
+    """The same from the last element, results being in the array's order."""
+    return F.reverse(scan(F.reverse(items), start, step, value))
 
 
 def pad_right(a: Column, length: int | Column, value) -> Column:
@@ -141,7 +155,8 @@ def compact(x: Column, mask: Column) -> Column:
 
 def position_ids(mask: Column) -> Column:
     """Running count of the mask less one, not under 0."""
-    return F.transform(F.sequence(F.lit(1), F.size(mask)), lambda k: F.greatest(F.lit(0), count_on(F.slice(mask, F.lit(1), k)) - 1))
+    running = scan(mask, F.struct(F.lit(0).alias("out")), lambda s, m: F.struct((s["out"] + m).cast("int").alias("out")))
+    return F.transform(running, lambda n: F.greatest(F.lit(0), n - 1))
 
 
 def mask_through_first(values: Column, ends: list[int]) -> Column:

@@ -156,24 +156,31 @@ def tool_reward(solution: Column, answer: Column, markup: str) -> Column:
 
 
 def _last_boxed(text: str | None) -> str | None:
-    """The last ``\\boxed`` or ``\\fbox`` with its balanced braces."""
+    """The last ``\\boxed`` or ``\\fbox`` with its balanced braces; a box with a space instead of braces comes first wherever it is."""
     if text is None:
         return None
-    spaced = text.rfind("\\boxed ")
-    if spaced >= 0 and spaced >= text.rfind("\\boxed{"):
-        return "\\boxed " + text[spaced + 7 :].split("$")[0]
-    at = max(text.rfind("\\boxed"), -1)
-    at = at if at >= 0 else text.rfind("\\fbox")
-    if at < 0:
-        return None
+    if "\\boxed " in text:
+        return "\\boxed " + text.rsplit("\\boxed ", 1)[1].split("$", 1)[0]
+    at = text.rfind("\\boxed")
+    return _balanced(text, at if at >= 0 else text.rfind("\\fbox"))
+
+
+def _balanced(text: str, at: int) -> str | None:
+    """``text`` from ``at`` to the brace that closes its first one."""
     depth = 0
-    for k in range(at, len(text)):
+    for k in range(at, len(text)) if at >= 0 else ():
         depth += (text[k] == "{") - (text[k] == "}")
         if text[k] == "}" and depth == 0:
             return text[at : k + 1]
     return None
 
 
+@F.pandas_udf(StringType())
+def last_braced_box(text: pd.Series) -> pd.Series:
+    """Content of the last ``\\boxed{``, null without one; other forms of boxes don't count."""
+    return text.map(lambda t: _unbox(_balanced(t, t.rfind("\\boxed{"))) if t is not None else None)
+
+
 def _unbox(text: str | None) -> str | None:
     if text is None:
         return None
@@ -258,7 +265,7 @@ def boxed_or_answer(solution: Column, truth: Column, strict_box: bool = False) -
     """Struct (score 1 or -1, acc, pred) of the last 300 characters: ``Answer: ...``, or the box in the last 100 if strict."""
     tail = F.right(solution, F.lit(300))
     if strict_box:
-        pred = F.coalesce(last_boxed(F.right(tail, F.lit(100))), F.lit("[INVALID]"))
+        pred = F.coalesce(last_braced_box(F.right(tail, F.lit(100))), F.lit("[INVALID]"))
         hit = pred == truth
     else:
         pred = normalize_final(F.coalesce(last_match(tail, r"(?i)Answer\s*:\s*([^\n]+)"), F.lit("[INVALID]")))
@@ -278,7 +285,7 @@ _OPERATORS = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.m
 
 def safe_number(text: str | None) -> float | None:
     """Value of an arithmetic expression; names, calls and large powers aren't evaluated."""
-    if text is None or len(text) > 200:
+    if text is None:
         return None
     clean = re.sub(r"(?<=\d),(?=\d{3}(\D|$))", "", text.replace("{,}", "").replace("^", "**").replace("$", "").strip())
     percent = clean.endswith("%")

@@ -1,7 +1,8 @@
 """Advantage estimators: grouped statistics by window, scans inside arrays, global whitening by one aggregate.
 
 Frames have ``row_id``, ``uid``, ``reward`` (array<double>) and ``mask`` (array<int>) unless a function says otherwise;
-estimators add ``advantages`` and ``returns`` of the same length. One window over ``uid`` serves all group statistics.
+estimators add ``advantages`` and ``returns`` of the same length. Group statistics are aggregated from scores alone and joined
+back, so token arrays are neither sorted nor gathered by group.
 """
 
 from __future__ import annotations
@@ -58,13 +59,19 @@ def group_mean_std(df: DataFrame, value: str, key: str, eps: float = 1e-6) -> Da
     )
 
 
+def _with_groups(df: DataFrame, **statistics: Column) -> DataFrame:
+    """``df`` with aggregates over all rows of its ``uid`` (null being one of them) as columns."""
+    stats = df.groupBy(F.col("uid").alias("uid_")).agg(*[c.alias(name) for name, c in statistics.items()])
+    return df.join(stats, F.col("uid").eqNullSafe(F.col("uid_"))).drop("uid_")
+
+
 def whiten(df: DataFrame, value: str, mask: str = "mask", shift_mean: bool = True, out: str | None = None) -> DataFrame:
-    """Masked whitening over all rows; the three sums are one row, which is joined back."""
-    n, s = A.count_on(F.col(mask)), A.masked_sum(F.col(value), F.col(mask))
-    q = A.masked_sum(F.transform(F.col(value), lambda v: v * v), F.col(mask))
-    sums = df.agg(F.sum(n).alias("n_"), F.sum(s).alias("s_"), F.sum(q).alias("q_"))
-    mean = F.col("s_") / (F.col("n_") + 1e-8)
-    var = (F.col("q_") - 2 * mean * F.col("s_") + mean * mean * F.col("n_")) / (F.col("n_") + 1e-8) * F.col("n_") / (F.col("n_") - 1)
+    """Masked whitening over all rows; mean and centred moment are one row, which is joined back."""
+    tokens = df.select(F.explode(A.compact(F.col(value), F.col(mask))).alias("x"))
+    sums = tokens.agg(F.count("*").alias("n_"), F.coalesce(F.avg("x"), F.lit(0.0)).alias("avg_"), F.coalesce(F.var_pop("x"), F.lit(0.0)).alias("var_"))
+    mean = F.col("avg_") * F.col("n_") / (F.col("n_") + 1e-8)
+    off = F.col("avg_") - mean
+    var = (F.col("var_") + off * off) * F.col("n_") / (F.col("n_") + 1e-8) * F.col("n_") / (F.col("n_") - 1)
     stats = sums.select(mean.alias("mean_"), F.pow(var + 1e-8, -0.5).alias("scale_"))
     back = F.lit(0.0) if shift_mean else F.col("mean_")
     joined = df.join(F.broadcast(stats))  # one row
@@ -75,66 +82,72 @@ def _masked(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.zip_with(column, "mask", lambda v, m: v * m))
 
 
+def _mean(column: str = "m_") -> Column:
+    """A group's mean; that of a single row is 0."""
+    return F.when(F.col("n_") == 1, 0.0).otherwise(F.col(column))
+
+
+def _std(deviation: Column) -> Column:
+    """A group's deviation; that of a single row is 1."""
+    return F.when(F.col("n_") == 1, 1.0).otherwise(deviation)
+
+
 @register_estimator("grpo")
 def grpo(df: DataFrame, eps: float = 1e-6, by_std: bool = True) -> DataFrame:
     """Score less the group's mean, over its standard deviation (ddof 1); a single row has mean 0 and deviation 1."""
-    w = Window.partitionBy("uid")
-    df = _scored(df).withColumn("n_", F.count("*").over(w)).withColumn("m_", F.avg("score").over(w)).withColumn("d_", F.stddev_samp("score").over(w))
-    mean = F.when(F.col("n_") == 1, 0.0).otherwise(F.col("m_"))
-    std = F.when(F.col("n_") == 1, 1.0).otherwise(F.col("d_"))
-    return _spread(df, (F.col("score") - mean) / (std + eps) if by_std else F.col("score") - mean).drop("n_", "m_", "d_")
+    df = _with_groups(_scored(df), n_=F.count("*"), m_=F.avg("score"), d_=F.stddev_samp("score"))
+    centred = F.col("score") - _mean()
+    return _spread(df, centred / (_std(F.col("d_")) + eps) if by_std else centred).drop("n_", "m_", "d_")
 
 
 @register_estimator("grpo_vectorized")
 def grpo_vectorized(df: DataFrame, eps: float = 1e-6, by_std: bool = True) -> DataFrame:
     """As grpo, with the variance not under ``eps``."""
-    w = Window.partitionBy("uid")
-    df = _scored(df).withColumn("n_", F.count("*").over(w)).withColumn("m_", F.avg("score").over(w)).withColumn("v_", F.var_samp("score").over(w))
-    mean = F.when(F.col("n_") == 1, 0.0).otherwise(F.col("m_"))
-    std = F.when(F.col("n_") == 1, 1.0).otherwise(F.sqrt(F.greatest("v_", F.lit(eps))))
-    return _spread(df, (F.col("score") - mean) / (std + eps) if by_std else F.col("score") - mean).drop("n_", "m_", "v_")
+    df = _with_groups(_scored(df), n_=F.count("*"), m_=F.avg("score"), v_=F.var_samp("score"))
+    centred = F.col("score") - _mean()
+    return _spread(df, centred / (_std(F.sqrt(F.greatest("v_", F.lit(eps)))) + eps) if by_std else centred).drop("n_", "m_", "v_")
 
 
 @register_estimator("gdpo")
 def gdpo(df: DataFrame, components: list[str], weights: list[float] | None = None, eps: float = 1e-6, by_std: bool = True) -> DataFrame:
     """grpo for each component column (a score a row), weighted, summed and whitened over all tokens."""
-    w = Window.partitionBy("uid")
-    n = F.count("*").over(w)
+    means, spreads = [f"m{k}_" for k in range(len(components))], [f"d{k}_" for k in range(len(components))]
+    df = _with_groups(df, n_=F.count("*"), **{m: F.avg(c) for m, c in zip(means, components, strict=True)}, **{d: F.stddev_samp(c) for d, c in zip(spreads, components, strict=True)})
     parts = F.lit(0.0)
-    for c, weight in zip(components, weights or [1.0] * len(components), strict=True):
-        mean = F.when(n == 1, 0.0).otherwise(F.avg(c).over(w))
-        std = F.when(n == 1, 1.0).otherwise(F.stddev_samp(c).over(w))
-        parts = parts + weight * ((F.col(c) - mean) / (std + eps) if by_std else F.col(c) - mean)
-    out = _masked(whiten(_spread(df, parts), "advantages"), "advantages")
+    for c, m, d, weight in zip(components, means, spreads, weights or [1.0] * len(components), strict=True):
+        centred = F.col(c) - _mean(m)
+        parts = parts + weight * (centred / (_std(F.col(d)) + eps) if by_std else centred)
+    out = _masked(whiten(_spread(df, parts).drop("n_", *means, *spreads), "advantages"), "advantages")
     return out.withColumn("returns", F.col("advantages"))
 
 
 @register_estimator("grpo_passk")
 def grpo_passk(df: DataFrame, eps: float = 1e-6, by_std: bool = True) -> DataFrame:
-    """The best row of a group gets its lead over the second; of equals the smallest row_id is best. A group of one fails."""
-    w = Window.partitionBy("uid")
-    order = w.orderBy(F.desc("score"), "row_id")
-    df = _scored(df).withColumn("n_", F.count("*").over(w)).withColumn("rank_", F.row_number().over(order)).withColumn("next_", F.lead("score").over(order)).withColumn("d_", F.stddev_samp("score").over(w))
+    """The best row of a group gets its lead over the second; of equals the smallest row_id is best. A group of one fails.
+
+    The best row is found first, the second among the others, both by aggregation.
+    """
+    df = _with_groups(_scored(df), n_=F.count("*"), best_=F.max(F.struct(F.col("score"), (-F.col("row_id")).alias("back"))), d_=F.stddev_samp("score"))
+    first = (F.col("score") == F.col("best_.score")) & (F.col("row_id") == -F.col("best_.back"))
+    df = _with_groups(df.withColumn("first_", first), next_=F.max(F.when(~F.col("first_"), F.col("score"))))
     lead = F.col("score") - F.col("next_")
     best = lead / (F.col("d_") + eps) if by_std else lead
-    value = F.when(F.col("n_") < 2, F.raise_error(F.lit("a group needs two rows")).cast("double")).when(F.col("rank_") == 1, best).otherwise(0.0)
-    return _spread(df, value).drop("n_", "rank_", "next_", "d_")
+    value = F.when(F.col("n_") < 2, F.raise_error(F.lit("a group needs two rows")).cast("double")).when(F.col("first_"), best).otherwise(0.0)
+    return _spread(df, value).drop("n_", "best_", "first_", "next_", "d_")
 
 
 @register_estimator("reinforce_plus_plus_baseline")
 def reinforce_plus_plus_baseline(df: DataFrame) -> DataFrame:
     """Score less the group's mean (0 for a single row), whitened over all tokens."""
-    w = Window.partitionBy("uid")
-    df = _scored(df).withColumn("m_", F.when(F.count("*").over(w) == 1, 0.0).otherwise(F.avg("score").over(w)))
-    out = _masked(whiten(_spread(df, F.col("score") - F.col("m_")), "advantages"), "advantages").drop("m_")
+    df = _with_groups(_scored(df), n_=F.count("*"), m_=F.avg("score"))
+    out = _masked(whiten(_spread(df, F.col("score") - _mean()).drop("n_", "m_"), "advantages"), "advantages")
     return out.withColumn("returns", F.col("advantages"))
 
 
 @register_estimator("rloo")
 def rloo(df: DataFrame) -> DataFrame:
     """Score less the mean of the group's other rows; a single row keeps its score."""
-    w = Window.partitionBy("uid")
-    df = _scored(df).withColumn("n_", F.count("*").over(w)).withColumn("m_", F.avg("score").over(w))
+    df = _with_groups(_scored(df), n_=F.count("*"), m_=F.avg("score"))
     value = F.when(F.col("n_") > 1, (F.col("score") - F.col("m_")) * F.col("n_") / (F.col("n_") - 1)).otherwise(F.col("score"))
     return _spread(df, value).drop("n_", "m_")
 
@@ -142,8 +155,7 @@ def rloo(df: DataFrame) -> DataFrame:
 @register_estimator("rloo_vectorized")
 def rloo_vectorized(df: DataFrame) -> DataFrame:
     """As rloo, but a single row gets 0."""
-    w = Window.partitionBy("uid")
-    df = _scored(df).withColumn("n_", F.count("*").over(w)).withColumn("s_", F.sum("score").over(w))
+    df = _with_groups(_scored(df), n_=F.count("*"), s_=F.sum("score"))
     value = F.when(F.col("n_") > 1, (F.col("n_") * F.col("score") - F.col("s_")) / F.greatest(F.col("n_") - 1, F.lit(1))).otherwise(0.0)
     return _spread(df, value).drop("n_", "s_")
 
@@ -151,20 +163,18 @@ def rloo_vectorized(df: DataFrame) -> DataFrame:
 @register_estimator("opo")
 def opo(df: DataFrame) -> DataFrame:
     """Score less the group's mean weighted by lengths; a single row has baseline 0."""
-    w = Window.partitionBy("uid")
     df = _scored(df).withColumn("len_", A.count_on(F.col("mask")))
-    base = F.when(F.count("*").over(w) == 1, 0.0).otherwise(F.try_divide(F.sum(F.col("len_") * F.col("score")).over(w), F.sum("len_").over(w)))
-    return _spread(df.withColumn("b_", base), F.col("score") - F.col("b_")).drop("len_", "b_")
+    df = _with_groups(df, n_=F.count("*"), m_=F.try_divide(F.sum(F.col("len_") * F.col("score")), F.sum("len_")))
+    return _spread(df, F.col("score") - _mean()).drop("len_", "n_", "m_")
 
 
 @register_estimator("gpg")
 def gpg(df: DataFrame, f_norm: float = 1.0) -> DataFrame:
     """alpha * (score - group mean) / f_norm; alpha is the rows over the rows with a score other than 0."""
-    w = Window.partitionBy("uid")
     df = _scored(df)
     alpha = df.agg((F.count("*") / F.greatest(F.count_if(F.col("score") != 0), F.lit(1))).alias("alpha_"))
-    df = df.withColumn("m_", F.when(F.count("*").over(w) == 1, 0.0).otherwise(F.avg("score").over(w))).join(F.broadcast(alpha))  # one row
-    return _spread(df, F.col("alpha_") * (F.col("score") - F.col("m_")) / f_norm).drop("m_", "alpha_")
+    df = _with_groups(df, n_=F.count("*"), m_=F.avg("score")).join(F.broadcast(alpha))  # one row
+    return _spread(df, F.col("alpha_") * (F.col("score") - _mean()) / f_norm).drop("n_", "m_", "alpha_")
 
 
 @register_estimator("remax")
@@ -209,15 +219,18 @@ def _baseline_long(df: DataFrame, weight: str | None, dense: bool) -> DataFrame:
     """One row a token with its return to go, running weight and place (counted over unmasked tokens if ``dense``)."""
     items = F.zip_with("reward", "mask", lambda r, m: F.struct((r * m).alias("r")))
     df = df.withColumn("togo", A.reverse_scan(items, F.struct(F.lit(0.0).alias("out")), lambda s, x: F.struct((s["out"] + x["r"]).alias("out"))))
-    zipped = F.arrays_zip(F.col("togo").alias("g"), F.col("mask").alias("m"), F.col("old_logp").alias("lp"), F.col("pi2").alias("p2"), *([F.col(weight).alias("w")] if weight else []))
-    long = df.select("row_id", "uid", F.posexplode(zipped).alias("pos", "t")).select("row_id", "uid", "pos", "t.*")
+    zipped = F.arrays_zip(F.col("mask").alias("m"), F.col("old_logp").alias("lp"), F.col("pi2").alias("p2"), *([F.col(weight).alias("w")] if weight else []))
+
+    def grows(s: Column, t: Column) -> Column:
+        w2 = t["w"] * t["w"] if weight else F.lit(1.0)
+        return F.struct((s["out"] + (1 - 2 * F.exp(t["lp"]) + t["p2"]) * w2 * t["m"]).alias("out"))
+
+    df = df.withColumn("grown", A.scan(zipped, F.struct(F.lit(0.0).alias("out")), grows))
     if dense:
-        long = long.where("m != 0")
-    w2 = F.pow(F.col("w"), 2) if weight else F.lit(1.0)
-    grown = (1 - 2 * F.exp("lp") + F.col("p2")) * w2 * F.col("m")
-    run = Window.partitionBy("row_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    place = F.sum("m").over(run) - 1 if dense else F.col("pos")
-    return long.withColumn("grown", F.sum(grown).over(run)).withColumn("place", place)
+        df = df.withColumn("places", A.scan(F.col("mask"), F.struct(F.lit(0).alias("out")), lambda s, m: F.struct((s["out"] + m).cast("int").alias("out"))))
+    together = F.arrays_zip(F.col("togo").alias("g"), F.col("mask").alias("m"), F.col("grown").alias("grown"), *([F.col("places").alias("p")] if dense else []))
+    long = df.select("row_id", "uid", F.posexplode(together).alias("pos", "t")).select("row_id", "uid", "pos", "t.*")
+    return long.withColumn("place", F.col("p") - 1 if dense else F.col("pos"))
 
 
 @register_estimator("optimal_token_baseline")
@@ -226,25 +239,25 @@ def optimal_token_baseline(df: DataFrame, weight: str | None = None, tail: bool
 
     Single rows have baseline 0; so has the tail of a group's only longest row beyond the second length (``tail``).
     With ``dense`` places count unmasked tokens only. Frames also have old_logp and pi2 (sum of squared probabilities).
-    Group and place are the window's key, so a long group is spread over its places.
+    Sums by group and place are aggregated map-side, and a long group is spread over its places.
     """
     long = _baseline_long(df, weight, dense)
     spans = df.select("uid", A.count_on(F.col("mask")).alias("len"))
-    spans = spans.where("len > 0") if dense else spans
-    ranked = spans.groupBy("uid").agg(F.count("*").alias("rows"), F.array_sort(F.collect_list("len"), lambda a, b: b - a).alias("lens"))
-    limits = ranked.select("uid", "rows", F.when((F.size("lens") > 1) & (F.element_at("lens", 1) > F.get("lens", F.lit(1))), F.get("lens", F.lit(1))).alias("second"))
-    at = Window.partitionBy("uid", "place")
-    mean = F.sum(F.col("g") * F.col("grown") * F.col("m")).over(at) / (F.sum(F.col("grown") * F.col("m")).over(at) + eps)
-    joined = long.withColumn("base", mean).join(limits, "uid")
-    base = F.when(F.col("rows") == 1, 0.0).when(F.lit(tail) & F.col("second").isNotNull() & (F.col("place") >= F.col("second")), 0.0).otherwise(F.col("base"))
-    tokens = joined.withColumn("adv", (F.col("g") - base) * F.col("m"))
-    back = tokens.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "adv"))).alias("by_pos"), F.map_from_entries(F.collect_list(F.struct("pos", "g"))).alias("g_pos"))
+    sizes = (spans.where("len > 0") if dense else spans).groupBy("uid", "len").agg(F.count("*").alias("n"))
+    tops = sizes.groupBy("uid").agg(F.sum("n").alias("rows"), F.max("len").alias("top"), F.max_by("n", "len").alias("tops"))
+    others = sizes.join(tops.select("uid", "top"), "uid").where("len < top").groupBy("uid").agg(F.max("len").alias("below"))
+    limits = tops.join(others, "uid", "left").select("uid", "rows", F.when(F.col("tops") == 1, F.col("below")).alias("second"))
+    at = long.groupBy("uid", "place").agg(F.sum(F.col("g") * F.col("grown") * F.col("m")).alias("gw"), F.sum(F.col("grown") * F.col("m")).alias("w"))
+    bases = at.join(limits, "uid", "left").select(
+        "uid", "place",
+        F.when(F.col("rows") == 1, 0.0).when(F.lit(tail) & F.col("second").isNotNull() & (F.col("place") >= F.col("second")), 0.0).otherwise(F.col("gw") / (F.col("w") + eps)).alias("base"),
+    )
+    tokens = long.join(bases, ["uid", "place"]).select("row_id", F.struct("pos", ((F.col("g") - F.col("base")) * F.col("m")).alias("a"), (F.col("g") * F.col("m") if dense else F.col("g")).alias("g")).alias("t"))
+    back = tokens.groupBy("row_id").agg(F.array_sort(F.collect_list("t")).alias("tokens_"))  # one row's own tokens
+    empty = F.array().cast("array<double>")
     out = df.join(back, "row_id", "left")
-    return (
-        out.withColumn("advantages", F.transform("mask", lambda m, k: F.coalesce(F.element_at("by_pos", k), F.lit(0.0))))
-        .withColumn("returns", F.transform("mask", lambda m, k: F.coalesce(F.element_at("g_pos", k), F.lit(0.0))))
-        .drop("by_pos", "g_pos")
-    )
+    out = out.withColumn("advantages", F.coalesce(F.transform("tokens_", lambda t: t["a"] + 0.0), empty))
+    return out.withColumn("returns", F.coalesce(F.transform("tokens_", lambda t: t["g"] + 0.0), empty)).drop("tokens_")
 
 
 @register_estimator("tir_optimal_token_baseline")
@@ -255,18 +268,18 @@ def tir_optimal_token_baseline(df: DataFrame, **options) -> DataFrame:
 @register_estimator("flow_grpo")
 def flow_grpo(df: DataFrame, eps: float = 1e-4, by_std: bool = True, global_std: bool = True) -> DataFrame:
     """For scores a row (``score``) that hold at each of its steps: the mean is the group's, the deviation all rows' or the group's."""
-    w = Window.partitionBy("uid")
     t = F.size("mask")
-    n, s, q = F.sum(t).over(w), F.sum(F.col("score") * t).over(w), F.sum(F.col("score") * F.col("score") * t).over(w)
-    df = df.withColumn("n_", n).withColumn("m_", s / n).withColumn("q_", q).withColumn("rows_", F.count("*").over(w))
+    df = df.withColumn("t_", t)
+    df = _with_groups(df, n_=F.sum("t_"), m_=F.sum(F.col("score") * F.col("t_")) / F.sum("t_"), rows_=F.count("*"))
     if global_std:
-        sums = df.agg(F.sum(t).alias("gn"), F.sum(F.col("score") * t).alias("gs"), F.sum(F.col("score") * F.col("score") * t).alias("gq"))
-        df = df.join(F.broadcast(sums.select(F.sqrt((F.col("gq") - F.col("gs") * F.col("gs") / F.col("gn")) / (F.col("gn") - 1)).alias("d_"))))  # one row
+        spread = df.select(F.explode(F.array_repeat("score", F.col("t_"))).alias("x")).agg(F.stddev_samp("x").alias("d_"))
+        df = df.join(F.broadcast(spread))  # one row
     else:
-        var = (F.col("q_") - F.col("n_") * F.col("m_") * F.col("m_")) / (F.col("n_") - 1)
-        df = df.withColumn("d_", F.when(F.col("rows_") == 1, 1.0).otherwise(F.sqrt(F.greatest(var, F.lit(0.0)))))
+        away = F.col("score") - F.col("m_")
+        df = _with_groups(df, q_=F.sum(away * away * F.col("t_")))
+        df = df.withColumn("d_", F.when(F.col("rows_") == 1, 1.0).otherwise(F.sqrt(F.col("q_") / (F.col("n_") - 1)))).drop("q_")
     value = (F.col("score") - F.col("m_")) / (F.col("d_") + eps) if by_std else F.col("score") - F.col("m_")
-    return _spread(df, value).drop("n_", "m_", "q_", "rows_", "d_")
+    return _spread(df, value).drop("n_", "m_", "t_", "rows_", "d_")
 
 
 def multi_trajectory(df: DataFrame, key: str = "key", by_std: bool = True, eps: float = 1e-6) -> DataFrame:

@@ -280,14 +280,20 @@ def hashed_int(seed, *columns) -> Column:
 
 
 def batches(df: DataFrame, size: int, epochs: int = 1, seed: int | None = None, drop_last: bool = True) -> DataFrame:
-    """``epoch``, ``batch`` and ``place`` of each row: in order, or shuffled for each epoch by hash."""
+    """``epoch``, ``batch`` and ``place`` of each row: in order, or shuffled for each epoch by hash.
+
+    Rows are numbered by ranges of epoch and order, so no task holds an epoch.
+    """
     many = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
-    order = F.col("row_id") if seed is None else hashed(seed, "epoch", "row_id")
-    w = Window.partitionBy("epoch").orderBy(order, "row_id")
-    out = many.withColumn("place", (F.row_number().over(w) - 1).cast("bigint")).withColumn("batch", F.floor(F.col("place") / size).cast("bigint"))
-    if not drop_last:
-        return out
-    return out.withColumn("n_", F.count("*").over(Window.partitionBy("epoch", "batch"))).where(F.col("n_") == size).drop("n_")
+    key = F.col("row_id").cast("double") if seed is None else hashed_int(seed, "epoch", "row_id").cast("double")
+    ends = many.agg(F.min(key), F.max(key), F.count("*")).first()
+    n = ends[2] // epochs
+    width = (ends[1] or 0.0) - (ends[0] or 0.0) + 1
+    ordered = many.withColumn("range_key_", F.col("epoch") * width + key - (ends[0] or 0.0)).withColumn("full_key_", F.col("row_id").cast("string") if seed is None else hashed(seed, "epoch", "row_id"))
+    order = ["range_key_", "row_id"] if seed is None else ["range_key_", "full_key_", "row_id"]
+    numbered = number_rows(ordered, *order, out="number_").drop("range_key_", "full_key_")
+    out = numbered.withColumn("place", F.col("number_") - F.col("epoch") * n).withColumn("batch", F.floor(F.col("place") / size).cast("bigint")).drop("number_")
+    return out.where(F.col("batch") < n // size) if drop_last else out
 
 
 def as_rows(spark: SparkSession, columns: dict[str, list]) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
-from .batch import hashed
+from .batch import hashed_int
 from .metrics import agg_loss
 
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
@@ -155,13 +155,33 @@ def _long(df: DataFrame) -> DataFrame:
     return long.join(F.broadcast(means)).withColumn("cov", (F.col("advantages") - F.col("ma_")) * (F.col("logp") - F.col("ml_")))  # one row
 
 
+def _highest(long: DataFrame, value: str, k: int) -> DataFrame:
+    """``long`` with ``top_``: whether a token is among the ``k`` with the largest ``value``, of equals the first rows and places.
+
+    Counts over brackets of approximate quantiles find the bracket in which the cut lies; only its rows are ordered, and
+    no task gathers the tokens above it.
+    """
+    n = long.count()
+    if k >= n:
+        return long.withColumn("top_", F.lit(True))
+    share = k / n
+    marks = long.agg(F.percentile_approx(value, [max(0.0, 1 - share * (2 - j / 32)) for j in range(65)], 100_000)).first()[0]
+    marks = sorted(set(marks))
+    counts = long.agg(*[F.count_if(F.col(value) >= m) for m in marks]).first()
+    sure = next((j for j, c in enumerate(counts) if c <= k), len(marks))
+    above = counts[sure] if sure < len(marks) else 0
+    inside = F.lit(True) if sure == 0 else F.col(value) >= marks[sure - 1]
+    certain = F.lit(False) if sure == len(marks) else F.col(value) >= marks[sure]
+    edge = long.where(inside & ~certain).select(value, "row_id", "pos").orderBy(F.desc(value), "row_id", "pos").limit(k - above)
+    marked = long.join(edge.select("row_id", "pos", F.lit(True).alias("edge_")), ["row_id", "pos"], "left")
+    return marked.withColumn("top_", F.coalesce(certain, F.lit(False)) | F.coalesce("edge_", F.lit(False))).drop("edge_")
+
+
 @register_loss("kl_cov")
 def kl_cov(df: DataFrame, share: float = 0.0002, coefficient: float = 1.0) -> DataFrame:
     """The tokens of largest covariance pay for their divergence; token mean. Of equals the first rows and places count."""
     long = _long(df)
-    k = max(1, int(long.count() * share))
-    edge = long.select("cov", "row_id", "pos").orderBy(F.desc("cov"), "row_id", "pos").limit(k)
-    chosen = long.join(edge.select("row_id", "pos", F.lit(True).alias("top_")), ["row_id", "pos"], "left")
+    chosen = _highest(long, "cov", max(1, int(long.count() * share)))
     d = F.col("logp") - F.col("old_logp")
     loss = -F.col("advantages") * F.exp(d) + F.when(F.col("top_"), coefficient * F.abs(d)).otherwise(0.0)
     return chosen.agg(F.avg(loss).alias("loss"))
@@ -173,9 +193,9 @@ def clip_cov(df: DataFrame, share: float = 0.0002, low: float = 0.2, high: float
     long = _long(df)
     plain, clipped = _clipped(F.col("logp") - F.col("old_logp"), F.col("advantages"), low, high)
     k = max(1, int(long.count() * share))
-    can = long.where((F.col("cov") > least) & (F.col("cov") < most) & ~(clipped > plain))
-    drawn = can.select("row_id", "pos").orderBy(hashed(seed, "row_id", "pos"), "row_id", "pos").limit(k)
-    marked = long.join(drawn.withColumn("drop_", F.lit(True)), ["row_id", "pos"], "left")
+    can = (F.col("cov") > least) & (F.col("cov") < most) & ~(clipped > plain)
+    drawn = _highest(long.where(can).withColumn("draw_", -hashed_int(seed, "row_id", "pos")), "draw_", k).where("top_")
+    marked = long.join(drawn.select("row_id", "pos", F.lit(True).alias("drop_")), ["row_id", "pos"], "left")
     return marked.agg(F.avg(F.when(F.col("drop_"), 0.0).otherwise(F.greatest(plain, clipped))).alias("loss"))
 
 

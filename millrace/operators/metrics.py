@@ -54,17 +54,12 @@ def data_metrics(df: DataFrame, width: int, critic: bool = True) -> DataFrame:
         *three("response_length_non_aborted", F.when(live, length)), *three("score_non_aborted", F.when(live, F.col("score"))),
         *three("prompt_length", F.col("prompt_length").cast("double")),
     ]
-    if critic:
-        diff = F.zip_with("returns", "value", lambda r, v: r - v)
-
-        def sums(x: Column) -> tuple[Column, Column]:
-            return F.sum(A.total(x)), F.sum(A.total(F.transform(x, lambda v: v * v)))
-
-        count = F.sum(F.size("returns"))
-        (sr, qr), (sd, qd) = sums(F.col("returns")), sums(diff)
-        out += tokens("value", "value")
-        out.append((1 - ((qd - sd * sd / count) / (count - 1)) / ((qr - sr * sr / count) / (count - 1) + 1e-5)).alias("explained_variance"))
-    return per.agg(*out)
+    if not critic:
+        return per.agg(*out)
+    out += tokens("value", "value")
+    pairs = per.select(F.explode(F.arrays_zip(F.col("returns").alias("r"), F.col("value").alias("v"))).alias("t"))
+    explained = pairs.agg((1 - F.var_samp(F.col("t.r") - F.col("t.v")) / (F.var_samp("t.r") + 1e-5)).alias("explained_variance"))
+    return per.agg(*out).join(F.broadcast(explained))  # one row each
 
 
 def variance_proxy(df: DataFrame, gradient_norm: float) -> DataFrame:
@@ -158,21 +153,37 @@ def group_sizes(n: Column) -> Column:
     return F.when(n > 1, F.array_append(powers, n.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+#: Most rows of drawn places that are broadcast; more are joined by shuffle.
+BROADCAST_DRAWS = 200_000
+
+
 def bootstrap(df: DataFrame, keys: tuple[str, ...], value: str, pred: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
     """best@k, worst@k and maj@k of each group: mean and standard deviation (ddof 0) over ``draws`` samples with replacement.
 
     Rows have ``pos`` from 0 in their group. The index of draw j in sample b is HASH(seed, k, b, j) modulo n, alike for
-    all groups of a size, so that any engine can repeat it. The label with most votes wins, of equals the one drawn
-    first; its value is the first that the group has drawn for it.
+    all groups of a size, so that any engine can repeat it; the places are drawn once for each size and sample. The
+    label with most votes wins, of equals the one drawn first; its value is the first that the group has drawn for it.
     """
     g = list(keys)
-    sizes = df.groupBy(*g).agg(F.count("*").alias("n"), F.map_from_entries(F.collect_list(F.struct("pos", F.struct(F.col(value).alias("v"), (F.col(pred) if pred else F.lit("")).alias("p"))))).alias("rows"))
-    plan = sizes.withColumn("k", F.explode(group_sizes(F.col("n")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    plan = plan.withColumn("j", F.explode(F.expr("sequence(0, k - 1)")))
-    at = F.pmod(hashed_int(seed, "k", "b", "j"), F.col("n"))
-    drawn = plan.withColumn("row", F.element_at("rows", at.cast("bigint"))).select(*g, "n", "k", "b", "j", F.col("row.v").alias("v"), F.col("row.p").alias("p"))
-    votes = drawn.groupBy(*g, "n", "k", "b", "p").agg(F.count("*").alias("c"), F.min("j").alias("first"), F.min_by("v", "j").alias("pv"), F.max("v").alias("high"), F.min("v").alias("low"))
-    samples = votes.groupBy(*g, "n", "k", "b").agg(F.max("high").alias("best"), F.min("low").alias("worst"), F.max_by("pv", F.struct("c", (-F.col("first")).alias("early"))).alias("maj"))
+    row = F.struct("pos", F.col(value).cast("double").alias("v"), (F.col(pred) if pred else F.lit("")).alias("p"))
+    groups = df.groupBy(*g).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("rows"))
+    sizes = groups.select("n").distinct().withColumn("k", F.explode(group_sizes(F.col("n")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    drawn = sizes.withColumn("j", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("at", F.pmod(hashed_int(seed, "k", "b", "j"), F.col("n")).cast("int"))
+    places = drawn.groupBy("n", "k", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "at"))), lambda x: x["at"]).alias("places"))
+    if sizes.limit(BROADCAST_DRAWS + 1).count() <= BROADCAST_DRAWS:
+        samples = groups.join(F.broadcast(places), "n")
+    else:
+        spread = groups.withColumn("k", F.explode(group_sizes(F.col("n")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        samples = spread.join(places, ["n", "k", "b"])
+    samples = samples.select(*g, "n", "k", F.transform("places", lambda at: F.element_at("rows", at + 1)).alias("drawn"))
+    values = F.transform("drawn", lambda r: r["v"])
+    labels = F.transform("drawn", lambda r: r["p"])
+    distinct = F.array_distinct(labels)  # in the order of their first draw
+    votes = F.transform(distinct, lambda p: F.size(F.filter(labels, lambda q: q.eqNullSafe(p))))
+    winner = F.element_at(distinct, F.array_position(votes, F.array_max(votes)).cast("int"))
+    samples = samples.select(*g, "n", "k", F.array_max(values).alias("best"), F.array_min(values).alias("worst"), "drawn", *([winner.alias("winner")] if pred else []))
+    if pred:
+        samples = samples.withColumn("maj", F.element_at(F.filter("drawn", lambda r: r["p"].eqNullSafe(F.col("winner"))), 1)["v"])
     out = [x for m in ("best", "worst", *["maj"] * bool(pred)) for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))]
     return samples.groupBy(*g, "n", "k").agg(*out)
 
@@ -200,9 +211,58 @@ def label_core(df: DataFrame) -> DataFrame:
 # ---- others
 
 
+#: Rows of a bracket that are sorted at once.
+BRACKET_ROWS = 100_000
+
+
+def order_statistic(df: DataFrame, value: str, rank: int) -> float | None:
+    """The value of the given rank from 0 in ascending order, nulls apart; null if there are fewer values.
+
+    Values are bracketed by approximate quantiles, which narrows a table by a factor of thousands with one pass that
+    keeps a bounded state, until a bracket of one value or of at most BRACKET_ROWS is left.
+    """
+    left, n = df.where(F.col(value).isNotNull()).select(F.col(value).alias("x")), None
+    while True:
+        n = left.count() if n is None else n
+        if not 0 <= rank < n:
+            return None
+        if n <= BRACKET_ROWS:
+            return sorted(r[0] for r in left.collect())[rank]
+        at = (rank + 0.5) / n
+        low, high = left.agg(F.percentile_approx("x", [max(0.0, at - 2e-3), min(1.0, at + 2e-3)], 5000)).first()[0]
+        under, inside = left.agg(F.count_if(F.col("x") < low), F.count_if((F.col("x") >= low) & (F.col("x") <= high))).first()
+        if rank < under:
+            left, n = left.where(F.col("x") < low), under
+        elif rank >= under + inside:
+            left, rank, n = left.where(F.col("x") > high), rank - under - inside, n - under - inside
+        elif low == high:
+            return low
+        elif inside == n:  # nothing narrowed: more equal values at an end than the accuracy tells apart
+            ends = left.agg(F.count_if(F.col("x") == low), F.count_if(F.col("x") == high)).first()
+            if rank < ends[0]:
+                return low
+            if rank >= n - ends[1]:
+                return high
+            left, rank, n = left.where((F.col("x") > low) & (F.col("x") < high)), rank - ends[0], n - ends[0] - ends[1]
+        else:
+            left, rank, n = left.where((F.col("x") >= low) & (F.col("x") <= high)), rank - under, inside
+
+
+def quantile(df: DataFrame, value: str, at: float) -> float | None:
+    """Linearly interpolated between two order statistics."""
+    n = df.where(F.col(value).isNotNull()).count()
+    if not n:
+        return None
+    place = (n - 1) * at
+    low = order_statistic(df, value, int(place))
+    high = low if place == int(place) else order_statistic(df, value, int(place) + 1)
+    return low + (high - low) * (place - int(place))
+
+
 def percentiles(df: DataFrame, value: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """Linearly interpolated."""
-    return df.agg(*[F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in at])
+    """One row of linearly interpolated percentiles; exact, as no state holds all values."""
+    found = [quantile(df, value, p) for p in at]
+    return df.sparkSession.createDataFrame([found], ", ".join(f"p{round(100 * p)} double" for p in at))
 
 
 def slowest(df: DataFrame, parts: list[str]) -> DataFrame:
@@ -214,9 +274,8 @@ def slowest(df: DataFrame, parts: list[str]) -> DataFrame:
 
 def topk_ratio(df: DataFrame, value: str, share: float = 0.1) -> DataFrame:
     """Minimum, maximum, and the share of values above the quantile ``1 - share``."""
-    q = df.agg(F.percentile(value, F.lit(1 - share)).alias("q_"))
-    joined = df.join(F.broadcast(q))  # one row
-    return joined.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg((F.col(value) > F.col("q_")).cast("double")).alias("share"))
+    q = quantile(df, value, 1 - share)
+    return df.agg(F.min(value).alias("min"), F.max(value).alias("max"), F.avg((F.col(value) > F.lit(q)).cast("double")).alias("share"))
 
 
 def log_prob_debug(df: DataFrame) -> DataFrame:

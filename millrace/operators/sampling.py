@@ -27,8 +27,9 @@ def weights(df: DataFrame, score: str, method: str, power: float = 2.0, out: str
 def resample(df: DataFrame, key: str, weight: str, draws: int, seed) -> DataFrame:
     """``draws`` rows with replacement, in proportion to their weights: ``k`` counts the draws.
 
-    Draws fall into the rows' bins of the running weight. The running sum is taken in buckets of the key's hash order
-    and within them, so no task holds all rows, and a draw meets its bucket's rows only.
+    Draws fall into the rows' bins of the running weight. Running sums are taken in buckets of the key's order and within
+    them, and draws and rows of a bucket are passed through once, in order of position: no task holds all rows, and no draw
+    is compared with rows other than its own.
     """
     parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     marks = sorted(set(df.agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
@@ -41,9 +42,12 @@ def resample(df: DataFrame, key: str, weight: str, draws: int, seed) -> DataFram
     drawn = df.sparkSession.range(draws).withColumnRenamed("id", "k").withColumn("u_", unit)
     placed = drawn.join(F.broadcast(spans), (F.col("u_") * F.col("all_") >= F.col("from_")) & (F.col("u_") * F.col("all_") < F.col("to_")))  # a row a bucket
     within = Window.partitionBy("bucket_").orderBy(key)
-    bins = dealt.withColumn("high_", F.sum(weight).over(within)).withColumn("low_", F.coalesce(F.lag("high_").over(within), F.lit(0.0)))
-    at = F.col("u_") * F.col("all_") - F.col("from_")
-    return placed.join(bins, "bucket_").where((at >= F.col("low_")) & (at < F.col("high_"))).drop("bucket_", "from_", "to_", "all_", "u_", "high_", "low_", "sum_")
+    bins = dealt.withColumn("high_", F.sum(weight).over(within)).withColumn("at_", F.coalesce(F.lag("high_").over(within), F.lit(0.0)))
+    rows = bins.select("bucket_", "at_", F.lit(0).alias("turn_"), F.struct(*[F.col(c) for c in df.columns]).alias("row_"), F.col(key).alias("key_"))
+    asked = placed.select("bucket_", (F.col("u_") * F.col("all_") - F.col("from_")).alias("at_"), F.lit(1).alias("turn_"), "k")
+    along = Window.partitionBy("bucket_").orderBy("at_", "turn_", "key_").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rows.unionByName(asked, allowMissingColumns=True).withColumn("row_", F.last("row_", ignorenulls=True).over(along)).where("turn_ = 1")
+    return met.select("k", "row_.*")
 
 
 def allocate(df: DataFrame, task: str, total: int, seed, key: str) -> DataFrame:
@@ -54,13 +58,13 @@ def allocate(df: DataFrame, task: str, total: int, seed, key: str) -> DataFrame:
 
 def stratified(df: DataFrame, positive: str, n: int, ratio: float, seed, key: str) -> DataFrame:
     """``n`` rows without replacement, ``round(n * ratio)`` of them positive as far as there are enough of either kind."""
-    counts = {r[0]: r[1] for r in df.groupBy(positive).count().collect()}  # two rows
+    counts = {r[0]: r[1] for r in df.groupBy(F.coalesce(F.col(positive), F.lit(False))).count().collect()}  # two rows
     have, others = counts.get(True, 0), counts.get(False, 0)
     want = min(round(n * ratio), have)
     rest = min(n - want, others)
     want = min(have, want + max(0, n - want - rest))
-    rank = F.row_number().over(Window.partitionBy(positive).orderBy(hashed(seed, key), key))
-    return df.withColumn("rank_", rank).where(F.when(F.col(positive), F.col("rank_") <= want).otherwise(F.col("rank_") <= rest)).drop("rank_")
+    kind = F.coalesce(F.col(positive), F.lit(False))
+    return exact_sample(df.where(kind), want, seed, key).unionByName(exact_sample(df.where(~kind), rest, seed, key))
 
 
 def keep_traced(df: DataFrame, sample: str, most: int, seed) -> DataFrame:

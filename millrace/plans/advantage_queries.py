@@ -19,12 +19,12 @@ select t.row_id, t.pos, round(v.a * t.mask + 0.0, 6) as advantages from tok t jo
 
 
 def _whitened_sql(value: str, masked: str = "* mask", extra: str = "") -> str:
-    return f"""with {TOK}, {ROWS},
+    tok = TOK.replace("tok as (", "tok as materialized (", 1)
+    return f"""with {tok}, {ROWS},
 stats as (select *, count(*) over w as n, avg(score) over w as m, stddev_samp(score) over w as d{extra} from per_row window w as (partition by uid)),
-valued as (select t.row_id, t.pos, t.mask, ({value}) * t.mask as a from tok t join stats using (row_id)),
-sums as (select sum(mask) as k, sum(a * mask) as s from valued),
-moments as (select s / (k + 1e-8) as mean, k from sums),
-spread as (select (select mean from moments) as mean, sum((a - (select mean from moments)) ** 2 * mask) / ((select k from moments) + 1e-8) * (select k from moments) / ((select k from moments) - 1) as var from valued)
+valued as materialized (select t.row_id, t.pos, t.mask, ({value}) * t.mask as a from tok t join stats using (row_id)),
+moments as materialized (select sum(mask) as k, sum(a * mask) / (sum(mask) + 1e-8) as mean from valued),
+spread as materialized (select max(mean) as mean, sum((a - mean) ** 2 * mask) / (max(k) + 1e-8) * max(k) / (max(k) - 1) as var from valued, moments)
 select row_id, pos, round((a - mean) / sqrt(var + 1e-8) {masked} + 0.0, 6) as advantages from valued, spread"""
 
 

@@ -276,6 +276,8 @@ def pricing_summary(spark, sf_dir):
     return li.groupBy("l_returnflag", "l_linestatus").agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.count("*").alias("n"))
 
 
-@query("approx_distinct")
+@query("approx_distinct", "select true as close")
 def approx_distinct(spark, sf_dir):
-    return load(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+    """Whether the approximate count is within a tenth of the exact one."""
+    counts = load(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("approx"), F.countDistinct("l_partkey").alias("exact"))
+    return counts.select((F.abs(F.col("approx") - F.col("exact")) <= 0.1 * F.col("exact")).alias("close"))

@@ -34,20 +34,14 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_many(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of the same kind are one scan; of others the rows follow, missing columns being null. ``file_no`` is the file's place."""
-    kinds: dict[str, list[str]] = {}
-    for p in paths:
-        kinds.setdefault("parquet" if p.rstrip("/").endswith(".parquet") else "json", []).append(p)
-        if not p.rstrip("/").endswith((".parquet", ".json", ".jsonl")):
-            raise ValueError(f"neither parquet nor JSON: {p}")
+    """All files' rows, missing columns being null. ``file_no`` is the place in ``paths`` of the path that a row comes from."""
     out = None
-    for kind, own in kinds.items():
-        df = (spark.read.parquet(*own) if kind == "parquet" else spark.read.json(own)).withColumn("file_", F.input_file_name())
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    number = F.lit(None).cast("int")
     for k, p in enumerate(paths):
-        number = F.when(F.col("file_").contains(p.rstrip("/").rsplit("/", 1)[-1]), k).otherwise(number)
-    return out.withColumn("file_no", number).drop("file_")
+        df = read_any(spark, p).withColumn("file_no", F.lit(k))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no paths")
+    return out
 
 
 def content_length(prompt: Column) -> Column:
@@ -74,8 +68,10 @@ def load_prompts(spark: SparkSession, paths: list[str], options: ReadOptions, or
 
 
 def load_conversations(spark: SparkSession, paths: list[str], limit: int = -1, order: list[str] | None = None) -> DataFrame:
+    """All conversations, or the first ``limit`` in ``order``, without which they come file by file in the order of their text."""
     df = read_many(spark, paths)
-    return df.orderBy(*(order or ["file_no"])).limit(limit) if limit > 0 else df
+    keys = order or ["file_no", F.to_json(F.struct(*[c for c in df.columns if c != "file_no"]))]
+    return df.orderBy(*keys).limit(limit) if limit > 0 else df
 
 
 def load_preferences(spark: SparkSession, paths: list[str], prompt="prompt", chosen="chosen", rejected="rejected") -> DataFrame:
@@ -92,6 +88,48 @@ def read_steps(spark: SparkSession, folder: str, masks: list[str] | None = None)
     return df
 
 
+def append_rows(rows: DataFrame, path: str, prompt_key: str = "prompt", most: int | None = None, length: Callable[[Column], Column] = content_length) -> None:
+    """Append generated prompts to a live parquet table, over-long ones being dropped first."""
+    (rows if most is None else drop_overlong(rows, prompt_key, most, length)).write.mode("append").parquet(path)
+
+
+def batch_appender(generate: Callable[[DataFrame], DataFrame], path: str, **options) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: what ``generate`` makes of each finished batch joins the live table, each batch once.
+
+    A batch that is run again replaces its own earlier rows.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        rows = generate(batch)
+        most = options.get("most")
+        kept = rows if most is None else drop_overlong(rows, options.get("prompt_key", "prompt"), most, options.get("length", content_length))
+        kept.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_no={number}")
+
+    return put
+
+
+def stored_generation(spark: SparkSession, path: str, train_step: int) -> DataFrame | None:
+    """The stored batch that the index names for ``train_step``; none if there is no such line or folder."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import AnalysisException
+
+    try:
+        step = last_generation(spark.read.parquet(f"{path.rstrip('/')}/index"), train_step).first()["gen_step"]
+        return spark.read.parquet(f"{path.rstrip('/')}/gen_step={step}") if step is not None else None
+    except (AnalysisException, Py4JJavaError):
+        return None
+
+
+def load_pools(spark: SparkSession, path: str) -> DataFrame | None:
+    """A snapshot of ring pools; none if there is none."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
 def last_generation(index: DataFrame, train_step: int) -> DataFrame:
     """The last gen_step that the index (line_no, train_step, gen_step) has for exactly this step."""
     return index.where(F.col("train_step") == train_step).agg(F.max_by("gen_step", "line_no").alias("gen_step"))

@@ -48,6 +48,23 @@ def save(df: DataFrame, path: str) -> None:
 
 
 def dump_generation_batch(df: DataFrame, path: str, train_step: int, gen_step: int) -> DataFrame:
-    """A batch under its generation step; returns the line for the index table."""
-    df.withColumn("gen_step", F.lit(gen_step)).write.mode("overwrite").parquet(f"{path}/gen_step={gen_step}")
-    return df.sparkSession.createDataFrame([(train_step, gen_step)], "train_step int, gen_step int")
+    """Store a batch under its generation step and append its line to the index, which is returned.
+
+    The index has line_no (its number of lines before), train_step and gen_step; the batch is written first, so a
+    line never names a batch that isn't there.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark, index = df.sparkSession, f"{path.rstrip('/')}/index"
+    df.withColumn("gen_step", F.lit(gen_step)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/gen_step={gen_step}")
+    try:
+        lines = spark.read.parquet(index).count()
+    except AnalysisException:
+        lines = 0
+    spark.createDataFrame([(lines, train_step, gen_step)], "line_no bigint, train_step int, gen_step int").write.mode("append").parquet(index)
+    return spark.read.parquet(index)
+
+
+def save_pools(df: DataFrame, path: str) -> None:
+    """Snapshot of ring pools, which ``load_pools`` reads."""
+    df.write.mode("overwrite").parquet(path)

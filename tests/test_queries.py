@@ -18,10 +18,6 @@ def test_query(spark, sf_dir, con, name):
     assert not compare.difference(catalog.QUERIES[name](spark, sf_dir), con, catalog.ORACLE_SQL[name])
 
 
-def test_approximate(spark, sf_dir):
-    assert catalog.QUERIES["approx_distinct"](spark, sf_dir).first()[0] > 0
-
-
 def test_entry(spark):
     import __spark_entry__
 
