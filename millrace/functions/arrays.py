@@ -179,3 +179,39 @@ def multiset_jaccard(a: Column, b: Column) -> Column:
 
     shared = F.aggregate(F.transform(distinct, lambda v: F.least(times(a, v), times(b, v))), F.lit(0), lambda s, v: s + v)
     return F.when(F.array_sort(a) == F.array_sort(b), F.lit(1.0)).otherwise(F.coalesce(F.try_divide(shared.cast("double"), F.size(a) + F.size(b) - shared), F.lit(0.0)))
+
+
+def expand(value: Column, like: Column) -> Column:
+    """A row's value at each place of an array."""
+    return F.array_repeat(value, F.size(like))
+
+
+def cut_response(values: Column, mask: Column) -> Column:
+    """Padded values cut to the response's true length."""
+    return F.slice(values, F.lit(1), count_on(mask))
+
+
+def pad_rows(rows: Column, left: int | Column, right: int | Column, value, width: int) -> Column:
+    """A matrix with rows of ``value`` before and after."""
+    row = F.array_repeat(F.lit(value), width)
+    return F.concat(F.array_repeat(row, F.lit(left).cast("int")), rows, F.array_repeat(row, F.lit(right).cast("int")))
+
+
+def token_ids(value: Column, kind: str) -> Column:
+    """Flat ids from a flat array, an array with one array, or a struct that has them as input_ids; ``kind`` is the type's text."""
+    if kind.startswith("struct"):
+        value, kind = value["input_ids"], kind.split("input_ids:", 1)[1]
+    if kind.startswith("array<array"):
+        one = F.when(F.size(value) == 1, value[0]).otherwise(F.raise_error(F.lit("several rows of ids")).cast("array<bigint>"))
+        return F.transform(one, lambda x: x.cast("bigint"))
+    return F.transform(value, lambda x: x.cast("bigint"))
+
+
+def system_prefix(one: Column, two: Column) -> Column:
+    """Ids in front of the turns, from those of one and of two equal turns."""
+    return F.slice(one, F.lit(1), F.size(one) - (F.size(two) - F.size(one)))
+
+
+def generation_prompt(plain: Column, opened: Column) -> Column:
+    """Ids that open an answer, from those of a turn without and with them."""
+    return F.slice(opened, F.size(plain) + 1, F.size(opened))

@@ -401,3 +401,57 @@ def score_at_last(scores: Column, mask: Column) -> Column:
 def boxes_valid(left: Column, top: Column, right: Column, bottom: Column) -> Column:
     w, h = right - left, bottom - top
     return (w > 0) & (h > 0) & (F.greatest(w, h) / F.least(w, h) <= 100)
+
+
+def boxes_resized(left: Column, top: Column, right: Column, bottom: Column, width: Column, height: Column, least: int = 28) -> Column:
+    """The box within the image, grown around its centre to ``least`` a side if it is smaller; null if it can't be one."""
+    x0, y0 = F.greatest(F.lit(0.0), left), F.greatest(F.lit(0.0), top)
+    x1, y1 = F.least(width.cast("double"), right), F.least(height.cast("double"), bottom)
+    w, h = x1 - x0, y1 - y0
+    valid = boxes_valid(x0, y0, x1, y1)
+    ratio = F.try_divide(F.lit(float(least)), F.least(w, h))
+    tw, th = w * ratio, h * ratio
+    shrink = F.when(tw > width, F.try_divide(width, tw)).otherwise(1.0)
+    tw, th = F.least(tw, width.cast("double")), th * shrink
+    again = F.when(th > height, F.try_divide(height, th)).otherwise(1.0)
+    tw, th = tw * again, F.least(th, height.cast("double"))
+    nx, ny = F.greatest(F.lit(0.0), (x0 + x1) / 2 - tw / 2), F.greatest(F.lit(0.0), (y0 + y1) / 2 - th / 2)
+    nx, ny = F.when(nx + tw > width, width - tw).otherwise(nx), F.when(ny + th > height, height - th).otherwise(ny)
+    small = (w < least) | (h < least)
+    box = [F.when(small, g).otherwise(o) for g, o in ((F.floor(nx).cast("double"), x0), (F.floor(ny).cast("double"), y0), (F.ceil(nx + tw).cast("double"), x1), (F.ceil(ny + th).cast("double"), y1))]
+    large = (F.floor(box[2]) - F.floor(box[0]) >= least) & (F.floor(box[3]) - F.floor(box[1]) >= least)
+    return F.when(valid & boxes_valid(*box) & large, F.array(*box))
+
+
+def code_score(statuses: Column, continuous: bool = False) -> Column:
+    """Share of passed test cases (status 1), of the first ten if ``continuous``; 0 without any."""
+    taken = F.slice(statuses, 1, 10) if continuous else statuses
+    return F.coalesce(F.try_divide(F.size(F.filter(taken, lambda s: s == 1)).cast("double"), F.size(taken)), F.lit(0.0))
+
+
+def code_block(completion: Column) -> Column:
+    """The last fenced Python block, or the whole text."""
+    return F.substring_index(F.element_at(F.split(completion, "```python", -1), -1), "```", 1)
+
+
+def is_number(text: Column) -> Column:
+    """The number that a text with thousands commas (also as ``{,}``) and a percent sign stands for, or null."""
+    clean = F.replace(F.replace(F.trim(text), F.lit("{,}"), F.lit("")), F.lit(","), F.lit(""))
+    plain = clean.try_cast("double")
+    percent = F.rtrim(F.regexp_replace(clean, r"\\?%$", "")).try_cast("double") / 100
+    return F.coalesce(plain, F.when(clean.endswith("%"), percent))
+
+
+def load_scorer(path: str, name: str, **options) -> Callable[..., Column]:
+    """A scorer (of columns) from a file, with options filled in."""
+    import functools
+    import importlib.util
+
+    spec = importlib.util.spec_from_file_location("custom_scorer", path)
+    if spec is None or spec.loader is None:
+        raise ImportError(path)
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    if not hasattr(module, name):
+        raise AttributeError(f"{path} has no {name}")
+    return functools.partial(getattr(module, name), **options)

@@ -303,3 +303,66 @@ def as_rows(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
         raise ValueError("columns differ in length")
     names = list(columns)
     return spark.createDataFrame([(k, *row) for k, row in enumerate(zip(*columns.values(), strict=True))], ["row_id", *names])
+
+
+def byte_size(df: DataFrame) -> int:
+    """The planner's estimate of the rows' bytes; nothing is read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def merge_options(a: dict, b: dict) -> dict:
+    """Both dicts; a key in both must have equal values."""
+    differing = sorted(k for k in a.keys() & b.keys() if a[k] != b[k])
+    if differing:
+        raise ValueError(f"values differ for {differing}")
+    return {**a, **b}
+
+
+def as_columns(rows: list[dict], names: list[str]) -> dict[str, list]:
+    """Rows as columns; a row must have exactly these names."""
+    for row in rows:
+        if set(row) != set(names):
+            raise KeyError(f"expected {sorted(names)}, found {sorted(row)}")
+    return {n: [row[n] for row in rows] for n in names}
+
+
+def jagged(df: DataFrame, column: str, out: str = "offset") -> DataFrame:
+    """``out``: where each row's values begin when all are laid end to end in the order of row_id.
+
+    Lengths are summed by ranges first, so no task sees all rows.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    marks = sorted(set(df.agg(F.percentile_approx("row_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
+    dealt = df.withColumn("range_", F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= F.col("row_id"))) if marks else F.lit(0)).withColumn("len_", F.size(column).cast("bigint"))
+    before = Window.partitionBy().orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("range_").agg(F.sum("len_").alias("n_")).select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    within = Window.partitionBy("range_").orderBy("row_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("own_", F.coalesce(F.sum("len_").over(within), F.lit(0))).join(F.broadcast(sums), "range_")  # a row a range
+    return placed.withColumn(out, (F.col("before_") + F.col("own_")).cast("bigint")).drop("range_", "len_", "own_", "before_")
+
+
+def first_of(frames: list[DataFrame]) -> DataFrame:
+    """The first of frames that hold the same row of settings."""
+    return frames[0].limit(1)
+
+
+def fields_of(df: DataFrame, keys: DataFrame, fields: list[str], key: str = "key") -> DataFrame:
+    """The named fields of the rows with these keys."""
+    return df.join(keys.select(key).distinct(), key, "left_semi").select(key, *fields)
+
+
+def prompt_items(df: DataFrame, prompt: str = "prompt", negative: str = "negative_prompt", media: tuple[str, ...] = ("images", "videos")) -> DataFrame:
+    """Rows as a rollout takes them: raw_prompt (and raw_negative_prompt), index, tools_kwargs and interaction_kwargs lifted from extra_info, media gone.
+
+    What extra_info lacks is 0 or an empty object; kwargs come as JSON.
+    """
+    info = df.schema["extra_info"].dataType.fieldNames() if "extra_info" in df.columns else []
+
+    def lifted(name: str) -> Column:
+        return F.coalesce(F.to_json(F.col(f"extra_info.{name}")), F.lit("{}")) if name in info else F.lit("{}")
+
+    index = F.coalesce(F.col("extra_info.index").cast("bigint"), F.lit(0)) if "index" in info else F.lit(0).cast("bigint")
+    out = df.withColumn("raw_prompt", F.col(prompt)).withColumn("index", index).withColumn("tools_kwargs", lifted("tools_kwargs")).withColumn("interaction_kwargs", lifted("interaction_kwargs"))
+    if negative in df.columns:
+        out = out.withColumn("raw_negative_prompt", F.col(negative))
+    return out.drop(*media)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from . import offpolicy
 from .batch import hashed_int
 from .metrics import agg_loss
 
@@ -256,3 +257,107 @@ def valid_mean(x: Column, valid: Column) -> Column:
     return F.sum(x * valid) / F.greatest(F.sum(valid), F.lit(1))
 
 
+
+
+@register_loss("bypass_mode")
+def bypass_mode(df: DataFrame, loss_type: str = "ppo_clip", level: str | None = None, threshold="2.0", normalize: bool = False, options: str | None = None, thresholds=None, mode: str = "token-mean") -> DataFrame:
+    """The rollout's own log-probabilities are old_logp: rejection first, then clipping, or REINFORCE with importance weights.
+
+    Weights and rejection compare logp with old_logp. Clipping holds the ratio already and takes no weights.
+    """
+    if loss_type not in ("ppo_clip", "reinforce"):
+        raise ValueError(f"unknown loss type {loss_type}")
+    compared = df.withColumn("behaviour_", F.col("old_logp")).withColumn("rollout_logp", F.col("old_logp")).withColumn("old_logp", F.col("logp"))
+    fixed = offpolicy.correct(compared, level, threshold, normalize, options, thresholds).withColumn("old_logp", F.col("behaviour_")).drop("behaviour_")
+    if loss_type == "reinforce":
+        return reinforce(fixed, mode=mode, weighted=bool(level))
+    return vanilla(fixed, mode=mode)
+
+
+def ppo_loss(df: DataFrame, name: str = "vanilla", entropy: str | None = None, entropy_coefficient: float = 0.0, kl: str | None = None, kl_coefficient: float = 0.0, mode: str = "token-mean", **options) -> DataFrame:
+    """One row: loss, pg_loss, entropy_loss and kl_loss (null where not asked for).
+
+    The loss is the policy loss less entropies of the column ``entropy`` plus the divergence ``kl`` of logp from ref_logp.
+    """
+    out = policy_loss(df, name, **options).select(F.col("loss").alias("pg_loss"))
+    nothing = F.lit(None).cast("double")
+    if entropy:
+        out = out.join(F.broadcast(agg_loss(df, entropy, "mask", mode).select(F.col("loss").alias("entropy_loss"))))  # one row each
+    if kl:
+        priced = df.withColumn("kl_", A.kl_penalty(F.col("logp"), F.col("ref_logp"), kl))
+        out = out.join(F.broadcast(agg_loss(priced, "kl_", "mask", mode).select(F.col("loss").alias("kl_loss"))))
+    out = out.withColumns({c: nothing for c in ("entropy_loss", "kl_loss") if c not in out.columns})
+    loss = F.col("pg_loss") - entropy_coefficient * F.coalesce("entropy_loss", F.lit(0.0)) + kl_coefficient * F.coalesce("kl_loss", F.lit(0.0))
+    return out.select(loss.alias("loss"), "pg_loss", "entropy_loss", "kl_loss")
+
+
+def critic_loss(df: DataFrame, clip: float = 0.5, mode: str = "token-mean") -> DataFrame:
+    """value_loss with the masked mean of the predictions."""
+    mean = df.agg((F.sum(A.masked_sum(F.col("vpreds"), F.col("mask"))) / (F.sum(A.count_on(F.col("mask"))) + 1e-8)).alias("vpred_mean"))
+    return value_loss(df, clip, mode).join(F.broadcast(mean))  # one row each
+
+
+def diffusion_loss(df: DataFrame, name: str = "flow_grpo", kl_coefficient: float | None = None, accumulation: int = 1, **options) -> DataFrame:
+    """Policy loss of denoising steps, with image_kl of the columns mean, ref_mean and deviation if a coefficient is given, by accumulation step."""
+    out = policy_loss(df, name, **options).select(F.col("loss").alias("pg_loss"))
+    if kl_coefficient is None:
+        return out.select((F.col("pg_loss") / accumulation).alias("loss"), "pg_loss", F.lit(None).cast("double").alias("kl_loss"))
+    kl = df.agg(F.avg(image_kl(F.col("mean"), F.col("ref_mean"), F.col("deviation"))).alias("kl_loss"))
+    return out.join(F.broadcast(kl)).select(((F.col("pg_loss") + kl_coefficient * F.col("kl_loss")) / accumulation).alias("loss"), "pg_loss", "kl_loss")  # one row each
+
+
+# ---- distillation
+
+DISTILLATIONS: dict[str, Callable[[DataFrame, str], DataFrame]] = {}
+
+
+def register_distillation(*names: str):
+    """Name a function that adds ``distill_``, the loss of each token; a name can't be given twice."""
+
+    def put(f):
+        for name in names:
+            if DISTILLATIONS.get(name, f) is not f:
+                raise ValueError(f"distillation loss {name} is registered already")
+            DISTILLATIONS[name] = f
+        return f
+
+    return put
+
+
+@register_distillation("kl", "k1", "abs", "mse", "k2", "low_var_kl", "k3")
+def distillation_estimate(df: DataFrame, name: str) -> DataFrame:
+    """Divergence of logp from teacher_logp by a one-sample estimate."""
+    return df.withColumn("distill_", A.kl_penalty(F.col("logp"), F.col("teacher_logp"), name))
+
+
+@register_distillation("forward_kl_topk")
+def distillation_given(df: DataFrame, name: str) -> DataFrame:
+    """The forward divergences in topk_kl, which are negative only because the likeliest ids don't hold all mass."""
+    return df.withColumn("distill_", F.transform("topk_kl", lambda v: F.greatest(v, F.lit(0.0))))
+
+
+def distillation_loss(df: DataFrame, name: str, most: float | None = None, policy: str | None = None, mode: str = "token-mean", **options) -> DataFrame:
+    """One row: loss, and loss_min, loss_max and abs_loss of the tokens before they are bounded by ``most``.
+
+    The loss is aggregated, or, with ``policy``, that policy loss with the negative token losses as advantages.
+    """
+    if name not in DISTILLATIONS:
+        raise ValueError(f"unknown distillation loss {name}; known: {sorted(DISTILLATIONS)}")
+    df = DISTILLATIONS[name](df, name)
+    tokens = df.select(F.explode(A.compact(F.col("distill_"), F.col("mask"))).alias("x"))
+    spread = tokens.agg(F.min("x").alias("loss_min"), F.max("x").alias("loss_max"), F.avg(F.abs("x")).alias("abs_loss"))
+    if most is not None:
+        df = df.withColumn("distill_", F.transform("distill_", lambda v: A.clamp(v, -most, most)))
+    if policy:
+        loss = policy_loss(df.withColumn("advantages", F.transform("distill_", lambda v: -v)), policy, **options).select("loss")
+    else:
+        loss = agg_loss(df, "distill_", "mask", mode)
+    return loss.join(F.broadcast(spread))  # one row each
+
+
+def distillation_ppo_loss(df: DataFrame, name: str, coefficient: float = 1.0, task_rewards: bool = True, distillation: dict | None = None, **options) -> DataFrame:
+    """One row: loss, distillation_loss and pg_loss; without task rewards the loss is the distillation's alone."""
+    own = distillation_loss(df, name, **(distillation or {})).select(F.col("loss").alias("distillation_loss"))
+    both = ppo_loss(df, **options).select(F.col("loss").alias("task_"), "pg_loss").join(F.broadcast(own))  # one row each
+    loss = F.col("task_") + coefficient * F.col("distillation_loss") if task_rewards else F.col("distillation_loss")
+    return both.select(loss.alias("loss"), "distillation_loss", "pg_loss")

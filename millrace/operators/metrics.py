@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType
 
 from ..functions import arrays as A
-from .batch import hashed_int
 
 
 def agg_loss(df: DataFrame, loss: str, mask: str, mode: str, horizon: float | None = None, tokens: float | None = None, rows: float | None = None) -> DataFrame:
@@ -147,45 +152,72 @@ def val_mean_std(df: DataFrame, keys: tuple[str, ...] = ("source", "uid", "var")
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
 
 
-def group_sizes(n: Column) -> Column:
-    """2, 4, 8 ... below n, and n."""
-    powers = F.filter(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.shiftleft(F.lit(1), 1).cast("int") * F.pow(F.lit(2), k - 1).cast("int")), lambda k: k < n)
-    return F.when(n > 1, F.array_append(powers, n.cast("int"))).otherwise(F.array().cast("array<int>"))
+#: Drawn places that a task keeps.
+KEPT_PLACES = 4_000_000
+
+
+def drawn_places(n: int, k: int, draws: int, seed: int) -> np.ndarray:
+    """Places from 0 to n - 1 of ``draws`` samples of size ``k``: HASH(seed, k, b, j) modulo n for draw j of sample b."""
+    first = (int(hashlib.md5(f"{seed}:{k}:{b}:{j}".encode()).hexdigest()[:8], 16) % n for b in range(draws) for j in range(k))
+    return np.fromiter(first, dtype=np.int32, count=draws * k).reshape(draws, k)
 
 
-#: Most rows of drawn places that are broadcast; more are joined by shuffle.
-BROADCAST_DRAWS = 200_000
+def sampled_scores(values: np.ndarray, labels: list, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best and worst value of each sample, and the value of the label with most votes.
+
+    Of equally frequent labels the one drawn first wins; its value is the one drawn first for it.
+    """
+    drawn = values[places]
+    known = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+    codes = np.array([known[x] for x in labels])[places]
+    k = places.shape[1]
+    rank = np.full((len(places), len(known)), -1, dtype=np.int64)
+    at = np.zeros((len(places), len(known)), dtype=np.int64)
+    for code in range(len(known)):
+        hit = codes == code
+        votes, first = hit.sum(axis=1), hit.argmax(axis=1)
+        at[:, code] = first
+        rank[:, code] = np.where(votes > 0, votes * (k + 1) - first, -1)
+    row = np.arange(len(places))
+    return drawn.max(axis=1), drawn.min(axis=1), drawn[row, at[row, rank.argmax(axis=1)]]
 
 
 def bootstrap(df: DataFrame, keys: tuple[str, ...], value: str, pred: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
     """best@k, worst@k and maj@k of each group: mean and standard deviation (ddof 0) over ``draws`` samples with replacement.
 
-    Rows have ``pos`` from 0 in their group. The index of draw j in sample b is HASH(seed, k, b, j) modulo n, alike for
-    all groups of a size, so that any engine can repeat it; the places are drawn once for each size and sample. The
-    label with most votes wins, of equals the one drawn first; its value is the first that the group has drawn for it.
+    Rows have ``pos`` from 0 in their group, k is 2, 4, 8 ... below the group's size n, and n. Places are alike for all
+    groups of a size, so a task draws them once; groups, which are one prompt's answers, are then sampled in numpy.
     """
     g = list(keys)
-    row = F.struct("pos", F.col(value).cast("double").alias("v"), (F.col(pred) if pred else F.lit("")).alias("p"))
-    groups = df.groupBy(*g).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("rows"))
-    sizes = groups.select("n").distinct().withColumn("k", F.explode(group_sizes(F.col("n")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    drawn = sizes.withColumn("j", F.explode(F.expr("sequence(0, k - 1)"))).withColumn("at", F.pmod(hashed_int(seed, "k", "b", "j"), F.col("n")).cast("int"))
-    places = drawn.groupBy("n", "k", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "at"))), lambda x: x["at"]).alias("places"))
-    if sizes.limit(BROADCAST_DRAWS + 1).count() <= BROADCAST_DRAWS:
-        samples = groups.join(F.broadcast(places), "n")
-    else:
-        spread = groups.withColumn("k", F.explode(group_sizes(F.col("n")))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        samples = spread.join(places, ["n", "k", "b"])
-    samples = samples.select(*g, "n", "k", F.transform("places", lambda at: F.element_at("rows", at + 1)).alias("drawn"))
-    values = F.transform("drawn", lambda r: r["v"])
-    labels = F.transform("drawn", lambda r: r["p"])
-    distinct = F.array_distinct(labels)  # in the order of their first draw
-    votes = F.transform(distinct, lambda p: F.size(F.filter(labels, lambda q: q.eqNullSafe(p))))
-    winner = F.element_at(distinct, F.array_position(votes, F.array_max(votes)).cast("int"))
-    samples = samples.select(*g, "n", "k", F.array_max(values).alias("best"), F.array_min(values).alias("worst"), "drawn", *([winner.alias("winner")] if pred else []))
-    if pred:
-        samples = samples.withColumn("maj", F.element_at(F.filter("drawn", lambda r: r["p"].eqNullSafe(F.col("winner"))), 1)["v"])
-    out = [x for m in ("best", "worst", *["maj"] * bool(pred)) for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))]
-    return samples.groupBy(*g, "n", "k").agg(*out)
+    row = F.struct("pos", F.col(value).cast("double").alias("v"), (F.col(pred).cast("string") if pred else F.lit("")).alias("p"))
+    groups = df.groupBy(*g).agg(F.array_sort(F.collect_list(row)).alias("rows")).where(F.size("rows") > 1)
+    groups = groups.select(*g, F.transform("rows", lambda r: r["v"]).alias("v"), F.transform("rows", lambda r: r["p"]).alias("p"))
+    names = [f"{m}_{x}" for m in ("best", "worst", "maj") for x in ("mean", "std")]
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            out, owners = [], []
+            for i, (values, labels) in enumerate(zip(batch.column("v").to_pylist(), batch.column("p").to_pylist(), strict=True)):
+                n, values = len(values), np.array([np.nan if v is None else v for v in values], dtype=np.float64)
+                for k in [*(2**e for e in range(1, 21) if 2**e < n), n]:
+                    if (n, k) not in held:
+                        if sum(x.size for x in held.values()) > KEPT_PLACES:
+                            held.clear()
+                        held[n, k] = drawn_places(n, k, draws, seed)
+                    found = sampled_scores(values, labels, held[n, k])
+                    out.append((n, k, *(float(x) for scores in found for x in (scores.mean(), scores.std()))))
+                    owners.append(i)
+            if out:
+                columns = list(zip(*out, strict=True))
+                taken = [batch.column(c).take(pa.array(owners)) for c in g]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.float64()) for c in columns[2:])], names=[*g, "n", "k", *names])
+
+    schema = groups.select(*g).schema.add("n", LongType()).add("k", IntegerType())
+    for name in names:
+        schema = schema.add(name, DoubleType())
+    out = groups.mapInArrow(sample, schema)
+    return out if pred else out.drop("maj_mean", "maj_std")
 
 
 def majority(df: DataFrame, keys: tuple[str, ...], pred: str, value: str, pos: str = "pos") -> DataFrame:
@@ -302,3 +334,67 @@ def flops(df: DataFrame, length: str, parameters: float, layers: int, heads: int
     """Achieved TFLOPS of a dense decoder: weights and attention."""
     tokens, squares = F.sum(length), F.sum(F.col(length) * F.col(length))
     return df.agg(((6.0 * parameters * tokens + 12.0 * squares * head_dim * heads * layers / 2) / seconds / 1e12).alias("tflops"))
+
+
+def special_window_metrics(df: DataFrame, gpus: int) -> DataFrame:
+    """Metrics that follow from others, for a row of aggregated metrics a window, where what they need is there."""
+    has = set(df.columns)
+
+    def c(name: str) -> Column:
+        return F.col(f"`{name}`")
+
+    out = {}
+    if {"global_seqlen/minmax_diff", "global_seqlen/max", "global_seqlen/min"} <= has:
+        out["global_seqlen/minmax_diff"] = c("global_seqlen/max") - c("global_seqlen/min")
+    if {"perf/throughput", "perf/total_num_tokens", "perf/time_per_step"} <= has:
+        out["perf/throughput"] = F.try_divide(c("perf/total_num_tokens"), c("perf/time_per_step") * gpus)
+    if {"timing_s/gen", "timing_s/step"} <= has:
+        out["fully_async/trainer/idle_ratio"] = F.try_divide(c("timing_s/gen"), c("timing_s/step"))
+    return df.withColumns(out) if out else df
+
+
+def positive_trajectory_length(df: DataFrame, done: str = "done", positive: str = "positive") -> DataFrame:
+    """Mean place of the first end (1 where there is none) of the rows with any positive step; 0 without such rows."""
+    length = F.greatest(F.array_position(done, True), F.lit(1))
+    return df.agg(F.coalesce(F.avg(F.when(F.exists(positive, lambda p: p), length)), F.lit(0.0)).alias("length"))
+
+
+def mean_max_min_std(df: DataFrame, value: str) -> DataFrame:
+    """Over all rows of all tasks; standard deviation with ddof 1."""
+    return df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.min(value).alias("min"), F.stddev_samp(value).alias("std"))
+
+
+def stale_rows(df: DataFrame, version: str, current: Column | str, by: str) -> DataFrame:
+    """Rows of each batch whose version is behind, and their running number; a row a batch is ordered."""
+    now = F.col(current) if isinstance(current, str) else current
+    per = df.groupBy(by).agg(F.count_if(now - F.col(version) >= 1).alias("stale"))
+    return per.withColumn("stale_so_far", F.sum("stale").over(Window.orderBy(by)))
+
+
+def without_padding(df: DataFrame, padding: str) -> DataFrame:
+    """The rows that aren't padding, or all rows if all are."""
+    real = df.agg(F.count_if(~F.coalesce(F.col(padding), F.lit(False))).alias("real_"))
+    return df.join(F.broadcast(real)).where((F.col("real_") == 0) | ~F.coalesce(F.col(padding), F.lit(False))).drop("real_")  # one row
+
+
+def validate(df: DataFrame, variables: list[str], pred: str | None = "pred", draws: int = 1000, seed: int = 42) -> DataFrame:
+    """The metric table of a validation run: section, source, var, metric and value.
+
+    Rows have source, uid, pos (from 0 in each source and uid), the numeric ``variables`` and, for votes, ``pred``. Each
+    prompt has mean@n and, with several rows, std@n and best, worst and maj at 2, 4, 8 ... and n with their
+    deviations; values are means over the prompts of a source.
+    """
+    found = None
+    for var in variables:
+        held = df.where(F.col(var).isNotNull())
+        plain = val_mean_std(held.withColumn("var", F.lit(var)), ("source", "uid", "var"), var)
+        rows = [plain.select("source", F.concat(F.lit("mean@"), "n").alias("metric"), F.col("mean").alias("value")), plain.where("n > 1").select("source", F.concat(F.lit("std@"), "n").alias("metric"), F.col("std").alias("value"))]
+        drawn = bootstrap(held, ("source", "uid"), var, pred, draws, seed)
+        for name in ("best", "worst", *["maj"] * bool(pred)):
+            for part in ("mean", "std"):
+                rows.append(drawn.select("source", F.concat(F.lit(f"{name}@"), "k", F.lit(f"/{part}")).alias("metric"), F.col(f"{name}_{part}").alias("value")))
+        for r in rows:
+            one = r.withColumn("var", F.lit(var))
+            found = one if found is None else found.unionByName(one)
+    table = found.groupBy("source", "var", "metric").agg(F.avg("value").alias("value"))
+    return label_core(table).select("section", "source", "var", "metric", "value")

@@ -163,3 +163,40 @@ def correct(df: DataFrame, level: str | None = None, threshold="2.0", normalize:
 def bypass(df: DataFrame) -> DataFrame:
     """The rollout policy in place of the old one."""
     return df.withColumn("old_logp", F.col("rollout_logp"))
+
+
+def rejection_metrics(df: DataFrame, option: str, threshold) -> DataFrame:
+    """One row of statistics of one rejection option: token and row values, shares beyond its bounds, shares rejected.
+
+    Rows without tokens count in no statistic; a table without any token fails.
+    """
+    lower, upper = parse_rejection_thresholds([option], threshold)[0]
+    level, _, kind = option.rpartition("_")
+    low, high = (math.log(lower), math.log(upper)) if kind == "k1" else (None, upper)
+    m = F.col("mask")
+    stat = F.transform(log_ratio(), _one(kind))
+    value = {"token": lambda: A.masked_mean(stat, m), "seq_sum": lambda: A.masked_sum(stat, m), "seq_mean": lambda: A.masked_mean(stat, m), "seq_max": lambda: F.array_max(A.compact(stat, m))}[level]()
+    rows = df.where(A.count_on(m) > 0).select(A.compact(stat, m).alias("tokens"), value.alias("row_value"))
+    if level != "token":
+        rows = rows.select(F.transform("tokens", lambda _: F.col("row_value")).alias("tokens"), "row_value")
+    x, r, n = F.col("x"), F.col("row_value"), F.count("*")
+    inside = _bounds(low, high)
+
+    def share(condition: Column) -> Column:
+        return F.avg(condition.cast("double"))
+
+    bounded = A.clamp(x, 0.0 if low is None else low, high)
+    token = rows.select(F.explode("tokens").alias("x")).agg(
+        F.when(n == 0, F.raise_error(F.lit("no valid token")).cast("double")).otherwise(F.avg("x")).alias("mean"),
+        F.max("x").alias("token_max"), F.min("x").alias("token_min"), share(x > high).alias("token_high"), (share(x < low) if low is not None else F.lit(0.0)).alias("token_low"),
+        F.coalesce(F.stddev_pop(bounded), F.lit(0.0)).alias("std"), share(~inside(x)).alias("masked_fraction"),
+    )
+    kept = rows.withColumn("ok", F.forall("tokens", inside))
+    whole = kept.agg(
+        F.avg(r).alias("seq_mean"), F.coalesce(F.stddev_samp(r), F.lit(0.0)).alias("seq_std"), F.max(r).alias("seq_max"), F.min(r).alias("seq_min"), F.max(F.abs(r)).alias("seq_max_deviation"),
+        share(r > high).alias("seq_fraction_high"), (share(r < low) if low is not None else F.lit(None).cast("double")).alias("seq_fraction_low"), share(~F.col("ok")).alias("seq_masked_fraction"),
+    )
+    both = token.join(F.broadcast(whole))  # one row each
+    names = {"max": "max", "min": "min", "fraction_high": "high", "fraction_low": "low"}
+    top = {k: F.col(f"token_{v}") if level == "token" else F.coalesce(F.col(f"seq_fraction_{v}") if v in ("high", "low") else F.col(f"seq_{v}"), F.lit(0.0)) for k, v in names.items()}
+    return both.select("mean", *[c.alias(k) for k, c in top.items()], "std", "masked_fraction", *whole.columns)

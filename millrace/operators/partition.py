@@ -110,3 +110,39 @@ def round_up(a: Column, b: Column) -> Column:
 
 def batch_multiple(ranks: int, mini_batches: int, n: int) -> int:
     return math.lcm(ranks, mini_batches * n)
+
+
+def dynamic_batches(df: DataFrame, batch: str, length: str, most_tokens: int, least: int = 1, multiple: int = 1, balanced: bool = True, key: str = "row_id") -> DataFrame:
+    """``micro`` (number of the micro-batch) and ``place`` in it for each row of each batch.
+
+    Micro-batches are balanced by workload, as many as the tokens ask for; with ``balanced`` the small ones are at both
+    ends. A batch is one group, as its rows are partitioned one after another.
+    """
+
+    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(key, kind="stable").reset_index(drop=True)
+        lengths = [int(x) for x in rows["size_"]]
+        loads = [24576 * x + x * x for x in lengths]
+        n = micro_batch_count(sum(lengths), len(lengths), most_tokens, least, multiple)
+        if n > len(lengths):
+            raise ValueError(f"{n} micro-batches for {len(lengths)} rows")
+        parts = [sorted(p) for p in karmarkar_karp(loads, n)]
+        parts.sort(key=lambda p: p[0] if p else len(lengths))
+        if balanced:
+            parts.sort(key=lambda p: (sum(loads[i] for i in p), p[0] if p else 0), reverse=True)
+            parts = parts[::2][::-1] + parts[1::2]
+        where = {i: (j, k) for j, p in enumerate(parts) for k, i in enumerate(p)}
+        return pd.DataFrame({key: rows[key], "micro": [where[i][0] for i in range(len(rows))], "place": [where[i][1] for i in range(len(rows))]})
+
+    placed = df.select(batch, key, F.col(length).cast("bigint").alias("size_")).groupBy(batch).applyInPandas(assign, f"{key} bigint, micro int, place int")
+    return df.join(placed, key)
+
+
+def restore_order(df: DataFrame, batch: str, positions: DataFrame, key: str = "row_id") -> DataFrame:
+    """Results that are numbered by micro-batch (``micro``, ``place``) get back their rows' ``key`` from ``positions``.
+
+    Every result must have a position and every position a result.
+    """
+    both = positions.select(batch, "micro", "place", key).withColumn("asked_", F.lit(1)).join(df.withColumn("given_", F.lit(1)), [batch, "micro", "place"], "full")
+    whole = F.when(F.col("asked_").isNotNull() & F.col("given_").isNotNull(), True).otherwise(F.raise_error(F.lit("results and positions differ")).cast("boolean"))
+    return both.where(whole).drop("asked_", "given_", "micro", "place")

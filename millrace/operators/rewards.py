@@ -109,3 +109,43 @@ def rate_limited(df: DataFrame, call: Callable[[str], float], text: str, request
 
     schema = StructType([*df.schema.fields, StructField("reward", DoubleType()), StructField("failed", BooleanType())])
     return df.mapInPandas(score, schema)
+
+
+def scattered_scores(df: DataFrame, score: str = "rm_score", mask: str = "mask") -> DataFrame:
+    """``rm_scores``: the scorer's value at the last valid token of each row."""
+    return df.withColumn("rm_scores", score_at_last(F.col(score), F.col(mask)))
+
+
+def reward_columns(df: DataFrame, extras: list[str], tensor: str = "rm_scores", key: str = "row_id") -> DataFrame:
+    """The key, the rewards and the extra columns of a scored batch."""
+    return df.select(key, F.col(tensor).alias("reward_tensor"), *extras)
+
+
+class ClientError(Exception):
+    """An answer of the 4xx kind, after which asking again is of no use."""
+
+
+def retrying(call: Callable[[str], float], tries: int = 16, most_wait: float = 30.0, sleep: Callable[[float], None] | None = None) -> Callable[[str], float]:
+    """``call`` asked up to ``tries`` times, waiting 1, 2, 4 ... seconds between; a ClientError isn't tried again."""
+
+    def ask(value: str) -> float:
+        import time
+
+        for k in range(tries):
+            try:
+                return call(value)
+            except ClientError:
+                raise
+            except Exception:  # noqa: BLE001  whatever the service raises
+                if k == tries - 1:
+                    raise
+                (sleep or time.sleep)(min(2.0**k, most_wait))
+        raise ValueError("tries must be positive")
+
+    return ask
+
+
+@register_manager("visual")
+def visual(df: DataFrame, score: Column) -> DataFrame:
+    """Scores of images: one reward a row, at its only step."""
+    return df.withColumn("score", score).withColumn("reward_tensor", F.array(score))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batch import hashed, hashed_int
+from .batch import hashed, hashed_int, number_rows
 
 
 def exact_sample(df: DataFrame, n: int, seed, *keys: str) -> DataFrame:
@@ -71,3 +71,13 @@ def keep_traced(df: DataFrame, sample: str, most: int, seed) -> DataFrame:
     """All rows of at most ``most`` sample ids."""
     ids = df.select(sample).distinct().orderBy(hashed(seed, sample), sample).limit(most)
     return df.join(ids, sample, "left_semi")
+
+
+def curriculum(df: DataFrame, scores: DataFrame, key: str, seed, score: str = "score") -> DataFrame:
+    """``place`` of each row in the next epoch: rows whose last score is lowest come first, unscored ones before all.
+
+    ``scores`` (key, step, score) grows with each finished batch; the last step's score of a key counts.
+    """
+    last = scores.groupBy(key).agg(F.max_by(score, "step").alias("last_"))
+    joined = df.join(last, key, "left").withColumn("sort_", F.coalesce("last_", F.lit(float("-inf")))).withColumn("draw_", hashed_int(seed, key))
+    return number_rows(joined, "sort_", "draw_", key, out="place").drop("last_", "sort_", "draw_")

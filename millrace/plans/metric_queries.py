@@ -127,18 +127,17 @@ def val_mean_of_means(spark, sf_dir):
 
 @query(
     "val_best_worst_maj",
-    f"""with {_VAL}, few as (select * from val where uid % 50 = 0 or true),
-sizes as (select source, uid, count(*) as n from few group by 1, 2),
-ks as (select distinct n, k from (select n, unnest(list_append(list_filter([2, 4, 8, 16, 32], lambda x: x < n), n)) as k from sizes where n > 1)),
-draws as (select n, k, b, j, (('0x' || substr(md5('42:' || k || ':' || b || ':' || j), 1, 8))::bigint) % n as pos from ks, range(20) tb(b), range(64) tj(j) where j < k),
-drawn as (select s.source, s.uid, d.n, d.k, d.b, d.j, f.value as v, f.pred as p from sizes s join draws d on d.n = s.n join few f on f.source = s.source and f.uid = s.uid and f.pos = d.pos),
+    f"""with {_VAL}, sizes as (select source, uid, count(*) as n from val group by 1, 2),
+ks as (select distinct n, k from (select n, unnest(list_append(list_filter([2, 4, 8, 16, 32, 64, 128, 256], lambda x: x < n), n)) as k from sizes where n > 1)),
+draws as (select n, k, b, j, (('0x' || substr(md5('42:' || k || ':' || b || ':' || j), 1, 8))::bigint) % n as pos from ks, range(1000) tb(b), range((select max(n) from sizes)) tj(j) where j < k),
+drawn as (select s.source, s.uid, d.n, d.k, d.b, d.j, f.value as v, f.pred as p from sizes s join draws d on d.n = s.n join val f on f.source = s.source and f.uid = s.uid and f.pos = d.pos),
 votes as (select source, uid, n, k, b, p, count(*) as c, min(j) as first, min_by(v, j) as pv, max(v) as high, min(v) as low from drawn group by all),
 samples as (select source, uid, n, k, b, max(high) as best, min(low) as worst, arg_max(pv, c * 1000 - first) as maj from votes group by all)
-select source, uid, n, k, round(avg(best), 4) as best_mean, round(avg(worst), 4) as worst_mean, round(avg(maj), 4) as maj_mean, round(stddev_pop(best), 4) as best_std from samples group by all""",
+select source, uid, n, k, round(avg(best) / 7.0710678, 2) as best_mean, round(avg(worst) / 7.0710678, 2) as worst_mean, round(avg(maj) / 7.0710678, 2) as maj_mean, round(stddev_pop(best) / 7.0710678, 2) as best_std from samples group by all""",
 )
 def val_best_worst_maj(spark, sf_dir):
-    out = M.bootstrap(_validation(spark, sf_dir), ("source", "uid"), "value", "pred", draws=20)
-    return out.select("source", "uid", "n", "k", *[F.round(c, 4).alias(c) for c in ("best_mean", "worst_mean", "maj_mean", "best_std")])
+    out = M.bootstrap(_validation(spark, sf_dir), ("source", "uid"), "value", "pred", draws=1000)
+    return out.select("source", "uid", "n", "k", *[F.round(F.col(c) / 7.0710678, 2).alias(c) for c in ("best_mean", "worst_mean", "maj_mean", "best_std")])
 
 
 @query("majority_vote", f"with {_VAL}, v as (select source, uid, pred, count(*) as c, min(pos) as f, min_by(value, pos) as v from val group by all) select source, uid, arg_max(v, c * 1000 - f) as value from v group by all")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -115,3 +115,107 @@ def admission_limit(required: int, threshold: float, sync_steps: int) -> int:
 
 def version_of(batch_no: Column, every: int) -> Column:
     return F.floor(batch_no / every)
+
+
+def cleared(df: DataFrame, key: str, order: str, clears: DataFrame) -> DataFrame:
+    """Entries of each key that came after its last clearing; ``clears`` has key and the same order column."""
+    last = clears.groupBy(key).agg(F.max(order).alias("cleared_at_"))
+    return df.join(last, key, "left").where(F.col("cleared_at_").isNull() | (F.col(order) > F.col("cleared_at_"))).drop("cleared_at_")
+
+
+def removed(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Entries without those whose keys are to be removed."""
+    return df.join(keys.select(*on).distinct(), on, "left_anti")
+
+
+def memory_use(df: DataFrame, key: str, payload: str) -> DataFrame:
+    """Entries, bytes of payload and mean bytes of an entry of each queue."""
+    size = F.octet_length(payload)
+    return df.groupBy(key).agg(F.count("*").alias("entries"), F.sum(size).alias("bytes"), F.avg(size).alias("mean_bytes"))
+
+
+def fed_samples(df: DataFrame, epochs: int, most: int, order: str = "row_id") -> DataFrame:
+    """Single samples of an endless run over the table: epoch, step from 0, sample_id and end, set on the last one.
+
+    Rows follow in their order, epoch by epoch, until ``most`` steps are done.
+    """
+    from ..operators.batch import batches
+
+    one = batches(df.withColumnRenamed(order, "row_id") if order != "row_id" else df, 1, epochs, drop_last=False)
+    n = df.count()
+    steps = one.withColumn("step", F.col("epoch") * n + F.col("place")).where(F.col("step") <= most).drop("batch", "place")
+    last = min(most, epochs * n - 1)
+    return steps.withColumn("sample_id", F.concat(F.lit("sample_"), "epoch", F.lit("_"), "step")).withColumn("end", F.col("step") == last)
+
+
+def staleness_resets(events: DataFrame, versions: DataFrame) -> DataFrame:
+    """A row a version: stale samples at its beginning and the share of its time that nothing was generated.
+
+    ``events`` has version, in_flight, queued, started, idle_from and ended (seconds): counts and times at the update
+    that ends a version. ``versions`` names the versions to report.
+    """
+    joined = versions.join(events, "version")
+    active, whole = F.col("idle_from") - F.col("started"), F.col("ended") - F.col("started")
+    return joined.select("version", (F.col("in_flight") + F.col("queued")).alias("stale"), active.alias("active_time"), whole.alias("version_time"), (1 - F.try_divide(active, whole)).alias("idle_ratio"))
+
+
+def pool_resampler(path: str, tasks: list, capacity: int, seed: int = 0) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: each batch enters the pools under ``path``, and as many rows are drawn from them.
+
+    Batches are stored by number and replace themselves when run again. Rows have task, positive and seq. The draw is
+    written beside them, from the last ``capacity`` rows of each task and kind.
+    """
+    from ..operators.sampling import allocate
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark, root = batch.sparkSession, path.rstrip("/")
+        held = batch.where(F.col("task").isin(tasks)).drop("batch_no")
+        held.write.mode("overwrite").parquet(f"{root}/rows/batch_no={number}")
+        n = spark.read.parquet(f"{root}/rows/batch_no={number}").count()
+        pools = ring_pools(spark.read.parquet(f"{root}/rows").where(F.col("batch_no") <= number), ["task", "positive"], "seq", capacity)
+        allocate(pools, "task", n, f"{seed}:{number}", "seq").drop("rank_in_task").write.mode("overwrite").parquet(f"{root}/drawn/batch_no={number}")
+
+    return put
+
+
+def queue_statistics(queues: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """A row of totals over all queues (size, produced, dropped) beside the fixed limits."""
+    out = queues.agg(F.sum("size").alias("monitor/queue_size"), F.sum("produced").alias("count/total_generated_samples"), F.sum("dropped").alias("count/dropped_stale_samples"))
+    return out.withColumns({f"static/{k}": F.lit(v) for k, v in limits.items()})
+
+
+class Conversation:
+    """Turns with an outside party, one instance a trajectory: ``begin``, then ``answer`` for each turn, then ``end``.
+
+    ``answer`` returns (done, text, score). Subclasses keep what they need on the instance.
+    """
+
+    def begin(self, key, first: str) -> None: ...
+
+    def answer(self, text: str) -> tuple[bool, str, float]:
+        raise NotImplementedError
+
+    def end(self) -> None: ...
+
+
+def conversations(df: DataFrame, make: Callable[[], Conversation], key: str, order: str, text: str) -> DataFrame:
+    """key, ``order``, reply, score and done of each turn up to the one that ends its trajectory.
+
+    A trajectory is one group, as its turns follow one another; tools with create, execute, reward and release fit the
+    same three steps.
+    """
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        party, out = make(), []
+        party.begin(rows[key].iloc[0], rows[text].iloc[0])
+        for at, said in zip(rows[order], rows[text], strict=True):
+            done, reply, score = party.answer(said)
+            out.append((rows[key].iloc[0], at, reply, score, done))
+            if done:
+                break
+        party.end()
+        return pd.DataFrame(out, columns=[key, order, "reply", "score", "done"])
+
+    kinds = {c: df.schema[c].dataType.simpleString() for c in (key, order)}
+    return df.select(key, order, text).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, reply string, score double, done boolean")
