@@ -9,7 +9,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
 
@@ -387,6 +387,13 @@ def test_status(error: Column, http: Column, compile_status: Column, run_status:
     )
 
 
+def spread_compile_errors(df: DataFrame, run: str, order: str, status: str) -> DataFrame:
+    """After a case that doesn't compile (-4), the later cases of the run don't either."""
+    w = Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    broken = F.max((F.col(status) == -4).cast("int")).over(w) == 1
+    return df.withColumn(status, F.when(broken, -4).otherwise(F.col(status)))
+
+
 def overlong_penalty(length: Column, most: int, buffer: int, factor: float) -> Column:
     """0 up to ``most - buffer``, then falling to -factor at ``most`` and below."""
     return F.least(-(length - (most - buffer)) / F.lit(buffer) * factor, F.lit(0.0))

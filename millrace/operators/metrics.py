@@ -398,3 +398,14 @@ def validate(df: DataFrame, variables: list[str], pred: str | None = "pred", dra
             found = one if found is None else found.unionByName(one)
     table = found.groupBy("source", "var", "metric").agg(F.avg("value").alias("value"))
     return label_core(table).select("section", "source", "var", "metric", "value")
+
+
+def mean_by_source(df: DataFrame, row: str, source: str, score: str) -> DataFrame:
+    """Source, mean over its rows of their responses' mean score, and number of rows."""
+    per = df.groupBy(row, source).agg(F.avg(score).alias("m_"))
+    return per.groupBy(source).agg(F.avg("m_").alias("score"), F.count("*").alias("n"))
+
+
+def differing_tokens(a: Column, b: Column, mask: Column) -> Column:
+    """How many unmasked places of two arrays differ."""
+    return F.size(F.filter(F.arrays_zip(a.alias("a"), b.alias("b"), mask.alias("m")), lambda z: (z["m"] == 1) & (z["a"] != z["b"]))).cast("bigint")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays as A
 from ..operators import batch as B
+from ..operators import retrieval
 from .binding import TOK, load, long, trajectories
 from .catalog import query
 
@@ -206,16 +207,12 @@ def overlong_filter(spark, sf_dir):
 
 @query("group_filter_nonconstant", "select o_orderkey from orders where o_custkey in (select o_custkey from orders group by 1 having max(o_orderpriority) > min(o_orderpriority))")
 def group_filter(spark, sf_dir):
-    o = load(spark, sf_dir, "orders")
-    mixed = o.groupBy("o_custkey").agg(F.min("o_orderpriority").alias("a"), F.max("o_orderpriority").alias("b")).where("a < b").select("o_custkey")
-    return o.join(mixed, "o_custkey", "left_semi").select("o_orderkey")
+    return retrieval.mixed_groups(load(spark, sf_dir, "orders"), "o_custkey", "o_orderpriority").select("o_orderkey")
 
 
 @query("semi_final_turn", "select conv_id, turn, role, text from conversations c where turn = (select max(turn) from conversations d where d.conv_id = c.conv_id)")
 def semi_final_turn(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations")
-    last = c.groupBy("conv_id").agg(F.max("turn").alias("turn"))
-    return c.join(last, ["conv_id", "turn"], "left_semi").select("conv_id", "turn", "role", "text")
+    return retrieval.last_rows(load(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "text")
 
 
 @query("anti_unlabelled", "select doc_id from documents where doc_id not in (select doc_id from labels)")

@@ -199,16 +199,16 @@ def flops_estimate(spark, sf_dir):
 
 @query("token_list_diff", f"with {TOK} select row_id, count(*) filter (mask = 1 and cast(value as bigint) <> cast(reward as bigint)) as differing from tok group by 1")
 def token_list_diff(spark, sf_dir):
-    n = F.size(F.filter(F.arrays_zip(F.col("value").alias("a"), F.col("reward").alias("b"), F.col("mask").alias("m")), lambda z: (z["m"] == 1) & (F.round(z["a"], 0) != F.bround(z["b"], 0))))
-    return trajectories(spark, sf_dir).select("row_id", n.cast("bigint").alias("differing"))
+    whole = trajectories(spark, sf_dir).withColumn("a", F.transform("value", lambda v: F.round(v, 0))).withColumn("b", F.transform("reward", lambda v: F.bround(v, 0)))
+    return whole.select("row_id", M.differing_tokens(F.col("a"), F.col("b"), F.col("mask")).alias("differing"))
 
 
 @query("eval_mean_by_source", "with s as (select d.source, avg(l.quality) over (partition by d.doc_id) as m from documents d join labels l using (doc_id)) select source, round(avg(m), 6) as score, count(*) as n from s group by 1")
 def eval_mean_by_source(spark, sf_dir):
     """Responses are documents, their ground truth the labels: the mean of each row, then of each source."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "source")
-    per = docs.join(load(spark, sf_dir, "labels"), "doc_id").groupBy("doc_id", "source").agg(F.avg("quality").alias("m"))
-    return per.groupBy("source").agg(F.round(F.avg("m"), 6).alias("score"), F.count("*").alias("n"))
+    out = M.mean_by_source(docs.join(load(spark, sf_dir, "labels"), "doc_id"), "doc_id", "source", "quality")
+    return out.select("source", F.round("score", 6).alias("score"), "n")
 
 
 @query("group_rows", f"with {TOK}, {ROWS} select uid, count(*) as rows, round(sum(score), 4) as total, sum(len) as tokens from per_row group by 1")

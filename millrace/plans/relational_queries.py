@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import builders as D
 from ..operators import rewards as R
+from ..operators import retrieval
 from ..sources import readers, sinks
 from ..streaming import stateful as ST
 from .batch_queries import ORD, orders
@@ -21,9 +22,8 @@ def scan_count(spark, sf_dir):
 
 @query("scan_parquet_multi", "select 0 as file_no, count(*) as n from documents union all select 1, count(*) from labels")
 def scan_parquet_multi(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").select("doc_id").withColumn("file_no", F.lit(0))
-    labels = load(spark, sf_dir, "labels").select("doc_id").withColumn("file_no", F.lit(1))
-    return docs.unionByName(labels).groupBy("file_no").agg(F.count("*").alias("n"))
+    files = [f"{sf_dir.rstrip('/')}/{name}.parquet" for name in ("documents", "labels")]
+    return readers.read_many(spark, files).groupBy("file_no").agg(F.count("*").alias("n"))
 
 
 @query("scan_pruned", "select l_orderkey, l_quantity from lineitem where l_shipdate >= timestamp '1996-01-01' and l_returnflag = 'R'")
@@ -46,8 +46,9 @@ def generator_source(spark, sf_dir):
 
 @query("limit_then_filter", "with f as (select * from documents order by doc_id limit 500) select doc_id, length(text) as n from f where length(text) <= 1500")
 def limit_then_filter(spark, sf_dir):
-    first = load(spark, sf_dir, "documents").orderBy("doc_id").limit(500)
-    return readers.drop_overlong(first, "text", 1500, F.length).select("doc_id", F.length("text").cast("bigint").alias("n"))
+    options = readers.ReadOptions(prompt_key="text", limit=500, max_prompt_length=1500, length=F.length)
+    out = readers.load_prompts(spark, [f"{sf_dir.rstrip('/')}/documents.parquet"], options, ["doc_id"])
+    return out.select("doc_id", F.length("text").cast("bigint").alias("n"))
 
 
 @query("last_generation", "select max_by(event_id, event_id) as gen_step from events where user_id = 7")
@@ -198,8 +199,7 @@ def event_session(spark, sf_dir):
 
 @query("dedup_first", "select user_id, event_type, min(event_id) as event_id from events group by 1, 2")
 def dedup_first(spark, sf_dir):
-    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
-    return load(spark, sf_dir, "events").withColumn("r", F.row_number().over(w)).where("r = 1").select("user_id", "event_type", "event_id")
+    return retrieval.first_by(load(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
 
 
 # ---- relational breadth
@@ -224,9 +224,8 @@ def join_full(spark, sf_dir):
 
 @query("join_as_of", "select e.event_id, max(f.event_id) as earlier from events e left join events f on f.user_id = e.user_id and f.event_type = 'purchase' and f.event_id < e.event_id where e.event_type = 'click' group by 1")
 def join_as_of(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    e = load(spark, sf_dir, "events").where("event_type in ('purchase', 'click')")
-    return e.withColumn("earlier", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), ignorenulls=True).over(w)).where("event_type = 'click'").select("event_id", "earlier")
+    kind = F.col("event_type")
+    return retrieval.as_of(load(spark, sf_dir, "events"), "user_id", "event_id", kind == "click", kind == "purchase", F.col("event_id"), "earlier").select("event_id", "earlier")
 
 
 @query("agg_cube", "select l_returnflag, l_linestatus, count(*) as n, round(sum(l_quantity), 2) as q from lineitem group by cube (l_returnflag, l_linestatus)")

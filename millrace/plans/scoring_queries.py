@@ -8,6 +8,7 @@ from ..functions import arrays as A
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import partition as P
+from ..operators import retrieval
 from ..operators import sequences as Q
 from .binding import TOK, load, trajectories
 from .catalog import query
@@ -122,10 +123,8 @@ def test_case_status(spark, sf_dir):
 
 @query("compile_error_spreads", "select event_id, case when bool_or(value > 95) over (partition by user_id order by event_id rows unbounded preceding) then -4 else 1 end as status from events")
 def compile_error_spreads(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, sf_dir, "events").select("event_id", F.when(F.max((F.col("value") > 95).cast("int")).over(w) == 1, -4).otherwise(1).alias("status"))
+    e = load(spark, sf_dir, "events").withColumn("status", F.when(F.col("value") > 95, -4).otherwise(1))
+    return S.spread_compile_errors(e, "user_id", "event_id", "status").select("event_id", "status")
 
 
 # ---- text
@@ -145,25 +144,16 @@ def parse_tool_calls(spark, sf_dir):
     return e.select(F.col("event_id").alias("k"), F.size(calls).alias("n"), F.get(calls, F.lit(0))["name"].alias("name"), T.without_calls(text).alias("content"))
 
 
-@query("tool_call_table", "select event_id as k, c as call_no, event_type as name from events, range(2) t(c) where event_id % 50 = 0")
+@query("tool_call_table", "select event_id as k, c as call_no, event_type as name from events, range(2) t(c)")
 def tool_call_table(spark, sf_dir):
-    e = load(spark, sf_dir, "events").where("event_id % 50 = 0")
+    """The table function over every event."""
+    e = load(spark, sf_dir, "events")
     call = F.concat(F.lit('<tool_call>{"name": "'), F.col("event_type"), F.lit('", "arguments": {}}</tool_call>'))
     e.select("event_id", F.concat(call, F.lit(" x "), call).alias("t")).createOrReplaceTempView("calls_of_events")
     spark.udtf.register("parse_tool_calls", T.ParseToolCalls)
     return spark.sql("select event_id as k, cast(p.call_no as bigint) as call_no, p.name from calls_of_events, lateral parse_tool_calls(t) p")
 
 
-@query("tool_call_table_all", "select event_id as k, c as call_no, event_type as name from events, range(2) t(c)")
-def tool_call_table_all(spark, sf_dir):
-    """As tool_call_table, over every event."""
-    e = load(spark, sf_dir, "events")
-    call = F.concat(F.lit('<tool_call>{"name": "'), F.col("event_type"), F.lit('", "arguments": {}}</tool_call>'))
-    e.select("event_id", F.concat(call, F.lit(" x "), call).alias("t")).createOrReplaceTempView("calls_of_all_events")
-    spark.udtf.register("parse_tool_calls", T.ParseToolCalls)
-    return spark.sql("select event_id as k, cast(p.call_no as bigint) as call_no, p.name from calls_of_all_events, lateral parse_tool_calls(t) p")
-
-
 @query("media_placeholder_split", "select p_partkey as k, 3 + (p_partkey % 2) as n, 1 + (p_partkey % 2) as media from part")
 def media_placeholder_split(spark, sf_dir):
     k = F.col("p_partkey")
@@ -180,9 +170,7 @@ def render_chat(spark, sf_dir):
 
 @query("last_assistant_turn", "select conv_id, max_by(text, turn) filter (role = 'assistant') as answer, case when bool_or(role = 'tool') then 1 else 0 end as tool_reward from conversations group by 1")
 def last_assistant_turn(spark, sf_dir):
-    c = load(spark, sf_dir, "conversations")
-    a = F.col("role") == "assistant"
-    return c.groupBy("conv_id").agg(F.max_by(F.when(a, F.col("text")), F.when(a, F.col("turn"))).alias("answer"), F.max((F.col("role") == "tool").cast("int")).alias("tool_reward"))
+    return retrieval.last_answers(load(spark, sf_dir, "conversations"))
 
 
 @query("tool_response_clip", "select doc_id, case when length(text) > 200 then left(text, 100) || '...(truncated)...' || right(text, 100) else text end as clipped from documents")
@@ -197,16 +185,9 @@ select q, vec_id, s as similarity from (select *, row_number() over (partition b
 )
 def topk_cosine(spark, sf_dir):
     """The five nearest vectors of each hundredth one; a stated query set against all rows."""
-    from pyspark.sql import Window
-
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("e"))
-    norm = F.sqrt(A.total(F.transform("e", lambda v: v * v)))
-    e = e.withColumn("n", norm)
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("e").alias("qe"), F.col("n").alias("qn"))
-    dot = A.total(F.zip_with("e", "qe", lambda a, b: a * b)) / (F.col("n") * F.col("qn"))
-    s = e.join(q, F.col("vec_id") != F.col("q")).select("q", "vec_id", F.round(dot, 6).alias("similarity"))
-    w = Window.partitionBy("q").orderBy(F.desc("similarity"), "vec_id")
-    return s.withColumn("r", F.row_number().over(w)).where("r <= 5").drop("r")
+    e = load(spark, sf_dir, "embeddings")
+    out = retrieval.nearest(e, e.where("vec_id % 100 = 0"), 5)
+    return out.select(F.col("query").alias("q"), "vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("mask_regex_json", "select event_id, regexp_replace(props, '[0-9]+', '*', 'g') as masked from events")

@@ -293,7 +293,7 @@ def test_tool_calls_of_all_events(spark, sf_dir):
     from millrace.plans.catalog import QUERIES
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet").count()
-    found = QUERIES["tool_call_table_all"](spark, sf_dir).groupBy("k").count().collect()
+    found = QUERIES["tool_call_table"](spark, sf_dir).groupBy("k").count().collect()
     assert len(found) == events and {r["count"] for r in found} == {2}
 
 
