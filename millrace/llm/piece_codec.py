@@ -5,7 +5,6 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,10 +21,10 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
 #: Characters of text that are indexed together.
 SLICE_CHARS = 4_000_000
-_CACHE_ENTRIES = 300_000
-_CACHED_CHARS = 48
-_HEAP_FROM = 40
-
+#: Texts that show rules which change a text or choose pieces other than by merging (fixed values).
+TELLING = ("a  b", " a", "a ", "\uff48\u00e9\u00a0\ufb01", "E\u0301", "the cat and the hat sat there", "\t\n1,234.5<s></s><unk>")
+#: Units from this many characters on are relaxed one by one, others together; the ids are the same.
+LONG_UNIT = 64
 
 
 def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
@@ -67,8 +66,15 @@ class PieceVocabulary:
         for b, k in enumerate(self.byte_ids):
             if model.is_byte(k):
                 self.bytes[k] = bytes([b])
-        #: Pieces of two characters or more, whose occurrences the suffix array is asked for.
-        self.long = [(p, k) for p, k in self.ids.items() if len(p) > 1]
+        #: Pieces of two characters or more, whose occurrences the suffix array is asked for: lengths, ids, and spelling by letter.
+        long = [(p, k) for p, k in self.ids.items() if len(p) > 1]
+        self.letters = {c: n for n, c in enumerate(sorted({c for p, _ in long for c in p}), 1)}
+        self.lengths = np.array([len(p) for p, _ in long], dtype=np.int64)
+        self.long_ids = np.array([k for _, k in long], dtype=np.int64)
+        self.spelled = np.zeros((len(long), self.longest), dtype=np.int64)
+        for row, (p, _) in enumerate(long):
+            self.spelled[row, : len(p)] = [self.letters[c] for c in p]
+        self.rank_of = np.array(self.ranks, dtype=np.int64)
 
     def of_char(self, c: str) -> list[int]:
         k = self.ids.get(c)
@@ -90,6 +96,19 @@ def suffix_keys(codes: np.ndarray, bits: int, longest: int) -> list[np.ndarray]:
     return keys
 
 
+def sorted_places(keys: list[np.ndarray]) -> np.ndarray:
+    """Places in the order of ``keys``, most significant first; only those alike in the first are compared by the others."""
+    order = np.argsort(keys[0])
+    if len(keys) == 1 or len(order) < 2:
+        return order
+    first = keys[0][order]
+    equal = first[1:] == first[:-1]
+    tied = np.flatnonzero(np.r_[equal, False] | np.r_[False, equal])
+    own = order[tied]
+    order[tied] = own[np.lexsort([*(k[own] for k in keys[:0:-1]), first[tied]])]
+    return order
+
+
 def bounds(keys: list[np.ndarray], wanted: list[np.ndarray]) -> np.ndarray:
     """First place in the sorted ``keys`` (most significant first) that isn't before each of ``wanted``: binary search."""
     n, m = len(keys[0]), len(wanted[0])
@@ -109,7 +128,7 @@ def bounds(keys: list[np.ndarray], wanted: list[np.ndarray]) -> np.ndarray:
 
 
 def occurrences(text: str, vocabulary: PieceVocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, length and id of every occurrence of a piece of two characters or more, sorted by start."""
+    """Start, length and id of every occurrence of a piece of two characters or more, sorted by start and length."""
     points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     alphabet, codes = np.unique(points, return_inverse=True)
     codes = codes.astype(np.uint64) + np.uint64(1)
@@ -117,16 +136,18 @@ def occurrences(text: str, vocabulary: PieceVocabulary) -> tuple[np.ndarray, np.
     bits = max(1, len(alphabet).bit_length())
     longest = vocabulary.longest
     keys = suffix_keys(codes, bits, longest)
-    order = np.lexsort(keys[::-1])
+    order = sorted_places(keys)
     keys = [k[order] for k in keys]
-    there = [(p, k) for p, k in vocabulary.long if all(c in code for c in p)]
     empty = np.empty(0, dtype=np.int64)
-    if not there:
+    letters = np.zeros(len(vocabulary.letters) + 1, dtype=np.uint64)
+    for c, n in code.items():
+        if c in vocabulary.letters:
+            letters[vocabulary.letters[c]] = n
+    spelled = letters[vocabulary.spelled]
+    there = np.flatnonzero((spelled > 0).sum(axis=1) == vocabulary.lengths)
+    if not len(there):
         return empty, empty, empty
-    lengths = np.array([len(p) for p, _ in there])
-    spelled = np.zeros((len(there), longest), dtype=np.uint64)
-    for row, (p, _) in enumerate(there):
-        spelled[row, : len(p)] = [code[c] for c in p]
+    lengths, spelled = vocabulary.lengths[there], spelled[there]
     per = 63 // bits
     top = np.uint64((1 << bits) - 1)
     low, high = [], []
@@ -145,49 +166,91 @@ def occurrences(text: str, vocabulary: PieceVocabulary) -> tuple[np.ndarray, np.
     pieces = np.repeat(np.arange(len(there)), found)
     offset = np.arange(found.sum()) - np.repeat(np.cumsum(found) - found, found)
     starts = order[np.repeat(first, found) + offset]
-    by_start = np.argsort(starts, kind="stable")
-    pieces = pieces[by_start]
-    return starts[by_start], lengths[pieces], np.array([k for _, k in there])[pieces]
+    order = np.argsort(starts * (longest + 1) + lengths[pieces])  # no two are equal
+    pieces = pieces[order]
+    return starts[order], lengths[pieces], vocabulary.long_ids[there[pieces]]
+
+
+class Edges:
+    """Occurrences of pieces, looked up by start and length."""
+
+    def __init__(self, starts: np.ndarray, lengths: np.ndarray, ids: np.ndarray, vocabulary: PieceVocabulary):
+        self.width = vocabulary.longest + 1
+        self.keys, self.ids = starts * self.width + lengths, ids
+        self.ranks = vocabulary.rank_of[ids] if len(ids) else ids
+        self.none = len(vocabulary.ranks)
+
+    def _place(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        wanted = start * self.width + (end - start)
+        at = np.minimum(np.searchsorted(self.keys, wanted), max(0, len(self.keys) - 1))
+        return at, (end - start < self.width) & (self.keys[at] == wanted) if len(self.keys) else np.zeros(len(start), dtype=bool)
 
+    def rank(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        at, there = self._place(start, end)
+        return np.where(there, self.ranks[at], self.none) if len(self.keys) else np.full(len(start), self.none)
 
-def relax(n: int, edges: dict[int, int], stride: int, ranks: list[int]) -> list[int]:
-    """Cuts of a unit of ``n`` characters: neighbours join into the best-scored piece, the leftmost of equals, until none is left.
+    def id(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return self.ids[self._place(start, end)[0]]
 
-    ``edges`` has the id of the piece from ``start`` to ``end`` under ``start * stride + end``.
+
+def relax(begins: np.ndarray, sizes: np.ndarray, edges: Edges) -> np.ndarray:
+    """Starts, sorted, of the pieces of all units: neighbours join into the best-scored piece, the leftmost of equals, until none is left.
+
+    Unit k has the characters from ``begins[k]`` on. All units take one step at a time together; those that are done go.
     """
-    if n >= _HEAP_FROM:
-        return _relax_long(n, edges, stride, ranks)
-    none = len(ranks)
-    get = edges.get
-    cuts = list(range(n + 1))
-    joined = [none if (p := get(k * stride + k + 2)) is None else ranks[p] for k in range(n - 1)]
-    while joined:
-        best = min(joined)
-        if best == none:
-            break
-        k = joined.index(best)
-        del cuts[k + 1], joined[k]
-        if k:
-            p = get(cuts[k - 1] * stride + cuts[k + 1])
-            joined[k - 1] = none if p is None else ranks[p]
-        if k < len(joined):
-            p = get(cuts[k] * stride + cuts[k + 2])
-            joined[k] = none if p is None else ranks[p]
-    return cuts
-
-
-def _relax_long(n: int, edges: dict[int, int], stride: int, ranks: list[int]) -> list[int]:
-    """The same with a heap, for long units."""
+    units = np.repeat(np.arange(len(sizes)), sizes)
+    offsets = np.cumsum(sizes) - sizes
+    starts = np.arange(len(units)) - offsets[units] + begins[units]
+    ends = begins + sizes
+
+    def ranks(at: np.ndarray) -> np.ndarray:
+        """Rank of the piece that each piece at ``at`` would make with its right neighbour."""
+        n = len(starts)
+        one, two = np.minimum(at + 1, n - 1), np.minimum(at + 2, n - 1)
+        paired = (at + 1 < n) & (units[one] == units[at])
+        end = np.where((at + 2 < n) & (units[two] == units[at]), starts[two], ends[units[at]])
+        return np.where(paired, edges.rank(starts[at], end), edges.none)
+
+    joined = ranks(np.arange(len(starts)))
+    done = []
+    while len(starts):
+        first = np.flatnonzero(np.r_[True, units[1:] != units[:-1]])
+        counts = np.diff(np.r_[first, len(starts)])
+        best = np.minimum.reduceat(joined, first)
+        live = best < edges.none
+        if not live.all():
+            kept = np.repeat(live, counts)
+            done.append(starts[~kept])
+            starts, units, joined = starts[kept], units[kept], joined[kept]
+            best, counts = best[live], counts[live]
+            if not len(starts):
+                break
+        hits = np.flatnonzero(joined == np.repeat(best, counts))
+        left = hits[np.r_[True, units[hits[1:]] != units[hits[:-1]]]]
+        kept = np.ones(len(starts), dtype=bool)
+        kept[left + 1] = False
+        starts, units, joined = starts[kept], units[kept], joined[kept]
+        left = left - np.arange(len(left))
+        before = left[(left > 0) & (units[left - 1] == units[left])] - 1
+        changed = np.r_[left, before]
+        joined[changed] = ranks(changed)
+    return np.sort(np.concatenate(done)) if done else np.empty(0, dtype=np.int64)
+
+
+def relax_long(begin: int, n: int, edges: Edges) -> np.ndarray:
+    """The same for one unit, with a heap, so that time stays near linear in its length."""
+    low, high = np.searchsorted(edges.keys, [begin * edges.width, (begin + n) * edges.width])
+    known = dict(zip(edges.keys[low:high].tolist(), edges.ranks[low:high].tolist(), strict=True))
     following, preceding = list(range(1, n + 2)), list(range(-1, n))
     alive = [True] * (n + 1)
     heap: list[tuple[int, int, int]] = []
 
     def offer(start: int) -> None:
         middle = following[start]
-        if middle < n:
-            piece = edges.get(start * stride + following[middle])
-            if piece is not None:
-                heapq.heappush(heap, (ranks[piece], start, following[middle]))
+        if middle < n and following[middle] - start < edges.width:
+            rank = known.get((begin + start) * edges.width + following[middle] - start)
+            if rank is not None:
+                heapq.heappush(heap, (rank, start, following[middle]))
 
     for k in range(n - 1):
         offer(k)
@@ -200,63 +263,67 @@ def _relax_long(n: int, edges: dict[int, int], stride: int, ranks: list[int]) ->
         if preceding[start] >= 0:
             offer(preceding[start])
         offer(start)
-    cuts, at = [0], 0
-    while at < n:
-        at = following[at]
-        cuts.append(at)
-    return cuts
+    return begin + np.flatnonzero(alive[:n])
 
 
 class PieceCodec:
-    """Texts to ids and back; ids come as little-endian unsigned 32-bit bytes."""
+    """Texts to ids and back; ids come as little-endian unsigned 32-bit bytes.
+
+    Each batch is indexed for itself: its units, between which no piece can lie, are laid end to end, each distinct
+    one once, and the suffix array of that text is asked for every piece.
+
+    Only models are taken whose ids follow from merging by score: BPE without rules that change the text and without
+    pieces of the user's. Others raise a ValueError, as they would get other ids than their own library gives.
+    """
 
     def __init__(self, path: str = MODEL):
         self.vocabulary = PieceVocabulary(path)
-        self.units: dict[str, bytes] = {}
-        self.chars: dict[str, list[int]] = {}
-
-    def _learn(self, units: Iterable[str]) -> dict[str, bytes]:
-        """Encode units that aren't known: one suffix array over all of them."""
-        new = list(units)
-        text = "\x00".join(new)
-        starts, lengths, ids = occurrences(text, self.vocabulary) if text else (np.empty(0, dtype=np.int64),) * 3
-        sizes = np.array([len(u) for u in new], dtype=np.int64)
-        begins = np.r_[0, np.cumsum(sizes + 1)]
-        seams = np.searchsorted(starts, begins)
-        base, strides = np.repeat(begins[:-1], np.diff(seams)), np.repeat(sizes + 1, np.diff(seams))
-        keys, ids, seams = ((starts - base) * strides + starts + lengths - base).tolist(), ids.tolist(), seams.tolist()
-        ranks, chars = self.vocabulary.ranks, self.chars
-        encoded = {}
-        for k, unit in enumerate(new):
-            stride = len(unit) + 1
-            edges = dict(zip(keys[seams[k] : seams[k + 1]], ids[seams[k] : seams[k + 1]], strict=True))
-            cuts = relax(len(unit), edges, stride, ranks)
-            found: list[int] = []
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b - a > 1:
-                    found.append(edges[a * stride + b])
-                else:
-                    c = unit[a]
-                    if c not in chars:
-                        chars[c] = self.vocabulary.of_char(c)
-                    found += chars[c]
-            encoded[unit] = array("I", found).tobytes()
-        return encoded
+        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        texts = [*TELLING, "".join(list(self.vocabulary.ids)[:: max(1, len(self.vocabulary.ids) // 500)]).replace(SPACE, " ")]
+        for text, ids in zip(texts, self.encode_batch(texts), strict=True):
+            if np.frombuffer(ids, dtype="<u4").tolist() != model.encode(text) or self.decode(model.encode(text)) != text.replace(SPACE, " "):
+                raise ValueError(f"{path}: not a plain BPE model ({text[:40]!r} is encoded by other rules)")
+
+    def _encode_units(self, units: list[str]) -> list[bytes]:
+        """Ids of each unit."""
+        vocabulary = self.vocabulary
+        text = "\x00".join(units)
+        sizes = np.array([len(u) for u in units], dtype=np.int64)
+        begins = np.r_[0, np.cumsum(sizes + 1)[:-1]]
+        edges = Edges(*occurrences(text, vocabulary), vocabulary)
+        short = sizes < LONG_UNIT
+        found = [relax(begins[short], sizes[short], edges), *(relax_long(int(b), int(n), edges) for b, n in zip(begins[~short], sizes[~short], strict=True))]
+        starts = np.sort(np.concatenate(found))
+        owner = np.searchsorted(begins, starts, side="right") - 1
+        last = np.r_[owner[1:] != owner[:-1], True]
+        ends = np.where(last, (begins + sizes)[owner], np.r_[starts[1:], 0])
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)[starts]
+        single = ends - starts == 1
+        chars, which = np.unique(points[single], return_inverse=True)
+        spelled = [vocabulary.of_char(chr(c)) for c in chars.tolist()]
+        many = np.array([len(x) for x in spelled], dtype=np.int64)
+        base = np.cumsum(many) - many
+        width = np.ones(len(starts), dtype=np.int64)
+        width[single] = many[which]
+        at = np.cumsum(width) - width
+        ids = np.empty(int(width.sum()), dtype="<u4")
+        ids[at[~single]] = edges.id(starts[~single], ends[~single]) if (~single).any() else []
+        n = width[single]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        flat = np.array([x for own in spelled for x in own], dtype=np.int64)
+        ids[np.repeat(at[single], n) + inner] = flat[np.repeat(base[which], n) + inner]
+        raw = ids.tobytes()
+        cuts = np.r_[at, len(ids)][np.searchsorted(owner, np.arange(len(units) + 1))]
+        cuts = (4 * cuts).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; an empty text has none."""
-        units, cut = self.units, self.vocabulary.cut
+        cut = self.vocabulary.cut
         split = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = {u for parts in split for u in parts if u not in units}
-        if new:
-            units.update(self._learn(new))
-        out = [b"".join(map(units.__getitem__, parts)) for parts in split]
-        if len(units) > _CACHE_ENTRIES:
-            units.clear()
-        else:
-            for u in [u for u in new if len(u) > _CACHED_CHARS]:
-                del units[u]
-        return out
+        units = list({u: None for parts in split for u in parts})
+        known = dict(zip(units, self._encode_units(units), strict=True)) if units else {}
+        return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ``ids``, without the space that encoding puts in front; broken bytes become U+FFFD."""
