@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .fingerprints import op10_fingerprints
 from .language_id import op2_language_id
-from .license_scan import op3_license_scan
+from .license_scan import copies_sql, license_scan_copies, op3_license_scan
 from .license_scan import oracle_sql as license_sql
 from .packing import op5_packing
 from .personal_data import op6_personal_data
@@ -15,5 +15,5 @@ from .revisits import ORACLE_SQL as REVISIT_SQL
 from .revisits import op4_revisits
 from .shingle_join import op8_shingle_join
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, op4_revisits, op5_packing, op6_personal_data, op7_quality_model, op8_shingle_join, op9_piece_codec, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "op4_revisits": REVISIT_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, license_scan_copies, op4_revisits, op5_packing, op6_personal_data, op7_quality_model, op8_shingle_join, op9_piece_codec, op10_fingerprints)}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "license_scan_copies": copies_sql(), "op4_revisits": REVISIT_SQL}

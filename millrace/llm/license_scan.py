@@ -9,7 +9,7 @@ from .license_texts import LICENSES
 from .shared import free_name, table
 
 #: A line that only says who holds the rights, or that all are reserved.
-COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright[ \t:]*(\(c\)|©|[0-9][0-9][0-9][0-9]|by )|\(c\)[ \t]*[0-9]|©|all rights reserved[ \t.]*$)[^\n]*"
+COPYRIGHT_LINE = r"(?m)^[ \t/*#;-]*(copyright[ \t:]*(\(c\)|©|[0-9][0-9][0-9][0-9]|by )|\(c\)[ \t]*[0-9]|©|all[ \t]+rights[ \t]+reserved[ \t.]*$)[^\n]*"
 PUNCTUATION = r"[^\p{L}\p{N}]+"
 #: Spellings that licence matching treats alike, applied after punctuation has gone (fixed values).
 EQUIVALENT = (
@@ -53,8 +53,8 @@ def scan_licenses(df: DataFrame, text_col: str = "text", known: DataFrame | None
 
     The whole canonical text must be that of a licence. Every row stays: nulls and empty texts have the
     digest of the empty text and no licence; repeated rows are judged alike; a column that already has one
-    of the three names is replaced. The known digests are joined by hash and not broadcast by order, as a
-    caller's table may be of any size; Spark broadcasts the built-in one, whose size it sees.
+    of the three names is replaced. The known digests are joined by hash; they are broadcast if they are found to
+    be few, as the built-in ones are, and shuffled otherwise.
     """
     known = known_digests(df.sparkSession) if known is None else known
     new = {"canonical_chars", "canonical_sha256", "license_id"}
@@ -74,7 +74,34 @@ def known_is_small(known: DataFrame, most: int = 100_000) -> bool:
     return known.limit(most + 1).count() <= most
 
 
+def copied_licenses(docs: DataFrame, licenses=LICENSES) -> DataFrame:
+    """(doc_id, text): a copy of a known licence in the place of each document, in one of six spellings by doc_id.
+
+    As it is; in capitals; below a copyright line; with wider spaces; in British spelling; and with a word more,
+    which is no licence any longer. (The documents of the tables hold lines about licences, but no whole one.)
+    """
+    texts = docs.sparkSession.createDataFrame([(k, v) for k, v in enumerate(licenses[name] for name in sorted(licenses))], "number bigint, body string")
+    n = len(licenses)
+    joined = docs.where("doc_id is not null").withColumn("number", F.pmod(F.floor(F.col("doc_id") / 6), F.lit(n))).join(F.broadcast(texts), "number")  # a row a licence
+    way, body = F.pmod("doc_id", F.lit(6)), F.col("body")
+    text = (
+        F.when(way == 0, body)
+        .when(way == 1, F.upper(body))
+        .when(way == 2, F.concat(F.lit("Copyright (c) 2020 "), F.coalesce("source", F.lit("nobody")), F.lit("\n\n"), body))
+        .when(way == 3, F.replace(body, F.lit(" "), F.lit("  ")))
+        .when(way == 4, F.replace(F.replace(body, F.lit("license"), F.lit("licence")), F.lit("while"), F.lit("whilst")))
+        .otherwise(F.concat(body, F.lit("\nmore")))
+    )
+    return joined.select("doc_id", text.alias("text"))
+
+
+def license_scan_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan where most rows are licences, so that digests, spellings and join are held against SQL."""
+    return scan_licenses(copied_licenses(table(spark, sf_dir, "documents"))).select("doc_id", "canonical_chars", "canonical_sha256", "license_id")
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``scan_licenses`` of all documents; nulls, empty texts and repeated rows as stated there."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).select("doc_id", "canonical_chars", "canonical_sha256", "license_id")
 
@@ -88,6 +115,17 @@ def canonical_sql(text: str) -> str:
     return x
 
 
+def copies_sql() -> str:
+    """SQL of ``license_scan_copies``."""
+    names = sorted(LICENSES)
+    rows = ", ".join(f"({k}, '{LICENSES[x].replace(chr(39), chr(39) * 2)}')" for k, x in enumerate(names))
+    texts = f"""copies(number, copied) as (values {rows}),
+documents as (select doc_id, case doc_id % 6 when 0 then copied when 1 then upper(copied) when 2 then 'Copyright (c) 2020 ' || coalesce(source, 'nobody') || chr(10) || chr(10) || copied
+    when 3 then replace(copied, ' ', '  ') when 4 then replace(replace(copied, 'license', 'licence'), 'while', 'whilst') else copied || chr(10) || 'more' end as text
+    from main.documents join copies on number = (doc_id // 6) % {len(names)} where doc_id is not null)"""
+    return oracle_sql().replace("\nwith bodies", f"\nwith {texts},\nbodies", 1)
+
+
 def oracle_sql() -> str:
     rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(LICENSES.items()))
     return f"""

@@ -39,6 +39,11 @@ class Kind:
 
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+#: The check of an IBAN: country and check digits last, letters as two digits from 10 on, remainder 1 by 97.
+_MOD_97 = (
+    "aggregate(split(concat(substring(replace(value, ' ', ''), 5), substring(replace(value, ' ', ''), 1, 4)), ''), 0, "
+    "(a, c) -> case when c = '' then a when c between '0' and '9' then (a * 10 + cast(c as int)) % 97 else (a * 100 + ascii(c) - 55) % 97 end) = 1"
+)
 _FAKE_DIGITS = "^(.)\\1+$|^0?123456789?0?|^0+$"
 #: Gazetteers and context words.
 TOP_LEVEL = "com|org|net|edu|gov|io|de|fr|es|it|uk|eu|ch|at|nl|be|pl|pt|mx|ar|br|ca|us|info|biz"
@@ -114,7 +119,7 @@ KINDS: tuple[Kind, ...] = (
         "iban",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         "[A-Z][0-9][0-9]",
-        shape="length(replace(value, ' ', '')) between 15 and 34",
+        shape=_MOD_97,
         gazetteer="value rlike '^(DE|FR|ES|IT|GB|CH|AT|NL|BE|PL|PT)'",
         context="iban|konto|account|compte|cuenta|bank",
         placeholder="(?i)^..00",
@@ -139,7 +144,7 @@ KINDS: tuple[Kind, ...] = (
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 LABELERS = ("shape", "gazetteer", "context", "placeholder")
-FEATURES = ("length_bin", "digit_bin", "upper", "near_word", "quoted", "line_start")
+FEATURES = ("length_bin", "digit_bin", "upper", "spaced", "quoted", "line_start")
 _BLOCK = 256
 
 
@@ -205,13 +210,16 @@ def _votes(kind: Kind) -> str:
         'length_bin', least(3, cast(length(x.value) div 12 as int)),
         'digit_bin', least(3, cast(4 * length(x.digits) div greatest(1, length(x.value)) as int)),
         'upper', if(x.value rlike '[A-Z]', 1, 0),
-        'near_word', if({near}, 1, 0),
+        'spaced', if(x.value rlike '[ ]', 1, 0),
         'quoted', if(x.left rlike '["\\'=(<]$', 1, 0),
         'line_start', if(x.left = '' or x.left rlike '\\n$', 1, 0)))"""
 
 
 def candidates(df: DataFrame, text_col: str, keep: list[str], kinds=KINDS, out: str = "found") -> DataFrame:
-    """``keep`` and ``out``: the array of all candidate spans of each row, kinds in order, then by start."""
+    """``keep`` and ``out``: the array of all candidate spans of each row, kinds in order, then by start.
+
+    Null and empty texts have none, equal texts equal ones; an empty table stays empty; other columns are left out.
+    """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     own = [F.col(f"`{c}`").alias(f"own_{k}") for k, c in enumerate(keep)]
     held = [f"own_{k}" for k in range(len(keep))]
@@ -344,6 +352,7 @@ def redact(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of all documents, those of base kinds and those that the classifier adds; nulls, empty texts and repeated rows as stated at ``personal_data``."""
     marked = personal_data(table(spark, sf_dir, "documents"), keep=["doc_id"])
     base = ", ".join(f"'{k}'" for k in BASE)
     return marked.select(
@@ -351,4 +360,5 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.expr(f"cast(size(filter(personal_data, x -> x.kind = '{k}')) as bigint)").alias(f"n_{k}") for k in BASE],
         F.sha2(F.expr(written("personal_data", f"x.kind in ({base})")), 256).alias("base_sha256"),
         F.expr(written("personal_data")).alias("spans"),
+        F.size("personal_data").cast("bigint").alias("n_spans"),
     )

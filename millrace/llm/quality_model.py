@@ -15,8 +15,12 @@ from .shared import replace_column, table
 
 #: Bytes of a passage; each ends at the white space that follows.
 PASSAGE_BYTES = 400
-#: Labelled documents used for training at most (up to sampling noise); which ones depends on their ids' hashes.
+#: Labelled documents used for training at most, those whose ids' hashes are smallest, and passages of each at most,
+#: spread over its text. Scores read every passage.
 TRAIN_DOCS = 5000
+TRAIN_PASSAGES = 64
+#: Buckets of hashed words, whose shares tell what a passage is about.
+WORD_BUCKETS = 32
 ENCODED, GATED = 24, 12
 EPOCHS, RATE, DECAY = 150, 0.02, 1e-4
 
@@ -24,7 +28,7 @@ _GROUPS = (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"01234
 _CLASS = np.full(256, len(_GROUPS), dtype=np.int64)
 for _k, _g in enumerate(_GROUPS):
     _CLASS[list(_g)] = _k
-FEATURES = len(_GROUPS) + 1 + 9
+FEATURES = len(_GROUPS) + 1 + 9 + WORD_BUCKETS
 
 
 def passages(raw: bytes, size: int = PASSAGE_BYTES) -> list[bytes]:
@@ -41,7 +45,7 @@ def passages(raw: bytes, size: int = PASSAGE_BYTES) -> list[bytes]:
 
 
 def encode_passage(part: bytes) -> list[float]:
-    """Shares of character classes, and how varied, long and compressible the words are."""
+    """Shares of character classes, how varied, long and compressible the words are, and which words they are by hash."""
     n = max(1, len(part))
     shares = np.bincount(_CLASS[np.frombuffer(part, dtype=np.uint8)], minlength=len(_GROUPS) + 1) / n
     words = part.split()
@@ -58,6 +62,7 @@ def encode_passage(part: bytes) -> list[float]:
         min(2.0, len(zlib.compress(part, 1)) / n),
         min(1.0, len(part) / PASSAGE_BYTES),
         min(1.0, part.count(b"\n") / 20),
+        *(np.bincount([zlib.crc32(w) % WORD_BUCKETS for w in words], minlength=WORD_BUCKETS) / m).tolist(),
     ]
 
 
@@ -150,25 +155,30 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 3 == 1
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[np.ndarray, int]]:
+def spread_passages(bag: np.ndarray, most: int) -> np.ndarray:
+    """At most ``most`` passages, evenly spread."""
+    return bag if len(bag) <= most else bag[np.linspace(0, len(bag) - 1, most).round().astype(int)]
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, passages_each: int = TRAIN_PASSAGES) -> list[tuple[np.ndarray, int]]:
     """Encoded passages and labels of a sample of the labelled documents that aren't held out.
 
-    Ids are drawn by hash so that about ``most`` remain, whatever their number; the ids go to the executors, which
-    encode the texts. Labels of a repeated id are averaged.
+    The ``most`` ids with the smallest hashes go to the executors, which encode the texts; at most most *
+    passages_each passages come back. Labels of a repeated id are averaged, of its texts the smallest is taken. Null ids
+    and labels count for nothing.
     """
     own = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     own = own.groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("quality"))
-    every = max(1, -(-own.count() // most))
-    chosen = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(2 * most)
+    chosen = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bags = [encode(t.as_py()).tobytes() for t in batch.column(2)]
+            bags = [spread_passages(encode(t.as_py()), passages_each).tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.binary())], names=["doc_id", "quality", "bag"])
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     rows = joined.mapInArrow(encoded, "doc_id bigint, quality int, bag binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["bag"])))
+    rows.sort(key=lambda r: r["doc_id"])
     return [(np.frombuffer(r["bag"], dtype=np.float32).reshape(-1, FEATURES), r["quality"]) for r in rows]
 
 
@@ -198,6 +208,7 @@ def quality_score(df: DataFrame, model: AttentionModel | None, text_col: str = "
 
 
 def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the model learned from the labels that aren't held out; a row without an id isn't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     scored = quality_score(docs, model)

@@ -63,3 +63,45 @@ def written(spans) -> str:
 
 def sha(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def iban_remainder(value: str) -> int:
+    x = value.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+
+
+def holds(expression: str, value: str, digits: str, secret: str) -> bool:
+    """A labeler's SQL condition, in Python."""
+    import regex
+
+    if expression.startswith("aggregate("):
+        return iban_remainder(value) == 1
+    x = re.sub(r"(lower\(value\)|value|digits|secret) rlike ('[^']*')", r"has(\2, \1)", expression)
+    x = x.replace("lower(value)", "value.lower()").replace("luhn_check(", "luhn(").replace("length(", "len(")
+    x = re.sub(r"len\((\w+)\) between (\d+) and (\d+)", r"(\2 <= len(\1) <= \3)", x)
+    names = {"value": value, "digits": digits, "secret": secret, "true": True, "false": False, "luhn": luhn, "len": len, "has": lambda p, v: bool(regex.search(p, v))}
+    return bool(eval(x, {"__builtins__": {}}, names))  # noqa: S307  the module's own expressions
+
+
+def candidates(text: str | None, kinds) -> list[dict]:
+    """Valid spans of each kind in order, with votes and features."""
+    import regex
+
+    text, found = text or "", []
+    for kind in kinds:
+        before = 0
+        for m in regex.finditer(kind.pattern, text):
+            value, gap = m[0], text[before : m.start()]
+            before = m.end()
+            digits, left = re.sub("[^0-9]", "", value), gap[-40:]
+            tail = re.search(r"[A-Za-z0-9_./+=-]+$", value)
+            told = (value, digits, tail[0] if tail else "")
+            if not holds(kind.valid, *told):
+                continue
+            fake = any(regex.search(kind.placeholder, x) for x in (value, digits))
+            found.append({
+                "kind": kind.name, "start": m.start(), "end": m.end(), "shape": 1 if holds(kind.shape, *told) else -1, "gazetteer": int(holds(kind.gazetteer, *told)),
+                "context": int(bool(regex.search(kind.context, left.lower()))), "placeholder": -1 if fake else 0, "length_bin": min(3, len(value) // 12), "digit_bin": min(3, 4 * len(digits) // max(1, len(value))),
+                "upper": int(bool(re.search("[A-Z]", value))), "spaced": int(" " in value), "quoted": int(bool(re.search(r"[\"'=(<]$", left))), "line_start": int(left == "" or left.endswith("\n")),
+            })
+    return found

@@ -40,6 +40,30 @@ def test_quality_base(spark, sf_dir, texts):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_verdicts(spark, sf_dir, docs, texts):
+    """Ratios, chunk shares and verdicts of all documents, with fitted limits, against their definition."""
+    import zstandard
+
+    limits = quality_rules.fit_limits(docs)
+    assert quality_rules.fit_limits(docs.repartition(7)) == limits
+    press = zstandard.ZstdCompressor(level=3).compress
+    for r in entry.QUERIES["op1_quality_rules"](spark, sf_dir).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        if not raw:
+            assert r["ratio"] is None and not r["kept"]
+            continue
+        ratio = len(press(raw)) / len(raw)
+        low, high = next((lo, hi) for most, lo, hi in limits["bands"] if len(raw) <= most)
+        chunks = [raw[k : k + 2048] for k in range(0, len(raw), 2048)] if len(raw) > 2048 else []
+        chunks = [c for c in chunks if len(c) >= 1024]
+        ratios = [len(press(c)) / len(c) for c in chunks]
+        size = sum(map(len, chunks)) or 1
+        under = sum(len(c) for c, x in zip(chunks, ratios, strict=True) if x < limits["chunk_band"][0]) / size
+        over = sum(len(c) for c, x in zip(chunks, ratios, strict=True) if x > limits["chunk_band"][1]) / size
+        good = not r["base_failed"] and low <= ratio <= high and under <= 0.5 and over <= 0.5
+        assert (r["ratio"], r["low_chunks"], r["high_chunks"], r["kept"]) == (pytest.approx(ratio), pytest.approx(under), pytest.approx(over), good)
+
+
 def test_quality_bands(spark):
     import random
 
@@ -187,6 +211,13 @@ def test_license_sql(spark, sf_dir):
     assert not compare.difference(entry.QUERIES["op3_license_scan"](spark, sf_dir), compare.connect(sf_dir), entry.ORACLE_SQL["op3_license_scan"])
 
 
+def test_license_copies(spark, sf_dir):
+    query = entry.QUERIES["license_scan_copies"](spark, sf_dir)
+    assert not compare.difference(query, compare.connect(sf_dir), entry.ORACLE_SQL["license_scan_copies"])
+    found = {r["doc_id"]: r["license_id"] for r in query.collect()}
+    assert all((k % 6 == 5) == (x is None) for k, x in found.items()) and len({x for x in found.values() if x}) >= 30
+
+
 def test_license_variants(spark, no_docs):
     mit = LICENSES["MIT"]
     rows = [
@@ -387,6 +418,29 @@ def test_private_odd(spark, odd_docs, odd_texts, tmp_path):
     assert any("secret" in r["spans"] for r in out if r["doc_id"] == 14)
 
 
+def test_private_method_spans(spark, docs, texts):
+    """All spans of all documents and of made-up ones, against labelers, classifier and threshold in plain Python."""
+    extra = {
+        10**6: "Konto DE89 3704 0044 0532 0130 00 bitte; falsch DE88370400440532013000. Dr. Maria Lopez, 078-05-1120, tel (212) 555-0187",
+        10**6 + 1: "password: changeme12 api_key='sk_04dbebab91ab85687d33eeaaf9ac' Señora Lucia\n+49 30 1234567890 1.2.3.4 version 1.2.3.4",
+        10**6 + 2: "GB82 WEST 1234 5698 7654 32 und FR14 2004 1010 0505 0001 3M02 606; Mr X",
+    }
+    both = texts | extra
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(list(extra.items()), "doc_id bigint, text string"))
+    found = {k: brute.candidates(t, personal_data.KINDS) for k, t in both.items()}
+    counts = Counter(tuple(sorted((n, c[n]) for n in ("kind", *personal_data.LABELERS, *personal_data.FEATURES))) for own in found.values() for c in own)
+    weights = personal_data.train([dict(k) | {"n": n} for k, n in counts.items()])
+    base = {k.name for k in personal_data.KINDS if k.base}
+    for r in personal_data.personal_data(df, keep=["doc_id"]).collect():
+        want = []
+        for c in found[r["doc_id"]]:
+            odds = sum(weights[t] for t in personal_data.terms(c))
+            if c["kind"] in base or 1 / (1 + 2.718281828459045**-odds) >= personal_data.THRESHOLD:
+                want.append((c["kind"], c["start"], c["end"]))
+        assert [(x["kind"], x["start"], x["end"]) for x in r["personal_data"]] == want
+    assert [c["shape"] for c in found[10**6] if c["kind"] == "iban"] == [1, -1]
+
+
 def test_private_prefix_sums(spark):
     text = " ".join(f"u{k}@h.org" for k in range(1500))
     df = spark.createDataFrame([(1, "ü " + text)], "doc_id bigint, text string")
@@ -404,7 +458,7 @@ def test_redaction(spark, odd_docs, odd_texts, no_docs):
 
 def test_reliabilities_find_the_better_labeler():
     """A vote that agrees with the others counts for more than one that doesn't."""
-    base = {"length_bin": 1, "digit_bin": 1, "upper": 0, "near_word": 0, "quoted": 0, "line_start": 0}
+    base = {"length_bin": 1, "digit_bin": 1, "upper": 0, "spaced": 0, "quoted": 0, "line_start": 0}
     counts = [
         {"kind": "x", "shape": s, "gazetteer": g, "context": c, "placeholder": 0, "n": n, **base}
         for s, g, c, n in ((1, 1, 1, 400), (1, 1, 0, 300), (-1, 0, 0, 500), (-1, 0, 1, 40), (1, 0, 0, 30))
@@ -427,6 +481,38 @@ def test_quality_model(spark, sf_dir, docs):
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
+def test_quality_model_brute(spark, sf_dir, docs, texts):
+    """Scores of all documents against the model's definition, one passage at a time."""
+    import math
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality_model.train(docs, labels)
+    assert len(quality_model.training_rows(docs, labels, most=7)) == 7
+    rows = quality_model.training_rows(docs, labels, most=50, passages_each=2)
+    assert len(rows) == 50 and max(len(bag) for bag, _ in rows) == 2
+    w = {k: v.tolist() for k, v in model.weights.items()}
+    mean, scale = model.mean.tolist(), model.scale.tolist()
+
+    def times(x, matrix, bias=None):
+        return [sum(a * row[j] for a, row in zip(x, matrix, strict=True)) + (bias[j] if bias else 0.0) for j in range(len(matrix[0]))]
+
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    out = {r["doc_id"]: r["score"] for r in entry.QUERIES["op7_quality_model"](spark, sf_dir).collect()}
+    assert set(out) == set(texts)
+    for k in sorted(texts)[::7]:
+        encodings, raws = [], []
+        for part in quality_model.passages((texts[k] or "").encode()):
+            x = [max(-6.0, min(6.0, (float(v) - m) / s)) for v, m, s in zip(quality_model.encode_passage(part), mean, scale, strict=True)]
+            h = [math.tanh(v) for v in times(x, w["encode"], w["encode_bias"])]
+            gated = [math.tanh(a) * sigmoid(b) for a, b in zip(times(h, w["value"]), times(h, w["gate"]), strict=True)]
+            encodings.append(h)
+            raws.append(sum(a * b for a, b in zip(gated, w["attend"], strict=True)))
+        top = max(raws)
+        shares = [math.exp(r - top) for r in raws]
+        bag = [sum(s * h[j] for s, h in zip(shares, encodings, strict=True)) / sum(shares) for j in range(quality_model.ENCODED)]
+        assert out[k] == pytest.approx(sigmoid(sum(a * b for a, b in zip(bag, w["out"], strict=True)) + w["out_bias"][0]), abs=1e-4)
+
+
 def test_quality_model_slopes():
     """Gradients against differences."""
     import numpy as np
