@@ -346,7 +346,8 @@ def _slices(texts: list[str], most: int = SLICE_CHARS) -> Iterator[list[str]]:
 def encode_pieces(df: DataFrame, text_col: str = "text", out: str = "ids", model: str = MODEL) -> DataFrame:
     """``df`` with ``out``, the ids (array<int>) of each whole text.
 
-    Null and empty texts have no ids; equal texts equal ids; a column named ``out`` is replaced; rows aren't shuffled.
+    Null and empty texts have no ids; equal texts equal ids; a column named ``out`` is replaced; rows aren't shuffled; an
+    empty table stays empty. ``model`` is a file with a BPE model; see ``PieceCodec`` for those that are refused.
     """
 
     @arrow_udf("array<int>")
@@ -392,5 +393,6 @@ def codec_digest(text: Column, model: str = MODEL) -> Column:
 
 
 def op9_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of each document's ids, and whether they decode to its text; null and empty texts have none and come back empty."""
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", codec_digest(F.col("text")).alias("codec")).select("doc_id", "codec.*")

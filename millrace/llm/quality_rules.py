@@ -214,12 +214,19 @@ def quality_rules(df: DataFrame, text_col: str = "text", out: str = "quality_rul
 
 
 def keep_documents(df: DataFrame, text_col: str = "text", **limits) -> DataFrame:
-    """The rows of ``df`` that the rules keep, with its own columns only."""
+    """The rows of ``df`` that the rules keep, with its own columns only.
+
+    Null and empty texts go; equal texts share a verdict; an empty table stays empty; no row is shuffled.
+    """
     names = df.columns
     judged = df.select("*", compression_rules(F.col(f"`{text_col}`"), **limits).alias("__quality_rules__"))
     return judged.where("__quality_rules__.kept").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents, the limits being fitted to them; nulls, empty and equal texts as stated at ``quality_rules``.
+
+    Of a text's chunks, a last one of less than half the size is judged with the whole text only.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, **fit_limits(docs)).select("doc_id", "quality_rules.*")

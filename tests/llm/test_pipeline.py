@@ -16,7 +16,8 @@ def test_stages(spark, sf_dir, docs, texts):
     import zstandard
 
     press = zstandard.ZstdCompressor(level=quality_rules.LEVEL).compress
-    good = {k for k, t in texts.items() if quality_rules.measure((t or "").encode(), press)[-1]}
+    limits = quality_rules.fit_limits(docs)
+    good = {k for k, t in texts.items() if quality_rules.measure((t or "").encode(), press, **limits)[-1]}
     assert all(not brute.quality_base(texts[k])[-1] for k in good)
     stages = dict(corpus_pipeline.STAGES)
     kept = materialize(stages["quality_rules"](spark, docs, sf_dir))
@@ -42,3 +43,27 @@ def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert rows and all(n == 1 for n in Counter((r["doc_id"], r["start"]) for r in rows).values())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_duplicates", "personal_data", "packing"]
+
+
+def test_stages_on_odd_rows(spark, sf_dir, odd_docs, odd_texts):
+    """Nulls, repeated rows, clashing names and very long texts go through every stage on its own."""
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd_docs, sf_dir)
+        assert out.columns == odd_docs.columns, name
+        left = Counter(r["doc_id"] for r in out.collect())
+        assert all(n <= Counter(k for k, _ in odd_texts)[k] for k, n in left.items()) and left[1] == 1, name
+        if name in ("near_duplicates", "personal_data"):
+            assert left[4] == left[5] == 1, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, odd_docs, sf_dir)
+    assert {r["doc_id"] for r in packed.collect()} == {k for k, _ in odd_texts}
+
+
+def test_empty_tables(spark, docs, sf_dir, tmp_path):
+    """Every query of the subpackage, and the pipeline, on tables without rows."""
+    from millrace.llm import entry
+
+    for name in ("documents", "pages", "labels"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in entry.QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
