@@ -18,6 +18,8 @@ _OWN_DIRS: dict[str, str] = {}
 _LOCAL = re.compile(r"local(\[[^\]]*\])?")
 #: Most ids (about 16 MB) that are broadcast to spare the other side a shuffle.
 BROADCAST_IDS = 500_000
+#: Most rows of a few narrow columns (about 10 MB) that are broadcast.
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
