@@ -25,7 +25,7 @@ DECLARED_WEIGHT = 2.0
 #: A host with more than this share of the rows is hot; fewer than its reciprocal can be.
 HOT_SHARE = 1 / 64
 #: Most languages that labels may name; each is one row of BUCKETS numbers on every executor.
-MAX_LANGUAGES = 500
+MAX_LANGUAGES = 200
 UNKNOWN = "und"
 LEAST_POSTERIOR = 0.5
 
@@ -70,15 +70,16 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tupl
     if named.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
     counted = named.mapInArrow(_trigram_counts, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    summed = counted.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("counts"))
-    rows = {r["lang"]: r for r in summed.collect()}
-    languages = sorted(rows)
-    logs = np.zeros((len(languages), BUCKETS))
-    for k, lang in enumerate(languages):
-        counts = np.full(BUCKETS, SMOOTHING)
-        counts[rows[lang]["buckets"]] += rows[lang]["counts"]
-        logs[k] = np.log(counts / counts.sum())
-    return languages, logs.astype(np.float32)
+    table_ = counted.toArrow()
+    if not table_.num_rows:
+        return [], np.zeros((0, BUCKETS), dtype=np.float32)
+    held = pa.concat_arrays(table_.column("lang").chunks).dictionary_encode()
+    names = held.dictionary.to_pylist()
+    languages = sorted(names)
+    counts = np.full((len(languages), BUCKETS), SMOOTHING)
+    row = np.array([languages.index(x) for x in names])[held.indices.to_numpy()]
+    counts[row, table_.column("bucket").to_numpy()] += table_.column("n").to_numpy()
+    return languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def softmax(logs: np.ndarray) -> np.ndarray:
