@@ -11,9 +11,11 @@ from .personal_data import op6_personal_data
 from .piece_codec import op9_piece_codec
 from .quality_model import op7_quality_model
 from .quality_rules import op1_quality_rules
+from .ranked_search import ORACLE_SQL as SEARCH_SQL
+from .ranked_search import op11_ranked_search
 from .revisits import ORACLE_SQL as REVISIT_SQL
 from .revisits import op4_revisits
 from .shingle_join import op8_shingle_join
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, license_scan_copies, op4_revisits, op5_packing, op6_personal_data, op7_quality_model, op8_shingle_join, op9_piece_codec, op10_fingerprints)}
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "license_scan_copies": copies_sql(), "op4_revisits": REVISIT_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, license_scan_copies, op4_revisits, op5_packing, op6_personal_data, op7_quality_model, op8_shingle_join, op9_piece_codec, op10_fingerprints, op11_ranked_search)}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "license_scan_copies": copies_sql(), "op4_revisits": REVISIT_SQL, "op11_ranked_search": SEARCH_SQL}
