@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .conversation_repair import op12_conversation_repair
+from .conversation_repair import oracle_sql as repair_sql
 from .fingerprints import op10_fingerprints
 from .language_id import op2_language_id
 from .license_scan import copies_sql, license_scan_copies, op3_license_scan
@@ -17,5 +19,5 @@ from .revisits import ORACLE_SQL as REVISIT_SQL
 from .revisits import op4_revisits
 from .shingle_join import op8_shingle_join
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, license_scan_copies, op4_revisits, op5_packing, op6_personal_data, op7_quality_model, op8_shingle_join, op9_piece_codec, op10_fingerprints, op11_ranked_search)}
-ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "license_scan_copies": copies_sql(), "op4_revisits": REVISIT_SQL, "op11_ranked_search": SEARCH_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_license_scan, license_scan_copies, op4_revisits, op5_packing, op6_personal_data, op7_quality_model, op8_shingle_join, op9_piece_codec, op10_fingerprints, op11_ranked_search, op12_conversation_repair)}
+ORACLE_SQL: dict[str, str] = {"op3_license_scan": license_sql(), "license_scan_copies": copies_sql(), "op4_revisits": REVISIT_SQL, "op11_ranked_search": SEARCH_SQL, "op12_conversation_repair": repair_sql()}
