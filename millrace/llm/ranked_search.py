@@ -7,6 +7,7 @@ slice with carries, for many items at a time, and the best documents are found f
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .shared import BROADCAST_ROWS, materialize, partitions, table
 
@@ -29,7 +31,7 @@ SLICE_BYTES = 1_000_000
 #: Items that are added together, and terms of items that one row of a query table holds, about.
 BATCH_ITEMS, CHUNK_TERMS = 64, 20_000
 #: Bytes of slices that are kept for the next item that has the term.
-KEPT_BYTES = 64_000_000
+KEPT_BYTES = 16_000_000
 #: Bytes of terms that go to every task, so that only their postings are written; for more, all postings are.
 TERM_BYTES = 8_000_000
 
@@ -57,21 +59,39 @@ def count_terms(raw: bytes, among: frozenset | None = None) -> tuple[int, Counte
     return n, found
 
 
-def _block(rows: list[tuple]) -> dict:
-    """One row of the index: documents (id, terms, counts) by id, nulls last, and the postings of their terms."""
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
-    postings: dict[bytes, tuple[list, list]] = {}
-    for place, (_, _, found) in enumerate(rows):
+class _Builder:
+    """A block of documents as they come; ``row`` gives the index's row, in which they stand by id, nulls last."""
+
+    def __init__(self):
+        self.ids, self.lengths, self.postings, self.bytes = [], array("q"), {}, 0
+
+    def add(self, doc_id: int | None, raw: bytes, among: frozenset | None) -> None:
+        n, found = count_terms(raw, among)
         for term, count in found.items():
-            places, counts = postings.setdefault(term, ([], []))
-            places.append(place)
+            places, counts = self.postings.get(term) or self.postings.setdefault(term, (array("H"), array("I")))
+            places.append(len(self.ids))
             counts.append(count)
-    lengths = np.array([n for _, n, _ in rows], np.int64)
-    return {
-        "doc_ids": np.array([r[0] or 0 for r in rows], np.int64).tobytes(), "nulls": sum(r[0] is None for r in rows), "lengths": lengths.tobytes(),
-        "with_terms": int((lengths > 0).sum()), "all_terms": int(lengths.sum()), "terms": [t.decode() for t in postings], "holders": [len(p) for p, _ in postings.values()],
-        "places": [np.array(p, np.uint16).tobytes() for p, _ in postings.values()], "counts": [np.array(c, np.uint32).tobytes() for _, c in postings.values()],
-    }
+        self.ids.append(doc_id)
+        self.lengths.append(n)
+        self.bytes += len(raw)
+
+    def row(self) -> pa.RecordBatch:
+        order = np.array(sorted(range(len(self.ids)), key=lambda p: (self.ids[p] is None, self.ids[p] or 0)))
+        moved = np.empty(len(order), np.uint16)
+        moved[order] = np.arange(len(order))
+        lengths = np.frombuffer(self.lengths, np.int64)[order]
+        places, counts = [], []
+        for held in self.postings.values():
+            at = moved[np.frombuffer(held[0], np.uint16)]
+            by = np.argsort(at)
+            places.append(at[by].tobytes())
+            counts.append(np.frombuffer(held[1], np.uint32)[by].tobytes())
+        row = {
+            "doc_ids": np.array([self.ids[p] or 0 for p in order], np.int64).tobytes(), "nulls": sum(x is None for x in self.ids), "lengths": lengths.tobytes(),
+            "with_terms": int((lengths > 0).sum()), "all_terms": int(lengths.sum()), "terms": [t.decode() for t in self.postings], "holders": [len(p) // 2 for p in places],
+            "places": places, "counts": counts,
+        }
+        return pa.RecordBatch.from_pylist([row], _INDEX_ARROW)
 
 
 _INDEX_ARROW = pa.schema([
@@ -91,18 +111,17 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wanted = None if among is None else frozenset(t.encode() for t in among)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        block = _Builder()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k, doc_id in enumerate(ids):
+            texts = batch.column(1)
+            for k, doc_id in enumerate(batch.column(0).to_pylist()):
                 raw = texts[k].as_py() or b""
-                if rows and (len(rows) >= block_docs or held + len(raw) > BLOCK_BYTES):
-                    yield pa.RecordBatch.from_pylist([_block(rows)], _INDEX_ARROW)
-                    rows, held = [], 0
-                rows.append((doc_id, *count_terms(raw, wanted)))
-                held += len(raw)
-        if rows:
-            yield pa.RecordBatch.from_pylist([_block(rows)], _INDEX_ARROW)
+                if block.ids and (len(block.ids) >= block_docs or block.bytes + len(raw) > BLOCK_BYTES):
+                    yield block.row()
+                    block = _Builder()
+                block.add(doc_id, raw, wanted)
+        if block.ids:
+            yield block.row()
 
     read = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
     return materialize(read.mapInArrow(blocks, INDEX), "impact_index")
@@ -216,45 +235,47 @@ def search(index: DataFrame, entries: DataFrame, k: int = 10) -> DataFrame:
     rows that repeat an id have a rank each. Items without terms, or whose terms no document has, get no rows; without
     documents there are no rows. An index that was built ``among`` terms must have those of the items.
 
-    Items are dealt into rows of about ``CHUNK_TERMS`` terms, each of which meets each block once: as a broadcast while all
-    of them have at most ``BROADCAST_ROWS`` terms, else through a shuffle that deals the blocks of a row over all tasks.
+    While the items have at most ``BROADCAST_ROWS`` terms, all go to every task. More are dealt into rows of about
+    ``CHUNK_TERMS`` terms, each of which meets each block once, by a shuffle that deals the blocks of a row over all tasks.
     A block gives ``k`` documents an item, of which Spark keeps ``k`` in each task before it shuffles them.
     """
     spark = index.sparkSession
     id_type = entries.schema["item_id"].dataType.simpleString()
     n_docs, n_terms = index.agg(F.coalesce(F.sum("with_terms"), F.lit(0)), F.coalesce(F.sum("all_terms"), F.lit(0))).first()
-    if not n_docs:
+    if not n_docs or entries.isEmpty():
         return spark.createDataFrame([], f"item_id {id_type}, rank int, doc_id bigint, score bigint")
     holders = index.select(F.explode(F.arrays_zip("terms", "holders")).alias("t")).groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.holders").alias("holders"))
     weighed = materialize(entries.join(holders, "term").withColumn("w", weight(F.col("holders"), n_docs)).where("w > 0"), "item_terms")
     total = weighed.count()
-    chunks, few = max(1, -(-total // CHUNK_TERMS)), total <= BROADCAST_ROWS
     by_item = weighed.groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("term", "repeats", "w"))).alias("entries"))
-    dealt = by_item.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("item_id", "entries")).alias("items"))
-    blocks = index.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
-    if few:
-        met = blocks.join(F.broadcast(dealt), "chunk")
+    columns = ["doc_ids", "nulls", "lengths", "terms", "places", "counts"]
+    asked = None
+    if total <= BROADCAST_ROWS:
+        asked = [(r["item_id"], [tuple(e) for e in r["entries"]]) for r in by_item.toLocalIterator()]
+        met = index.select(*columns)
     else:
-        salts = partitions(spark)
+        chunks, salts = -(-total // CHUNK_TERMS), partitions(spark)
+        dealt = by_item.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("item_id", "entries")).alias("items"))
         spread = dealt.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        met = blocks.withColumn("salt", F.pmod(F.xxhash64("doc_ids", "lengths"), F.lit(salts)).cast("int")).join(spread, ["chunk", "salt"])
+        blocks = index.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
+        met = blocks.withColumn("salt", F.pmod(F.xxhash64("doc_ids", "lengths"), F.lit(salts)).cast("int")).join(spread, ["chunk", "salt"]).select(*columns, "items")
+    id_kind = to_arrow_type(entries.schema["item_id"].dataType)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                block, items, out = _Block(row, n_docs, n_terms), row["items"], ([], [], [])
+                (row,) = batch.slice(at, 1).to_pylist()
+                items = asked if asked is not None else [(x["item_id"], [(e["term"], e["repeats"], e["w"]) for e in x["entries"]]) for x in row["items"]]
+                block, out = _Block(row, n_docs, n_terms), ([], [], [])
                 for begin in range(0, len(items), BATCH_ITEMS):
                     part = items[begin : begin + BATCH_ITEMS]
-                    sums = block.sums([[(e["term"], e["repeats"], e["w"]) for e in item["entries"]] for item in part])
-                    for item, best in zip(part, block.best(sums, k), strict=True):
+                    for (item_id, _), best in zip(part, block.best(block.sums([terms for _, terms in part]), k), strict=True):
                         for doc_id, score in best:
-                            for column, value in zip(out, (item["item_id"], doc_id, score), strict=True):
+                            for column, value in zip(out, (item_id, doc_id, score), strict=True):
                                 column.append(value)
-                kind = batch.schema.field("items").type.value_type.field("item_id").type
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["item_id", "doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], id_kind), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["item_id", "doc_id", "score"])
 
-    scored = met.select("doc_ids", "nulls", "lengths", "terms", "places", "counts", "items").mapInArrow(found, f"item_id {id_type}, doc_id bigint, score bigint")
+    scored = met.mapInArrow(found, f"item_id {id_type}, doc_id bigint, score bigint")
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))))
     return ranked.where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score")
 

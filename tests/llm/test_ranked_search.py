@@ -86,6 +86,6 @@ def test_slices_of_long_texts(monkeypatch):
 
 def test_empty(spark, no_docs, odd_docs):
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
-    for docs, asked in ((no_docs, items), (odd_docs, items.limit(0)), (odd_docs.where("text is null"), items)):
+    for docs, asked in ((no_docs, items), (odd_docs, items.limit(0)), (odd_docs.where("text is null"), items), (odd_docs, items.where("item_id in (2, 3, 5)"))):
         found = ranked_search.ranked_search(docs, asked)
         assert found.columns == ["item_id", "rank", "doc_id", "score"] and not found.collect()
