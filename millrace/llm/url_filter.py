@@ -3,8 +3,8 @@
 Pages are first counted by host and path, in which tokens of a variable form (numbers, dates, digests) are one; all that
 follows works on these counts. Level by level, rare tokens among many siblings become wildcards, and siblings that don't
 differ statistically become one branch. A branch's profile is how its pages are spread over what follows in the path and over
-labels (none, allow, block): siblings are dealt by their most frequent label, and each is held against the pool of its deal by
-chi-square, so that no pairs are made. Templates with too little smoothed purity are rejected.
+labels (none, allow, block): siblings are dealt by what is most frequent of both, and each is held against the pool of its deal
+by chi-square, so that no pairs are made. Templates with too little smoothed purity are rejected.
 """
 
 from __future__ import annotations
@@ -100,9 +100,10 @@ def _merged(shapes: DataFrame, level: int) -> DataFrame:
     later = F.transform(F.slice("tokens", level + 2, DEPTH + 1), lambda t: F.when(t.startswith("{"), t).otherwise("w"))
     counts = [F.sum(c).alias(c) for c in ("none", "allowed", "blocked")]
     profiles = shapes.where("token is not null").groupBy("host", "prefix", "token", F.array_join(later, "/").alias("later")).agg(*counts)
-    most = F.greatest("none", "allowed", "blocked")
-    main = F.when(F.col("none") == most, "{~}").when(F.col("allowed") == most, "{~allow}").otherwise("{~block}")
-    branches = profiles.groupBy("host", "prefix", "token").agg(*counts).select("host", "prefix", "token", main.alias("deal"), F.expr("none + allowed + blocked").alias("n"))
+    most, form = F.greatest("none", "allowed", "blocked"), F.max(F.struct(F.expr("none + allowed + blocked"), "later"))["later"]
+    main = F.when(F.col("none") == most, "{~:").when(F.col("allowed") == most, "{~allow:").otherwise("{~block:")
+    branches = profiles.groupBy("host", "prefix", "token").agg(*counts, form.alias("form"))
+    branches = branches.select("host", "prefix", "token", F.concat(main, "form", F.lit("}")).alias("deal"), F.expr("none + allowed + blocked").alias("n"))
     cells = profiles.select("host", "prefix", "token", "later", F.expr("stack(3, 'none', none, 'allow', allowed, 'block', blocked) as (label, seen)")).where("seen > 0")
     cells = cells.join(branches, ["host", "prefix", "token"])
     pool = cells.groupBy("host", "prefix", "deal", "later", "label").agg(F.sum("seen").alias("pooled"))
@@ -195,8 +196,10 @@ kept{k} as (select host, prefix, own from nodes{k} qualify count(*) over (partit
 named{k} as (select s.*, case when len(s.tokens) <= {k} then null when t.own is null then '{{*}}' else t.own end as token,
     array_to_string(list_transform(s.tokens[{k + 2}:], lambda x: case when x[1] = '{{' then x else 'w' end), '/') as later
     from shapes{k} s left join kept{k} t on t.host = s.host and t.prefix = s.prefix and t.own = s.tokens[{k + 1}]),
-branches{k} as (select host, prefix, token, sum(pages) as n, case greatest(sum(none), sum(allowed), sum(blocked)) when sum(none) then '{{~}}' when sum(allowed) then '{{~allow}}' else '{{~block}}' end as deal
-    from named{k} where token is not null group by all),
+forms{k} as (select host, prefix, token, later from named{k} where token is not null group by host, prefix, token, later
+    qualify row_number() over (partition by host, prefix, token order by sum(pages) desc, later desc) = 1),
+branches{k} as (select n.host, n.prefix, n.token, sum(pages) as n, case greatest(sum(none), sum(allowed), sum(blocked)) when sum(none) then '{{~:' when sum(allowed) then '{{~allow:' else '{{~block:' end || f.later || '}}' as deal
+    from named{k} n join forms{k} f on f.host = n.host and f.prefix = n.prefix and f.token = n.token group by n.host, n.prefix, n.token, f.later),
 cells{k} as (select host, prefix, token, deal, n, later, label, sum(seen) as seen from
     (select host, prefix, token, later, unnest(['none', 'allow', 'block']) as label, unnest([none, allowed, blocked]) as seen from named{k} where token is not null) join branches{k} using (host, prefix, token)
     where seen > 0 group by all),

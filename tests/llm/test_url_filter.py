@@ -49,7 +49,7 @@ def test_odd_and_generated_urls(spark, tmp_path, monkeypatch, few):
     found = entry.QUERIES["op13_url_filter"](spark, sf)
     assert not compare.difference(found, compare.connect(sf), entry.ORACLE_SQL["op13_url_filter"])
     templates = {r["template"] for r in found.select("template").collect()}
-    assert any(t.startswith("big.example.com/{~}") for t in templates) and not any("slug" in t for t in templates)
+    assert any(t.startswith("big.example.com/{~:{n}}/") for t in templates) and "big.example.com/de/{n}" in templates and not any("slug" in t for t in templates if t.startswith("big"))
 
 
 def test_rules_of_odd_urls(spark):
