@@ -170,6 +170,11 @@ def shifted_response(values: Column, offset: Column, length: Column) -> Column:
     return F.slice(values, offset, length)
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def multiset_jaccard(a: Column, b: Column) -> Column:
     """Shared count over joint count of two string arrays; two equal ones have 1, one empty 0."""
     distinct = F.array_intersect(a, b)

@@ -11,7 +11,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
+from pyspark.sql.types import BooleanType, StringType
 
 from . import grading
 
@@ -138,17 +138,11 @@ def tool_format(response: Column, answer: Column) -> Column:
     return F.when(shape, 1.0).otherwise(0.0)
 
 
-@F.pandas_udf(DoubleType())
-def tool_correctness(response: pd.Series, answer: pd.Series) -> pd.Series:
-    """From -3 to 3: how well the response's calls match those of the answer; 0 if it has none."""
-    return pd.Series([grading.tool_correctness(r, a) for r, a in zip(response, answer, strict=True)], dtype="float64")
-
-
 def tool_reward(solution: Column, answer: Column, markup: str) -> Column:
     """Struct (score, format_reward, accuracy_reward) of the last assistant turn in the ``llama`` or ``qwen`` markup."""
     start, end = {"llama": ("<|start_header_id|>assistant<|end_header_id|>", "<|eot_id|>"), "qwen": ("<|im_start|>assistant", "<|im_end|>")}[markup]
     response = F.regexp_replace(F.substring_index(F.substring_index(solution, start, -1), end, 1), r"^\s+|\s+$", "")
-    shape, calls = tool_format(response, answer), tool_correctness(response, answer)
+    shape, calls = tool_format(response, answer), grading.tool_correctness(response, answer)
     return F.struct((shape + calls).alias("score"), shape.alias("format_reward"), calls.alias("accuracy_reward"))
 
 
@@ -213,15 +207,13 @@ def strip_latex(text: Column) -> Column:
     x = F.split_part(x, F.lit("\\text{ "), F.lit(1))
     x = F.replace(F.replace(x, F.lit("\\\\%"), F.lit("")), F.lit("\\%"), F.lit(""))
     x = F.replace(F.replace(x, F.lit(" ."), F.lit(" 0.")), F.lit("{."), F.lit("{0."))
-    x = F.when(x.startswith("."), F.concat(F.lit("0"), x)).otherwise(x)
-    left = F.substring_index(x, "=", 1)
-    once = F.length(F.replace(x, F.lit("="), F.lit(""))) == F.length(x) - 1
-    x = F.when(once & (F.length(left) <= 2), F.substring_index(x, "=", -1)).otherwise(x)
+    x = F.regexp_replace(x, r"^\.", "0.")
+    x = F.regexp_replace(x, r"(?s)^[^=]{0,2}=([^=]*)$", "$1")
     x = F.regexp_replace(x, r"\\sqrt([^{])", r"\\sqrt{$1}")
     x = F.replace(x, F.lit(" "), F.lit(""))
     x = F.regexp_replace(x, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}")
     x = F.regexp_replace(x, r"\\frac([^{])(\{)", r"\\frac{$1}$2")
-    x = F.when(x == "0.5", F.lit("\\frac{1}{2}")).otherwise(x)
+    x = F.regexp_replace(x, r"^0\.5$", r"\\frac{1}{2}")
     return F.regexp_replace(x, r"^(-?[0-9]+)/(-?[0-9]+)$", r"\\frac{$1}{$2}")
 
 
@@ -332,11 +324,25 @@ def numbers_equal(prediction: pd.Series, reference: pd.Series) -> pd.Series:
     return pd.Series([same(p, r) for p, r in zip(prediction, reference, strict=True)])
 
 
-@F.pandas_udf(StructType().add("correct", BooleanType()).add("formatted", BooleanType()).add("answer", StringType()))
-def prime_answer(solution: pd.Series, truth: pd.Series) -> pd.DataFrame:
-    """The answer that the solution marks, graded by text, parts and arithmetic."""
-    rows = [(False, False, None) if s is None or t is None else grading.prime_score(s, t, safe_number) for s, t in zip(solution, truth, strict=True)]
-    return pd.DataFrame(rows, columns=["correct", "formatted", "answer"])
+def answers_agree(given: Column, truth: Column) -> Column:
+    """Equal in LaTeX without its shorthand, or part by part in plain form; null is equal to nothing."""
+    same = strip_latex(grading.without_text(F.trim(given))) == strip_latex(grading.without_text(F.trim(truth)))
+    return F.coalesce(same, F.lit(False)) | grading.grades(given, truth)["in_parts"]
+
+
+def prime_answer(solution: Column, truth: Column) -> Column:
+    """Struct (correct, formatted, answer): the answer that the solution marks, graded by text, parts and formulas."""
+    answer = grading.marked_answer(solution)["answer"]
+    alike = answers_agree(answer, truth)
+    formatted = alike | solution.contains("Step 2:") & solution.contains("\\box")
+    return F.struct((alike | grading.grades(answer, truth)["in_value"]).alias("correct"), F.coalesce(formatted, F.lit(False)).alias("formatted"), answer.alias("answer"))
+
+
+def verified_score(solution: Column, truth: Column) -> Column:
+    """1 if the last box, or else the last formula between dollar signs, or else the last number, is the truth as a formula."""
+    formula = last_match(solution, r"(?s)\$([^$]+)\$")
+    found = F.coalesce(last_boxed(solution), formula, last_match(solution, r"(-?[0-9][0-9,]*(?:\.[0-9]+)?(?:/[0-9]+)?)"))
+    return F.when(grading.grades(found, truth)["in_value"], 1.0).otherwise(0.0)
 
 
 @register_scorer(*[f"numina_{x}" for x in ("aops_forum", "synthetic_math", "amc_aime", "synthetic_amc", "cn_k12", "olympiads")])
@@ -344,11 +350,6 @@ def prime_score(solution: Column, truth: Column) -> Column:
     return F.when(prime_answer(solution, truth)["correct"], 1.0).otherwise(0.0)
 
 
-@F.pandas_udf(BooleanType())
-def answers_agree(given: pd.Series, truth: pd.Series) -> pd.Series:
-    return pd.Series([grading.grade_answer(g, t, safe_number) for g, t in zip(given, truth, strict=True)], dtype="bool")
-
-
 @register_scorer("hiyouga/geometry3k")
 def geometry_score(solution: Column, truth: Column) -> Column:
     """Nine tenths for the boxed answer, one for the format."""

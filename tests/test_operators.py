@@ -320,7 +320,7 @@ def test_scores_of_all_sources(spark):
     df = frame(spark, rows, "source string, solution string, truth string, expected double")
     got = df.select("source", "solution", "expected", S.score_by_source(F.col("source"), F.col("solution"), F.col("truth")).alias("score")).collect()
     assert not [r for r in got if r["score"] is None or abs(r["score"] - r["expected"]) > 1e-9]
-    assert not S.grading.grade_answer("2/4", "1/2", S.safe_number)  # fractions must be reduced; only values agree
+    assert not S.grading.same_in_parts("2/4", "1/2") and S.grading.same_answers("2/4", "1/2")  # fractions must be reduced; only values agree
 
 
 def test_tool_reward(spark):
