@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, table, without
+from .fingerprints import wide_hash
+from .shared import BROADCAST_ROWS, free_name, limited_to, materialize, table
 
 #: Buckets of hashed byte trigrams (a power of two).
 BUCKETS = 1 << 15
@@ -241,11 +242,11 @@ def page_evidence(pages: DataFrame, languages: list[str], logs: np.ndarray) -> D
 
 
 def document_evidence(docs: DataFrame, languages: list[str], logs: np.ndarray, key: Column | None = None) -> DataFrame:
-    """Evidence of plain documents: their text, and their source as host; ``key`` takes the place of their id."""
-    key = F.col("doc_id") if key is None else key
+    """Evidence of plain documents: their text, and their source as host; ``key``, a string, names a row instead of its id."""
+    key = F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) if key is None else key
     nothing = F.lit(None).cast("string")
     source = docs.select(
-        F.concat(F.lit("document "), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("row"), key.cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"),
+        key.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("page_id"),
         (F.col("source").cast("string") if "source" in docs.columns else nothing).alias("host"), nothing.alias("domain"), nothing.alias("declared"), nothing.alias("suffix"), F.coalesce("text", F.lit("")).alias("body"),
     )
     return likelihoods(source, "body", logs, EVIDENCE)
@@ -262,14 +263,14 @@ def identify(spark: SparkSession, docs: DataFrame, pages: DataFrame | None = Non
     unless no language is likeliest or the posterior is under LEAST_POSTERIOR. Null and empty texts have no text
     evidence and, with no other evidence than their host's, are not kept; equal rows get equal results; without
     labelled rows, or a column ``lang``, every language is ``und``; without a column ``source`` documents have no
-    host; empty tables give no rows; other columns are ignored. ``key``, a whole number, is given out as doc_id instead
-    of the documents' own.
+    host; empty tables give no rows; other columns are ignored. Labels may name MAX_LANGUAGES languages at most; for more
+    an error is raised, and nothing is judged. With ``key``, a string, there is a column ``row`` that has it for documents.
     """
     languages, logs = train(docs if labelled is None else labelled)
     evidence = document_evidence(docs, languages, logs, key)
     if pages is not None:
         evidence = evidence.unionByName(page_evidence(pages, languages, logs))
-    return fuse(evidence, languages).select("doc_id", "page_id", "host", "declared", "suffix", "lang", "posterior").withColumn(
+    return fuse(evidence, languages).select(*(["row"] if key is not None else []), "doc_id", "page_id", "host", "declared", "suffix", "lang", "posterior").withColumn(
         "kept", (F.col("lang") != UNKNOWN) & (F.col("posterior") >= LEAST_POSTERIOR)
     )
 
@@ -277,19 +278,21 @@ def identify(spark: SparkSession, docs: DataFrame, pages: DataFrame | None = Non
 def keep_documents(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is clear, ids being ignored.
 
-    A verdict follows from text and source alone, so rows are known again by a 64-bit hash of both; null counts as empty
-    text, a missing column ``source`` as null. If no row of ``labelled`` (by default ``docs``) names a language, or
+    A verdict follows from text and source alone, so rows are known again by a 128-bit hash of both; null counts as empty
+    text, a missing column ``source`` as null. More than MAX_LANGUAGES languages raise an error. If no row of ``labelled`` (by default ``docs``) names a language, or
     the column is missing, nothing can be judged and all rows stay. Repeated rows share their verdict.
     """
     known = docs if labelled is None else labelled
     if "lang" not in known.columns or known.where("lang is not null").isEmpty():
         return docs
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
-    judged = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce(source, F.lit("")), source.isNull())
-    rejected = identify(spark, docs, labelled=labelled, key=judged).where("not kept").select(F.col("doc_id").alias("__rejected__")).distinct()
-    return without(docs, judged, materialize(rejected, "rejected"))
+    both = F.concat(F.coalesce(F.length(source).cast("string"), F.lit("")), F.lit(":"), F.coalesce(source, F.lit("")), F.coalesce("text", F.lit("")))
+    held = free_name(docs, "__rejected__")
+    with_ids = docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None).cast("bigint"))
+    rejected = identify(spark, with_ids, labelled=labelled, key=wide_hash(both)).where("not kept").select(F.col("row").alias(held)).distinct()
+    return limited_to(docs, wide_hash(both), materialize(rejected, "rejected"), "left_anti", BROADCAST_ROWS)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``identify`` of all documents and pages; null, empty and repeated rows as stated there."""
+    """``identify`` of all documents and pages; null, empty and repeated rows, and more than MAX_LANGUAGES languages, as stated there."""
     return identify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, replace_column, table
+from .shared import free_name, materialize, replace_column, table
 
 CONTEXT_CHARS = 40
 THRESHOLD = 0.5
@@ -148,23 +148,28 @@ FEATURES = ("length_bin", "digit_bin", "upper", "spaced", "quoted", "line_start"
 _BLOCK = 256
 
 
-def _prefix(lengths: Column) -> Column:
-    """Struct of an array's total and the sums before each entry."""
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("before"))
+def _prefix(values: Column, zero: int, combine) -> Column:
+    """Struct of an array's combined entries and the combinations before each entry."""
+    start = F.struct(F.lit(zero).cast("bigint").alias("total"), F.array().cast("array<bigint>").alias("before"))
     return F.aggregate(
-        lengths,
+        values,
         start,
-        lambda acc, x: F.struct((acc["total"] + x).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before")),
+        lambda acc, x: F.struct(combine(acc["total"], x).alias("total"), F.concat(acc["before"], F.array(acc["total"])).alias("before")),
     )
 
 
-def _starts(lengths: Column) -> Column:
-    """Sums before each entry, block by block, so that the appended arrays stay short."""
+def _earlier(values: Column, zero: int, combine) -> Column:
+    """Combinations of what is before each entry, block by block, so that the appended arrays stay short."""
     blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")), lambda b: _prefix(F.slice(lengths, b * _BLOCK + 1, _BLOCK))
+        F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: _prefix(F.slice(values, b * _BLOCK + 1, _BLOCK), zero, combine)
     )
-    offsets = _prefix(F.transform(blocks, lambda b: b["total"]))["before"]
-    return F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(b["before"], lambda v: v + o)))
+    offsets = _prefix(F.transform(blocks, lambda b: b["total"]), zero, combine)["before"]
+    return F.flatten(F.zip_with(blocks, offsets, lambda b, o: F.transform(b["before"], lambda v: combine(v, o))))
+
+
+def _starts(lengths: Column) -> Column:
+    """Sums before each entry."""
+    return _earlier(lengths, 0, lambda a, x: a + x)
 
 
 def _spans(kind: Kind) -> Column:
@@ -234,9 +239,9 @@ def candidates(df: DataFrame, text_col: str, keep: list[str], kinds=KINDS, out:
 
 
 def pattern_counts(found: DataFrame) -> list[dict]:
-    """How often each combination of kind, votes and features occurs, over all spans."""
+    """How often each combination of kind, votes and features occurs, over all spans, in a fixed order."""
     one = found.select(F.explode("found").alias("s")).select("s.kind", *[f"s.{c}" for c in (*LABELERS, *FEATURES)])
-    return [r.asDict() for r in one.groupBy("kind", *LABELERS, *FEATURES).agg(F.count("*").alias("n")).collect()]
+    return [r.asDict() for r in sorted(one.groupBy("kind", *LABELERS, *FEATURES).agg(F.count("*").alias("n")).collect())]
 
 
 def reliabilities(counts: list[dict], rounds: int = 50) -> dict[tuple, float]:
@@ -319,12 +324,13 @@ def personal_data(
     all of them. No row is shuffled, so no source or copy can be hot.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
-    found = materialize(candidates(df, text_col, keep, kinds, "__found__"), "spans")
-    weights = train(pattern_counts(found.select(F.col("__found__").alias("found"))))
+    held = free_name(df, "__found__")
+    found = materialize(candidates(df, text_col, keep, kinds, held), "spans")
+    weights = train(pattern_counts(found.select(F.col(held).alias("found"))))
     base = ", ".join(f"'{k.name}'" for k in kinds if k.base)
-    scored = f"transform(__found__, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'score', {score(weights)}))"
+    scored = f"transform({held}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'score', {score(weights)}))"
     spans = F.expr(f"cast(filter({scored}, x -> x.kind in ({base}) or x.score >= {threshold}) as {SPANS})")
-    return replace_column(found, out, spans).drop("__found__")
+    return replace_column(found, out, spans).drop(held)
 
 
 def written(spans: str, kinds: str = "true") -> str:
@@ -332,23 +338,60 @@ def written(spans: str, kinds: str = "true") -> str:
     return f"array_join(transform(filter({spans}, x -> {kinds}), x -> concat(x.kind, ':', x.start, ':', x.end)), ',')"
 
 
+#: Code points that redaction looks at together.
+_SHEET = 4096
+
+
 def redact(df: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """``df`` with each span of its texts replaced by its kind in angle brackets; spans that overlap become one.
 
-    A null text stays null. A text is cut once for each of its spans.
+    ``text_col`` is found as Spark finds names, in any case of letters; if there is no such column, or several, an error is
+    raised. A null text stays null and an empty one empty; equal texts are changed alike; an empty table stays empty; other
+    columns pass through, whatever their names. A text with spans is cut into sheets of ``_SHEET`` code points, in each of
+    which only its own spans are looked for.
     """
-    marked = personal_data(df, text_col, "__personal_data__", **options)
-    ordered = "array_sort(__personal_data__, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 when a.end > b.end then -1 when a.end < b.end then 1 else 0 end)"
-    merged = f"""aggregate({ordered}, cast(array() as {SPANS}), (acc, x) ->
-        case when size(acc) = 0 or element_at(acc, -1).end <= x.start then concat(acc, array(x))
-             when element_at(acc, -1).end >= x.end then acc
-             else concat(slice(acc, 1, size(acc) - 1), array(named_struct('kind', element_at(acc, -1).kind, 'start', element_at(acc, -1).start, 'end', x.end, 'score', x.score))) end)"""
-    cut = marked.withColumn("__merged__", F.expr(f"case when size(__personal_data__) > 0 then {merged} end"))
-    t = f"`{text_col}`"
-    pieces = f"""transform(__merged__, (x, i) -> concat(
-        substring({t}, cast(if(i = 0, 0L, get(__merged__, i - 1).end) + 1 as int), cast(x.start - if(i = 0, 0L, get(__merged__, i - 1).end) as int)), '<', upper(x.kind), '>'))"""
-    clean = F.expr(f"case when __merged__ is null then {t} else concat(array_join({pieces}, ''), substring({t}, cast(element_at(__merged__, -1).end + 1 as int))) end")
-    return cut.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns])
+    named = [c for c in df.columns if c.lower() == text_col.lower()]
+    if len(named) != 1:
+        raise ValueError(f"{len(named)} columns are named {text_col}")
+    found, merged = free_name(df, "__personal_data__"), free_name(df, "__merged__")
+    marked = personal_data(df, named[0], found, **options)
+    ordered = f"array_sort({found}, (a, b) -> case when a.start < b.start then -1 when a.start > b.start then 1 when a.end > b.end then -1 when a.end < b.end then 1 else 0 end)"
+    cut = marked.withColumn(merged, F.expr(f"case when size({found}) > 0 then {ordered} end"))
+    cut = cut.withColumn(merged, F.when(F.col(merged).isNotNull(), _disjoint(F.col(merged))))
+    return cut.select(*[_redacted(F.col(f"`{c}`"), F.col(merged)).alias(c) if c == named[0] else F.col(f"`{c}`") for c in df.columns])
+
+
+def _disjoint(spans: Column) -> Column:
+    """Sorted spans (start, end, kind) without what earlier ones cover; the kind of one that goes on from another is null."""
+    reach = _earlier(F.transform(spans, lambda x: x["end"]), -1, F.greatest)
+    cut = F.zip_with(spans, reach, lambda x, r: F.struct(F.greatest(x["start"], r).alias("start"), x["end"].alias("end"), F.when(x["start"] >= r, x["kind"]).alias("kind")))
+    return F.filter(cut, lambda x: x["end"] > x["start"])
+
+
+def _redacted(text: Column, spans: Column) -> Column:
+    """``text`` without the sorted disjoint ``spans``, for each of which its kind, if it has one, is put."""
+    first = F.transform(spans, lambda x: F.floor(x["start"] / _SHEET).cast("int"))
+    crossing = F.filter(spans, lambda x: F.floor(x["start"] / _SHEET) < F.floor((x["end"] - 1) / _SHEET))
+    marks = F.struct(spans.alias("spans"), first.alias("first"), F.reverse(first).alias("last"), crossing.alias("crossing"))
+
+    def sheet(part: Column, k: Column, m: Column) -> Column:
+        at = k * _SHEET
+        begins = F.array_position(m["first"], k)
+        n = F.when(begins > 0, F.size(m["first"]) - F.array_position(m["last"], k) - begins + 2).otherwise(0)
+        own = F.slice(m["spans"], F.greatest(begins, F.lit(1)).cast("int"), n.cast("int"))
+        before = F.coalesce(F.array_max(F.transform(F.filter(m["crossing"], lambda x: (x["start"] < at) & (x["end"] > at)), lambda x: x["end"])), at.cast("bigint")) - at
+
+        def piece(x: Column, i: Column) -> Column:
+            begin = F.when(i == 0, before).otherwise(F.get(own, i - 1)["end"] - at)
+            gap = F.substring(part, (begin + 1).cast("int"), (x["start"] - at - begin).cast("int"))
+            return F.concat(gap, F.when(x["kind"].isNotNull(), F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise(""))
+
+        end = F.when(n > 0, F.element_at(own, -1)["end"] - at).otherwise(before)
+        return F.concat(F.array_join(F.transform(own, piece), ""), F.substring(part, (end + 1).cast("int"), F.lit(_SHEET)))
+
+    sheets = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_SHEET}}}"), F.lit(0))
+    clean = F.get(F.transform(F.array(marks), lambda m: F.array_join(F.transform(sheets, lambda part, k: sheet(part, k, m)), "")), F.lit(0))
+    return F.when(spans.isNull(), text).otherwise(clean)
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

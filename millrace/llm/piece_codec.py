@@ -19,6 +19,8 @@ from .shared import replace_column, table
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 SPACE = "▁"
+#: What an id without a piece stands for.
+NO_PIECE = "\ufffd".encode()
 #: Characters of text that are indexed together.
 SLICE_CHARS = 4_000_000
 #: Texts that show rules which change a text or choose pieces other than by merging (fixed values).
@@ -326,8 +328,9 @@ class PieceCodec:
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The text of ``ids``, without the space that encoding puts in front; broken bytes become U+FFFD."""
-        raw = b"".join(map(self.vocabulary.bytes.__getitem__, ids))
+        """The text of ``ids``, without the space that encoding puts in front; broken bytes and ids of no piece become U+FFFD."""
+        pieces = self.vocabulary.bytes
+        raw = b"".join([pieces[k] if k is not None and 0 <= k < len(pieces) else NO_PIECE for k in ids])
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", errors="replace")
 
 
@@ -361,7 +364,11 @@ def encode_pieces(df: DataFrame, text_col: str = "text", out: str = "ids", model
 
 
 def decode_pieces(df: DataFrame, ids_col: str = "ids", out: str = "text", model: str = MODEL) -> DataFrame:
-    """``df`` with ``out``, the text of each row's ids; null ids give a null text."""
+    """``df`` with ``out``, the text of each row's ids; a null row gives a null text, one without ids an empty one.
+
+    An id that is null, negative or past the vocabulary becomes U+FFFD, as bytes do that make no character. A column named
+    ``out`` is replaced; rows aren't shuffled; an empty table stays empty.
+    """
 
     @arrow_udf("string")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

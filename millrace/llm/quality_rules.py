@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .shared import replace_column, table
+from .shared import free_name, replace_column, table
 
 #: (bytes up to, lowest ratio, highest ratio). Short texts hardly compress, long ones well, so both limits fall
 #: with length. Written prose of 1 kB has about 0.5, of 100 kB about 0.36; one line said again and again falls
@@ -37,8 +37,8 @@ LEVEL = 3
 #: Fitted limits: bands of half an octave; a ratio is low from this many robust deviations under its band's median on.
 FIT_EDGES = tuple(round(2 ** (k / 2)) for k in range(14, 35))
 FIT_DISTANCE = 3.5
-#: Different texts (or their chunks) that a band needs before its own distribution counts; others keep the fixed limits.
-FIT_LEAST = 100
+#: A band of n different texts (or chunks) has a limit that lies n / (n + FIT_WEIGHT) of the way from the fixed to its own.
+FIT_WEIGHT = 100
 #: Deviations count as this share of the median at least, so that a band full of near copies doesn't reject the rest.
 FIT_FLOOR = 0.015
 #: Cells of a ratio's histogram in one unit of ratio.
@@ -99,11 +99,11 @@ def passes_base(counts: Sequence[int]) -> bool:
 
 
 def chunks_of(raw: bytes, chunk_bytes: int) -> list[bytes]:
-    """Chunks of a text that is longer than one; a short tail is judged with the whole text only."""
+    """Chunks of a text that is longer than one; a last one of less than half the size reaches back to a whole one."""
     if len(raw) <= chunk_bytes:
         return []
-    cut = (raw[at : at + chunk_bytes] for at in range(0, len(raw), chunk_bytes))
-    return [c for c in cut if 2 * len(c) >= chunk_bytes]
+    cut = [raw[at : at + chunk_bytes] for at in range(0, len(raw), chunk_bytes)]
+    return [*cut[:-1], cut[-1] if 2 * len(cut[-1]) >= chunk_bytes else raw[-chunk_bytes:]]
 
 
 def measure(raw: bytes, press, bands=BANDS, chunk_bytes=CHUNK_BYTES, chunk_band=CHUNK_BAND, share=CHUNK_SHARE) -> tuple:
@@ -162,24 +162,28 @@ def ratio_cells(raw: bytes, press, chunk_bytes: int = CHUNK_BYTES) -> list[tuple
     return [(band, round(FIT_CELLS * len(press(x)) / len(x))) for band, x in cells]
 
 
-def lowest_usual(cells: dict[int, int]) -> float | None:
-    """The ratio FIT_DISTANCE robust deviations under the median of a histogram; None if it has too few entries."""
-    if sum(cells.values()) < FIT_LEAST:
-        return None
+def lowest_usual(cells: dict[int, int], fixed: float) -> float:
+    """A lower limit between ``fixed`` and the ratio FIT_DISTANCE robust deviations under the median of a histogram.
+
+    The more entries it has, the nearer to the latter; it is never under ``fixed``.
+    """
+    if not cells:
+        return fixed
     at = np.array(sorted(cells))
     n = np.array([cells[x] for x in at])
     middle = at[np.searchsorted(np.cumsum(n), n.sum() / 2)]
     away = np.abs(at - middle)
     order = np.argsort(away, kind="stable")
     deviation = 1.4826 * away[order][np.searchsorted(np.cumsum(n[order]), n.sum() / 2)]
-    return float(middle - FIT_DISTANCE * max(deviation, FIT_FLOOR * middle)) / FIT_CELLS
+    own = float(middle - FIT_DISTANCE * max(deviation, FIT_FLOOR * middle)) / FIT_CELLS
+    return max(fixed, fixed + (own - fixed) * int(n.sum()) / (int(n.sum()) + FIT_WEIGHT))
 
 
 def fit_limits(df: DataFrame, text_col: str = "text") -> dict:
     """``bands`` and ``chunk_band`` for the functions here, from the ratios of all texts of ``df``.
 
-    Lower limits rise to a robust distance under the median of the length band's own distribution; a band
-    with few texts keeps the fixed limit, and none falls under it. Upper limits stay fixed. Equal texts
+    Lower limits rise towards a robust distance under the median of the length band's own distribution, the further
+    the more texts it has (FIT_WEIGHT), and none falls under the fixed one. Upper limits stay fixed. Equal texts
     count once. One grouped count, whose rows the grid bounds, goes to the driver.
     """
 
@@ -199,8 +203,8 @@ def fit_limits(df: DataFrame, text_col: str = "text") -> dict:
     bands = []
     for k, most in enumerate((*FIT_EDGES, BANDS[-1][0])):
         lowest, highest = next((lo, hi) for size, lo, hi in BANDS if most <= size)
-        bands.append((most, max(lowest, lowest_usual(found.get(k, {})) or lowest), highest))
-    return {"bands": tuple(bands), "chunk_band": (max(CHUNK_BAND[0], lowest_usual(found.get(-1, {})) or 0.0), CHUNK_BAND[1])}
+        bands.append((most, lowest_usual(found.get(k, {}), lowest), highest))
+    return {"bands": tuple(bands), "chunk_band": (lowest_usual(found.get(-1, {}), CHUNK_BAND[0]), CHUNK_BAND[1])}
 
 
 def quality_rules(df: DataFrame, text_col: str = "text", out: str = "quality_rules", **limits) -> DataFrame:
@@ -216,17 +220,17 @@ def quality_rules(df: DataFrame, text_col: str = "text", out: str = "quality_rul
 def keep_documents(df: DataFrame, text_col: str = "text", **limits) -> DataFrame:
     """The rows of ``df`` that the rules keep, with its own columns only.
 
-    Null and empty texts go; equal texts share a verdict; an empty table stays empty; no row is shuffled.
+    Null and empty texts go; equal texts share a verdict; an empty table stays empty; columns of whatever names pass
+    through; no row is shuffled.
     """
-    names = df.columns
-    judged = df.select("*", compression_rules(F.col(f"`{text_col}`"), **limits).alias("__quality_rules__"))
-    return judged.where("__quality_rules__.kept").select(*[F.col(f"`{c}`") for c in names])
+    names, held = df.columns, free_name(df, "__quality_rules__")
+    judged = df.select("*", compression_rules(F.col(f"`{text_col}`"), **limits).alias(held))
+    return judged.where(F.col(held)["kept"]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and verdicts of all documents, the limits being fitted to them; nulls, empty and equal texts as stated at ``quality_rules``.
-
-    Of a text's chunks, a last one of less than half the size is judged with the whole text only.
+    """Counts and verdicts of all documents, the limits being fitted to them (``fit_limits``, which see for small tables); nulls,
+    empty and equal texts as stated at ``quality_rules``.
     """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules(docs, **fit_limits(docs)).select("doc_id", "quality_rules.*")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_ROWS, free_name, materialize, table
+from .shared import BROADCAST_ROWS, free_name, materialize, release, table
 
 #: (verdict, rule): a host and the beginning of a path, as the contract has them (fixed values).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -130,9 +130,11 @@ def template_tree(pages: DataFrame) -> DataFrame:
     shapes = materialize(shapes.withColumn("none", F.expr("pages - allowed - blocked")).withColumn("prefix", F.lit("")), "shapes")
     for level in range(DEPTH + 1):
         named = materialize(_wildcards(shapes, level), "wildcards")
+        release(shapes)
         joined = named.join(_merged(named, level), ["host", "prefix", "token"], "left")
         token = F.coalesce("merged", "token")
         shapes = materialize(joined.withColumn("prefix", F.when(token.isNull(), F.col("prefix")).otherwise(F.concat("prefix", F.lit("/"), token))).drop("token", "merged"), "shapes")
+        release(named)
     sums = shapes.groupBy("host", "prefix").agg(F.sum("allowed").alias("good"), F.sum("blocked").alias("bad"))
     purity = (F.col("good") + SMOOTH) / (F.col("good") + F.col("bad") + 2 * SMOOTH)
     judged = shapes.join(sums, ["host", "prefix"]).select(_shape(F.col("host"), F.col("tokens")).alias("shape"), F.concat("host", "prefix").alias("template"), "pages", purity.alias("purity"))

@@ -55,7 +55,7 @@ def test_quality_verdicts(spark, sf_dir, docs, texts):
         ratio = len(press(raw)) / len(raw)
         low, high = next((lo, hi) for most, lo, hi in limits["bands"] if len(raw) <= most)
         chunks = [raw[k : k + 2048] for k in range(0, len(raw), 2048)] if len(raw) > 2048 else []
-        chunks = [c for c in chunks if len(c) >= 1024]
+        chunks = [c if len(c) >= 1024 else raw[-2048:] for c in chunks]
         ratios = [len(press(c)) / len(c) for c in chunks]
         size = sum(map(len, chunks)) or 1
         under = sum(len(c) for c, x in zip(chunks, ratios, strict=True) if x < limits["chunk_band"][0]) / size
@@ -101,7 +101,8 @@ def test_quality_fitted(spark):
     kept = {r["doc_id"] for r in quality_rules.keep_documents(df, **limits).collect()}
     assert not kept & set(range(400, 420)) and len(kept & set(range(400))) >= 396 and kept >= set(range(420, 1020))
     few = quality_rules.fit_limits(df.limit(30))
-    assert few["chunk_band"] == quality_rules.CHUNK_BAND and {(lo, hi) for _, lo, hi in few["bands"]} == {(lo, hi) for _, lo, hi in quality_rules.BANDS}
+    assert quality_rules.CHUNK_BAND[0] < few["chunk_band"][0] < limits["chunk_band"][0] and few["chunk_band"][1] == quality_rules.CHUNK_BAND[1]
+    assert quality_rules.fit_limits(df.limit(0))["chunk_band"] == quality_rules.CHUNK_BAND
 
 
 # ---- 2
@@ -456,6 +457,42 @@ def test_redaction(spark, odd_docs, odd_texts, no_docs):
     assert personal_data.redact(no_docs).count() == 0
 
 
+def test_redaction_of_long_texts(spark, monkeypatch):
+    """Sheets of a few code points, with spans across their borders, against plain slicing; overlaps have the first kind."""
+    text = "ü mail a@b.cc, " + "long-" * 6 + "address@" + "host." * 8 + "org; 10.0.0.1 " * 3 + "4111 1111 1111 1111 " + "x" * 40
+    df = spark.createDataFrame([(1, text), (2, "a@b.cc"), (3, "none"), (4, text * 30)], "doc_id bigint, text string")
+    spans = {r["doc_id"]: r["personal_data"] for r in personal_data.personal_data(df).collect()}
+    expected = {}
+    for r in df.collect():
+        out, end = "", 0
+        for s in sorted(spans[r["doc_id"]], key=lambda s: (s["start"], -s["end"])):
+            if s["start"] >= end:
+                out += r["text"][end : s["start"]] + f"<{s['kind'].upper()}>"
+            end = max(end, s["end"])
+        expected[r["doc_id"]] = out + r["text"][end:]
+    for sheet in (3, 17, 4096):
+        monkeypatch.setattr(personal_data, "_SHEET", sheet)
+        assert {r["doc_id"]: r["text"] for r in personal_data.redact(df).collect()} == expected
+    overlapping = [(0, 5, "a"), (2, 9, "b"), (3, 4, "c"), (9, 12, "d"), (20, 30, "e"), (21, 22, "f"), (29, 31, "g")]
+    one = spark.createDataFrame([("0123456789" * 4, overlapping)], "t string, s array<struct<start:bigint,end:bigint,kind:string>>")
+    for sheet in (1, 4, 100):
+        monkeypatch.setattr(personal_data, "_SHEET", sheet)
+        assert one.select(personal_data._redacted(F.col("t"), personal_data._disjoint(F.col("s")))).first()[0] == "<A><D>23456789<E>123456789"
+
+
+def test_names_that_clash(spark, odd_docs):
+    """Columns with the names that operators use inside, and a text column in other letters."""
+    taken = ("__quality_rules__", "__gone__", "__rejected__", "__found__", "__personal_data__", "__merged__", "_own_0")
+    docs = odd_docs.where("doc_id < 11").withColumns({c: F.lit(c) for c in taken})
+    for made in (quality_rules.keep_documents(docs), shingle_join.one_of_each(docs), language_id.keep_documents(spark, docs), personal_data.redact(docs)):
+        assert made.columns == docs.columns
+        assert {tuple(r) for r in made.select(*taken).distinct().collect()} <= {taken}
+    plain = {r["doc_id"]: r["text"] for r in personal_data.redact(docs).collect()}
+    assert {r["doc_id"]: r["text"] for r in personal_data.redact(docs, "Text").collect()} == plain and "<EMAIL>" in plain[9]
+    with pytest.raises(ValueError, match="0 columns"):
+        personal_data.redact(docs, "body")
+
+
 def test_reliabilities_find_the_better_labeler():
     """A vote that agrees with the others counts for more than one that doesn't."""
     base = {"length_bin": 1, "digit_bin": 1, "upper": 0, "spaced": 0, "quoted": 0, "line_start": 0}
@@ -691,6 +728,24 @@ def test_piece_codec(spark, sf_dir, texts):
         assert (r["n_ids"], r["ids_crc32"], r["round_trip"]) == (len(ids), zlib.crc32(array.array("I", ids).tobytes()), True)
 
 
+def test_ids_of_no_piece(spark):
+    codec = piece_codec.PieceCodec()
+    (ids,) = [list(memoryview(x).cast("I")) for x in codec.encode_batch(["so it is"])]
+    rows = [(1, ids), (2, [*ids, -1, None, 10**6]), (3, []), (4, None), (5, [-1])]
+    df = spark.createDataFrame(rows, "k int, ids array<int>").withColumn("text", F.lit("own"))
+    assert {r["k"]: r["text"] for r in piece_codec.decode_pieces(df).collect()} == {1: "so it is", 2: "so it is\ufffd\ufffd\ufffd", 3: "", 4: None, 5: "\ufffd"}
+    assert piece_codec.decode_pieces(df.limit(0)).columns == ["k", "ids", "text"]
+
+
+def test_fitted_limits_grow_with_the_number_of_texts():
+    from millrace.llm.quality_rules import lowest_usual
+
+    limits = [lowest_usual({1000: n}, 0.3) for n in (0, 1, 10, 100, 1000, 10**6)]
+    own = 1000 * (1 - 3.5 * 0.015) / 2000
+    assert limits == sorted(limits) and limits[0] == 0.3 and limits[3] == pytest.approx((0.3 + own) / 2) and limits[-1] == pytest.approx(own, abs=1e-4)
+    assert lowest_usual({100: 1000}, 0.3) == 0.3
+
+
 def test_piece_codec_odd(odd_docs, odd_texts, no_docs):
     import sentencepiece
 
