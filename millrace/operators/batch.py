@@ -10,23 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-def number_rows(df: DataFrame, *order: str, out: str = "row_id") -> DataFrame:
-    """Dense positions in the given order, by ranges: counts of the ranges are the offsets, and no task sees all rows.
-
-    Ranges lie between quantiles of the first order column, which must be numeric; rows alike in all order columns are
-    numbered in any order.
-    """
-    first = order[0]
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    marks = sorted(set(df.agg(F.percentile_approx(first, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
-    ranged = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= F.col(first))) if marks else F.lit(0)
-    dealt = df.withColumn("range_", F.when(F.col(first).isNull(), -1).otherwise(ranged))
-    before = Window.partitionBy().orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("range_").agg(F.count("*").alias("n_")).select("range_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
-    within = Window.partitionBy("range_").orderBy(*[F.asc_nulls_first(c) for c in order])
-    numbered = dealt.withColumn("rank_", F.row_number().over(within)).join(F.broadcast(offsets), "range_")  # a row a range
-    return numbered.withColumn(out, (F.col("before_") + F.col("rank_") - 1).cast("bigint")).drop("range_", "rank_", "before_")
+from .ordered import number_rows
 
 
 def row_count(df: DataFrame) -> int:

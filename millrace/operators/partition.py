@@ -59,7 +59,7 @@ def least_loaded(sizes: list[int], k: int, equal: bool = False) -> list[list[int
 
 
 def balance(df: DataFrame, batch: str, size: str, k: int, equal: bool = False, method: str = "karmarkar_karp", key: str = "row_id") -> DataFrame:
-    """``part`` of each row within its batch, rows being taken in order of ``key``."""
+    """``part`` of each row within its batch, rows being taken in order of ``key``, which names a row within its batch."""
     split = {"karmarkar_karp": karmarkar_karp, "least_loaded": least_loaded}[method]
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
@@ -68,10 +68,11 @@ def balance(df: DataFrame, batch: str, size: str, k: int, equal: bool = False, m
         for j, members in enumerate(split([int(x) for x in rows["size_"]], k, equal)):
             for i in members:
                 part[i] = j
-        return pd.DataFrame({key: rows[key], "part": part})
+        return pd.DataFrame({batch: rows[batch], key: rows[key], "part": part})
 
-    placed = df.select(batch, key, F.col(size).cast("bigint").alias("size_")).groupBy(batch).applyInPandas(assign, f"{key} bigint, part int")
-    return df.join(placed, key)
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in (batch, key)]
+    placed = df.select(batch, key, F.col(size).cast("bigint").alias("size_")).groupBy(batch).applyInPandas(assign, f"{', '.join(kinds)}, part int")
+    return df.join(placed, [batch, key])
 
 
 def group_balance(df: DataFrame, batch: str, group: str, size: str, k: int, key: str = "row_id") -> DataFrame:
@@ -132,10 +133,11 @@ def dynamic_batches(df: DataFrame, batch: str, length: str, most_tokens: int, le
             parts.sort(key=lambda p: (sum(loads[i] for i in p), p[0] if p else 0), reverse=True)
             parts = parts[::2][::-1] + parts[1::2]
         where = {i: (j, k) for j, p in enumerate(parts) for k, i in enumerate(p)}
-        return pd.DataFrame({key: rows[key], "micro": [where[i][0] for i in range(len(rows))], "place": [where[i][1] for i in range(len(rows))]})
+        return pd.DataFrame({batch: rows[batch], key: rows[key], "micro": [where[i][0] for i in range(len(rows))], "place": [where[i][1] for i in range(len(rows))]})
 
-    placed = df.select(batch, key, F.col(length).cast("bigint").alias("size_")).groupBy(batch).applyInPandas(assign, f"{key} bigint, micro int, place int")
-    return df.join(placed, key)
+    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in (batch, key)]
+    placed = df.select(batch, key, F.col(length).cast("bigint").alias("size_")).groupBy(batch).applyInPandas(assign, f"{', '.join(kinds)}, micro int, place int")
+    return df.join(placed, [batch, key])
 
 
 def restore_order(df: DataFrame, batch: str, positions: DataFrame, key: str = "row_id") -> DataFrame:

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import last_before
+
 #: Queries that a task holds at once.
 QUERY_BLOCK = 2048
 
@@ -67,11 +69,14 @@ def _best(ids: list, vectors: list, k: int):
 def as_of(df: DataFrame, key: str, order: str, asking: Column, answering: Column, value: Column, out: str) -> DataFrame:
     """The asking rows with ``out``: ``value`` of the last answering row of their key before them.
 
-    One window over both kinds of rows; rows that are neither go first.
+    An answer counts for questions of later times only: of rows with equal times, those that ask come first. Of answers at
+    the same time the one with the largest value counts. A value of null is no answer; null keys are a key. Rows that are
+    neither go first; the others are dealt into ranges of key and time whose last answers are carried on, so that a key may
+    have any number of rows.
     """
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    kept = df.where(asking | answering).withColumn(out, F.last(F.when(answering, value), ignorenulls=True).over(w))
-    return kept.where(asking)
+    kept = df.where(asking | answering).withColumn("asks_", F.coalesce(asking, F.lit(False))).withColumn("value_", F.when(answering, value))
+    found = last_before(kept, [key], [order, F.desc("asks_"), F.asc_nulls_first("value_")], F.col("value_"), out)
+    return found.where("asks_").drop("asks_", "value_")
 
 
 def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:

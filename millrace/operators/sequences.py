@@ -5,38 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batch import number_rows
+from .ordered import run_places
 
 
 def run_counter(df: DataFrame, value: str, order: str, within: list[str] | None = None, out: str = "rollout_n") -> DataFrame:
     """Place of a row in its run of equal neighbouring values, from 0; a run starts anew when the value changes.
 
-    Runs are looked for within the groups of ``within``; without any, all rows are one sequence in the order of the
-    numeric column ``order``, which is dealt into ranges: each range's last value and last beginning are carried into the
-    next by a table of a row a range.
+    Runs are looked for within the groups of ``within``, or along all rows, in the order of ``order``, which may have any
+    type. Rows are dealt into ranges whose ends are carried on (``ordered``), so a group may have any number of rows.
     """
-    if within:
-        w = Window.partitionBy(*within).orderBy(order)
-        changed = F.when(F.col(value).eqNullSafe(F.lag(value).over(w)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-        df = df.withColumn("change_", changed)
-        df = df.withColumn("run_", F.sum("change_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return df.withColumn(out, (F.row_number().over(Window.partitionBy(*within, "run_").orderBy(order)) - 1).cast("bigint")).drop("change_", "run_")
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    marks = sorted(set(df.agg(F.percentile_approx(order, [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
-    numbered = number_rows(df, order, out="number_")
-    dealt = numbered.withColumn("range_", F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m <= F.col(order))) if marks else F.lit(0))
-    tails = dealt.groupBy("range_").agg(F.max("number_").alias("last_"), F.max_by(F.struct(F.col(value).alias("v")), "number_").alias("tail_"))
-    earlier = Window.partitionBy().orderBy("range_")
-    seams = tails.select("range_", F.lag("tail_").over(earlier).alias("before_"))
-    w = Window.partitionBy("range_").orderBy("number_")
-    joined = dealt.join(F.broadcast(seams), "range_")  # a row a range
-    previous = F.coalesce(F.lag(F.struct(F.col(value).alias("v"))).over(w), F.col("before_"))
-    begins = F.when(previous.isNull() | ~F.col(value).eqNullSafe(previous["v"]), F.col("number_"))
-    marked = joined.withColumn("begin_", begins).withColumn("start_", F.last("begin_", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    starts = marked.groupBy("range_").agg(F.max("begin_").alias("latest_"))
-    carried = starts.select("range_", F.max("latest_").over(earlier.rowsBetween(Window.unboundedPreceding, -1)).alias("carried_"))
-    done = marked.join(F.broadcast(carried), "range_")  # a row a range
-    return done.withColumn(out, (F.col("number_") - F.coalesce("start_", "carried_")).cast("bigint")).select(*df.columns, out)
+    return run_places(df, value, [order], within or [], out)
 
 
 def transitions(df: DataFrame, trajectory: str, step: str, columns: list[str]) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.ordered import number_within
+
 
 def queue_stream(stream: DataFrame, key: str, order: str, payload: str, capacity: int) -> DataFrame:
     """A first-in-first-out queue a key that drops its oldest entry when full; a row a key and micro-batch.
@@ -34,10 +36,11 @@ def queue_stream(stream: DataFrame, key: str, order: str, payload: str, capacity
 
 
 def queue_result(df: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
-    """What the queue holds at the end: the last ``capacity`` entries, with the number dropped."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("from_end_", F.row_number().over(w.orderBy(F.desc(order)))).withColumn("produced", F.count("*").over(w))
-    return ranked.where(F.col("from_end_") <= capacity).withColumn("dropped", F.greatest(F.col("produced") - capacity, F.lit(0))).drop("from_end_")
+    """What the queue holds at the end: the last ``capacity`` entries, with the number dropped and their places from the end."""
+    counts = df.groupBy(F.col(key).alias("key_")).agg(F.count("*").alias("produced"))
+    kept = number_within(df, [key], F.desc(order), out="from_end_").where(F.col("from_end_") < capacity)
+    joined = kept.join(counts, F.col(key).eqNullSafe(F.col("key_"))).withColumn("dropped", F.greatest(F.col("produced") - capacity, F.lit(0)))
+    return joined.drop("from_end_", "key_")
 
 
 def count_window_stream(stream: DataFrame, key: str, order: str, value: str, size: int) -> DataFrame:
@@ -60,8 +63,7 @@ def count_window_stream(stream: DataFrame, key: str, order: str, value: str, siz
 
 def count_windows(df: DataFrame, key: str, order: str, size: int, *aggregates: Column) -> DataFrame:
     """Aggregates of the full windows of ``size`` rows a key; a short tail is left out."""
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    numbered = df.withColumn("window", F.floor((n - 1) / size).cast("bigint"))
+    numbered = number_within(df, [key], order).withColumn("window", F.floor(F.col("place_") / size).cast("bigint")).drop("place_")
     return numbered.groupBy(key, "window").agg(F.count("*").alias("n_"), *aggregates).where(F.col("n_") == size).drop("n_")
 
 
