@@ -19,13 +19,13 @@ select t.row_id, t.pos, round(v.a * t.mask + 0.0, 6) as advantages from tok t jo
 
 
 def _whitened_sql(value: str, masked: str = "* mask", extra: str = "") -> str:
-    tok = TOK.replace("tok as (", "tok as materialized (", 1)
-    return f"""with {tok}, {ROWS},
+    """A value a row, whitened over all unmasked tokens: moments are sums over rows, as a row's tokens have one value."""
+    return f"""with {TOK}, {ROWS},
 stats as (select *, count(*) over w as n, avg(score) over w as m, stddev_samp(score) over w as d{extra} from per_row window w as (partition by uid)),
-valued as materialized (select t.row_id, t.pos, t.mask, ({value}) * t.mask as a from tok t join stats using (row_id)),
-moments as materialized (select sum(mask) as k, sum(a * mask) / (sum(mask) + 1e-8) as mean from valued),
-spread as materialized (select max(mean) as mean, sum((a - mean) ** 2 * mask) / (max(k) + 1e-8) * max(k) / (max(k) - 1) as var from valued, moments)
-select row_id, pos, round((a - mean) / sqrt(var + 1e-8) {masked} + 0.0, 6) as advantages from valued, spread"""
+valued as (select row_id, len, {value} as a from stats),
+sums as (select sum(len) as k, sum(a * len) as s, sum(a * a * len) as q from valued),
+spread as (select s / (k + 1e-8) as mean, (q - 2 * s / (k + 1e-8) * s + (s / (k + 1e-8)) ** 2 * k) / (k + 1e-8) * k / (k - 1) as var from sums)
+select row_id, pos, round((a * mask - (select mean from spread)) / sqrt((select var from spread) + 1e-8) {masked} + 0.0, 6) as advantages from tok join valued using (row_id)"""
 
 
 _MEAN = "case when n = 1 then 0 else m end"
