@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import builders as D
 from ..operators import rewards as R
-from ..operators import retrieval
+from ..operators import retrieval, staging
+from ..operators.ordered import number_rows
 from ..sources import readers, sinks
+from ..sources.metric_sink import read_metrics, write_metrics
+from ..sources.range_stream import read_rows_once
 from ..streaming import stateful as ST
 from .batch_queries import ORD, orders
 from .binding import TOK, load, trajectories
@@ -38,10 +41,32 @@ def json_roundtrip(spark, sf_dir):
     return again.select(F.from_json("line", "event_id bigint, k bigint").alias("x")).select("x.*")
 
 
-@query("generator_source", "select k as row_id, 'p' || k as prompt from range(1000) t(k)")
+@query("generator_source", "select row_number() over (order by doc_id) - 1 as row_id, 'p' || (row_number() over (order by doc_id) - 1) as prompt, doc_id from documents")
 def generator_source(spark, sf_dir):
+    """A generated prompt for each document, in their order."""
+    docs = number_rows(load(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     spark.dataSource.register(readers.GeneratorSource)
-    return spark.read.format("prompt_generator").option("rows", 1000).option("prefix", "p").load()
+    return spark.read.format("prompt_generator").option("rows", docs.count()).option("prefix", "p").load().join(docs, "row_id")
+
+
+@query("document_stream", "select doc_id, length(text) as n, (row_number() over (order by doc_id) - 1) // 70 as batch_no from documents")
+def document_stream(spark, sf_dir):
+    """All documents as a stream of ranges of 70 rows, stopped after the first and started again."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("bigint").alias("n"))
+    return read_rows_once(spark, docs, "doc_id", staging.folder(spark, "stream"), 70).select("doc_id", "n", "batch_no")
+
+
+@query("metrics_written", "select cast(ts as date) as step, event_type as key, round(sum(value), 4) as value, count(*) as n, 2 as targets from events group by 1, 2")
+def metrics_written(spark, sf_dir):
+    """Metrics of all events written to two targets and read back from both, of which a job that is run again replaces itself."""
+    e = load(spark, sf_dir, "events")
+    metrics = e.groupBy(F.to_date("ts").alias("step"), F.col("event_type").alias("key")).agg(F.round(F.sum("value"), 4).alias("value"), F.count("*").alias("n"))
+    root = staging.folder(spark, "metrics")
+    targets = [f"{root}/log.jsonl", f"{root}/table"]
+    for _ in range(2):
+        write_metrics(metrics, targets, "first")
+    log, table = (read_metrics(metrics, t).drop("job") for t in targets)
+    return log.unionByName(table).groupBy("step", "key", "value", "n").agg(F.count("*").cast("int").alias("targets"))
 
 
 @query("limit_then_filter", "with f as (select * from documents order by doc_id limit 500) select doc_id, length(text) as n from f where length(text) <= 1500")
