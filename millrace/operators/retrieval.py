@@ -11,57 +11,62 @@ from pyspark.sql import functions as F
 
 from .ordered import last_before
 
-#: Queries that a task holds at once.
-QUERY_BLOCK = 2048
+#: Queries of a block, on average, and rows of a chunk at most.
+QUERY_BLOCK, ROW_CHUNK = 1024, 4096
+#: Most queries that are broadcast (8 MB at 256 numbers a vector); more are dealt over tasks by shuffle.
+BROADCAST_QUERIES = 4096
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """(query, ``key``, similarity) of the ``k`` rows most alike each query by cosine, the query's own key apart.
 
-    Queries are taken in blocks of a bounded number; each block goes to all tasks, which keep the best ``k`` of
-    their rows for each query, and the best of all tasks follow. Of equally similar rows the smallest key comes first.
-    Null vectors and vectors of zeros are like nothing.
+    Rows are packed into chunks, queries into blocks, and each chunk meets each block once, where the best ``k`` of the chunk
+    are kept for each query; the best of all chunks follow. The rows are read once. Of equally similar rows the
+    smallest key comes first. Null vectors and vectors of zeros are like nothing.
     """
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("query"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("query"), F.col(vector).cast("array<double>").alias("v"))
     n = asked.count()
-    blocks = max(1, -(-n // block))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+    blocks, few = max(1, -(-n // block)), n <= BROADCAST_QUERIES
+    packed = asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block")).agg(F.collect_list("query").alias("queries"), F.flatten(F.collect_list("v")).alias("asked"))
     source = rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    found = None
-    for b in range(blocks):
-        held = asked.where(F.col("block") == b).select("query", "v").collect()
-        one = source.mapInArrow(_best([r["query"] for r in held], [r["v"] for r in held], k), "query bigint, key bigint, similarity double")
-        found = one if found is None else found.unionByName(one)
+    chunks = source.mapInArrow(_chunks, "keys array<bigint>, vectors array<double>").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    if few:
+        met = chunks.join(F.broadcast(packed), "block")
+    else:
+        salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = packed.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        met = chunks.withColumn("salt_", F.pmod(F.xxhash64("keys"), F.lit(salts)).cast("int")).join(spread, ["block", "salt_"])
+    found = met.select("queries", "asked", "keys", "vectors").mapInArrow(_best(k), "query bigint, key bigint, similarity double")
     best = Window.partitionBy("query").orderBy(F.desc("similarity"), "key")
     ranked = found.withColumn("rank_", F.row_number().over(best)).where(F.col("rank_") <= k).drop("rank_")
     return ranked.select("query", F.col("key").alias(key), "similarity")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.float64())]
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROW_CHUNK):
+            part = batch.slice(at, ROW_CHUNK)
+            columns = [part.column(0), part.column(1).flatten()]
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays([0, len(c)], c).cast(t) for c, t in zip(columns, kinds, strict=True)], ["keys", "vectors"])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.maximum(np.sqrt((vectors * vectors).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def _best(ids: list, vectors: list, k: int):
-    names = ["query", "key", "similarity"]
-    asked = _unit(np.array(vectors, dtype=np.float64)) if vectors else None
-    own = np.array(ids, dtype=np.int64)
-
+def _best(k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = np.full((len(own), k), -np.inf)
-        keys = np.full((len(own), k), np.iinfo(np.int64).max)
         for batch in batches:
-            if asked is None or not batch.num_rows:
-                continue
-            here = batch.column(0).to_numpy(zero_copy_only=False)
-            similar = asked @ _unit(np.array(batch.column(1).to_pylist(), dtype=np.float64)).T
-            similar[own[:, None] == here[None, :]] = -np.inf
-            values = np.hstack([top, np.round(similar, 12)])
-            both = np.hstack([keys, np.broadcast_to(here, similar.shape)])
-            order = np.lexsort((both, -values), axis=1)[:, :k]
-            top, keys = np.take_along_axis(values, order, axis=1), np.take_along_axis(both, order, axis=1)
-        q, place = np.nonzero(np.isfinite(top))
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(own[q], pa.int64()), pa.array(keys[q, place], pa.int64()), pa.array(top[q, place])], names=names)
+            for at in range(batch.num_rows):
+                own, asked, keys, vectors = (batch.column(c)[at].values.to_numpy(zero_copy_only=False) for c in range(4))
+                similar = _unit(asked.reshape(len(own), -1)) @ _unit(vectors.reshape(len(keys), -1)).T
+                similar = np.round(similar, 12)
+                similar[own[:, None] == keys[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(keys, similar.shape), -similar), axis=1)[:, :k]
+                top = np.take_along_axis(similar, order, axis=1)
+                q, place = np.nonzero(np.isfinite(top))
+                yield pa.RecordBatch.from_arrays([pa.array(own[q], pa.int64()), pa.array(keys[order[q, place]], pa.int64()), pa.array(top[q, place])], names=["query", "key", "similarity"])
 
     return scan
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import builders as D
 from ..operators import rewards as R
-from ..operators import retrieval, staging
+from ..operators import lexical, retrieval, staging
 from ..operators.ordered import number_rows
 from ..sources import readers, sinks
 from ..sources.metric_sink import read_metrics, write_metrics
@@ -305,3 +305,21 @@ def approx_distinct(spark, sf_dir):
     """Whether the approximate count is within a tenth of the exact one."""
     counts = load(spark, sf_dir, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("approx"), F.countDistinct("l_partkey").alias("exact"))
     return counts.select((F.abs(F.col("approx") - F.col("exact")) <= 0.1 * F.col("exact")).alias("close"))
+
+
+_WORDS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')"
+
+
+@query(
+    "retrieved_documents",
+    f"""with d as (select doc_id, {_WORDS} as words from documents), s as (select doc_id, words, len(words) as length from d where len(words) > 0),
+m as (select count(*) as n, sum(length) / count(*) as mean from s), t as (select doc_id, term, count(*)::double as tf from (select doc_id, unnest(words) as term from s) group by all),
+q as (select item_id, term, count(*) as times from (select item_id, unnest({_WORDS}) as term from benchmark) group by all),
+w as (select term, round(1000 * ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)))::bigint as weight from t, m group by term, n),
+r as (select item_id, doc_id as doc, sum(times * weight * round(1000000 * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)))::bigint)::bigint as score from q join w using (term) join t using (term) join s using (doc_id), m where weight > 0 group by all)
+select item_id, row_number() over (partition by item_id order by score desc, doc)::int as rank, doc, score from r qualify row_number() over (partition by item_id order by score desc, doc) <= 10""",
+)
+def retrieved_documents(spark, sf_dir):
+    """The ten documents of all that rank highest for each benchmark item."""
+    index, n = lexical.build_index(load(spark, sf_dir, "documents"), "doc_id", "text", 64)
+    return lexical.search(index, n, load(spark, sf_dir, "benchmark"), "item_id", "text", 10)
