@@ -215,22 +215,20 @@ def gae(df: DataFrame, gamma: float = 1.0, lam: float = 1.0, value: str = "value
     return whiten(out, "advantages") if whitened else out
 
 
-def _baseline_long(df: DataFrame, weight: str | None, dense: bool) -> DataFrame:
-    """One row a token with its return to go, running weight and place (counted over unmasked tokens if ``dense``)."""
+def _baseline_arrays(df: DataFrame, weight: str | None, dense: bool) -> DataFrame:
+    """``df`` with token arrays: return to go, running weight and place (counted over unmasked tokens if ``dense``)."""
     items = F.zip_with("reward", "mask", lambda r, m: F.struct((r * m).alias("r")))
-    df = df.withColumn("togo", A.reverse_scan(items, F.struct(F.lit(0.0).alias("out")), lambda s, x: F.struct((s["out"] + x["r"]).alias("out"))))
+    df = df.withColumn("togo_", A.reverse_scan(items, F.struct(F.lit(0.0).alias("out")), lambda s, x: F.struct((s["out"] + x["r"]).alias("out"))))
     zipped = F.arrays_zip(F.col("mask").alias("m"), F.col("old_logp").alias("lp"), F.col("pi2").alias("p2"), *([F.col(weight).alias("w")] if weight else []))
 
     def grows(s: Column, t: Column) -> Column:
         w2 = t["w"] * t["w"] if weight else F.lit(1.0)
         return F.struct((s["out"] + (1 - 2 * F.exp(t["lp"]) + t["p2"]) * w2 * t["m"]).alias("out"))
 
-    df = df.withColumn("grown", A.scan(zipped, F.struct(F.lit(0.0).alias("out")), grows))
+    df = df.withColumn("grown_", A.scan(zipped, F.struct(F.lit(0.0).alias("out")), grows))
     if dense:
-        df = df.withColumn("places", A.scan(F.col("mask"), F.struct(F.lit(0).alias("out")), lambda s, m: F.struct((s["out"] + m).cast("int").alias("out"))))
-    together = F.arrays_zip(F.col("togo").alias("g"), F.col("mask").alias("m"), F.col("grown").alias("grown"), *([F.col("places").alias("p")] if dense else []))
-    long = df.select("row_id", "uid", F.posexplode(together).alias("pos", "t")).select("row_id", "uid", "pos", "t.*")
-    return long.withColumn("place", F.col("p") - 1 if dense else F.col("pos"))
+        return df.withColumn("places_", A.scan(F.col("mask"), F.struct(F.lit(-1).alias("out")), lambda s, m: F.struct((s["out"] + m).cast("int").alias("out"))))
+    return df.withColumn("places_", F.transform("mask", lambda _, k: k))
 
 
 @register_estimator("optimal_token_baseline")
@@ -239,25 +237,25 @@ def optimal_token_baseline(df: DataFrame, weight: str | None = None, tail: bool
 
     Single rows have baseline 0; so has the tail of a group's only longest row beyond the second length (``tail``).
     With ``dense`` places count unmasked tokens only. Frames also have old_logp and pi2 (sum of squared probabilities).
-    Sums by group and place are aggregated map-side, and a long group is spread over its places.
+    Sums by group and place are aggregated map-side; a group's baselines come back to its rows as one array.
     """
-    long = _baseline_long(df, weight, dense)
+    rows = _baseline_arrays(df, weight, dense)
     spans = df.select("uid", A.count_on(F.col("mask")).alias("len"))
     sizes = (spans.where("len > 0") if dense else spans).groupBy("uid", "len").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("uid").agg(F.sum("n").alias("rows"), F.max("len").alias("top"), F.max_by("n", "len").alias("tops"))
     others = sizes.join(tops.select("uid", "top"), "uid").where("len < top").groupBy("uid").agg(F.max("len").alias("below"))
     limits = tops.join(others, "uid", "left").select("uid", "rows", F.when(F.col("tops") == 1, F.col("below")).alias("second"))
-    at = long.groupBy("uid", "place").agg(F.sum(F.col("g") * F.col("grown") * F.col("m")).alias("gw"), F.sum(F.col("grown") * F.col("m")).alias("w"))
-    bases = at.join(limits, "uid", "left").select(
-        "uid", "place",
-        F.when(F.col("rows") == 1, 0.0).when(F.lit(tail) & F.col("second").isNotNull() & (F.col("place") >= F.col("second")), 0.0).otherwise(F.col("gw") / (F.col("w") + eps)).alias("base"),
-    )
-    tokens = long.join(bases, ["uid", "place"]).select("row_id", F.struct("pos", ((F.col("g") - F.col("base")) * F.col("m")).alias("a"), (F.col("g") * F.col("m") if dense else F.col("g")).alias("g")).alias("t"))
-    back = tokens.groupBy("row_id").agg(F.array_sort(F.collect_list("t")).alias("tokens_"))  # one row's own tokens
+    tokens = rows.select("uid", F.explode(F.arrays_zip(F.col("togo_").alias("g"), F.col("mask").alias("m"), F.col("grown_").alias("w"), F.col("places_").alias("place"))).alias("t"))
+    at = tokens.groupBy("uid", F.col("t.place").alias("place")).agg(F.sum(F.col("t.g") * F.col("t.w") * F.col("t.m")).alias("gw"), F.sum(F.col("t.w") * F.col("t.m")).alias("w"))
+    base = F.when(F.col("rows") == 1, 0.0).when(F.lit(tail) & F.col("second").isNotNull() & (F.col("place") >= F.col("second")), 0.0).otherwise(F.col("gw") / (F.col("w") + eps))
+    listed = at.join(limits, "uid", "left").select("uid", F.struct("place", base.alias("base")).alias("b")).groupBy("uid").agg(F.array_sort(F.collect_list("b")).alias("bases_"))
+    out = rows.join(listed, "uid", "left")  # a group's places follow one another, so the first tells where each is
+    first = F.get("bases_", F.lit(0))["place"]
+    zipped = F.arrays_zip(F.col("togo_").alias("g"), F.col("mask").alias("m"), F.col("places_").alias("p"))
+    value = F.transform(zipped, lambda t: (t["g"] - F.get(F.col("bases_"), t["p"] - first)["base"]) * t["m"] + 0.0)
+    back = F.transform(zipped, lambda t: t["g"] * t["m"] + 0.0) if dense else F.transform("togo_", lambda g: g + 0.0)
     empty = F.array().cast("array<double>")
-    out = df.join(back, "row_id", "left")
-    out = out.withColumn("advantages", F.coalesce(F.transform("tokens_", lambda t: t["a"] + 0.0), empty))
-    return out.withColumn("returns", F.coalesce(F.transform("tokens_", lambda t: t["g"] + 0.0), empty)).drop("tokens_")
+    return out.withColumn("advantages", F.coalesce(value, empty)).withColumn("returns", F.coalesce(back, empty)).select(*[F.col(f"`{c}`") for c in df.columns if c not in ("advantages", "returns")], "advantages", "returns")
 
 
 @register_estimator("tir_optimal_token_baseline")
