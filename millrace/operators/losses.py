@@ -14,6 +14,7 @@ from ..functions import arrays as A
 from . import offpolicy
 from .batch import hashed_int
 from .metrics import agg_loss
+from .ordered import first_rows
 
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -173,7 +174,7 @@ def _highest(long: DataFrame, value: str, k: int) -> DataFrame:
     above = counts[sure] if sure < len(marks) else 0
     inside = F.lit(True) if sure == 0 else F.col(value) >= marks[sure - 1]
     certain = F.lit(False) if sure == len(marks) else F.col(value) >= marks[sure]
-    edge = long.where(inside & ~certain).select(value, "row_id", "pos").orderBy(F.desc(value), "row_id", "pos").limit(k - above)
+    edge = first_rows(long.where(inside & ~certain).select(value, "row_id", "pos"), k - above, F.desc(value), "row_id", "pos")
     marked = long.join(edge.select("row_id", "pos", F.lit(True).alias("edge_")), ["row_id", "pos"], "left")
     return marked.withColumn("top_", F.coalesce(certain, F.lit(False)) | F.coalesce("edge_", F.lit(False))).drop("edge_")
 

@@ -56,6 +56,17 @@ def number_rows(df: DataFrame, *order: Column | str, out: str = "row_id") -> Dat
     return numbered.select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
 
 
+#: Most rows that are found by a limit, whose rows meet in one task.
+LIMITED = 100_000
+
+
+def first_rows(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows in the given order. More than LIMITED are found by their numbers, so that no task gathers them."""
+    if n <= LIMITED:
+        return df.orderBy(*order).limit(n)
+    return number_rows(df, *order, out="number_").where(F.col("number_") < n).drop("number_")
+
+
 def _same(a: str, b: str, keys: list[str]) -> Column:
     out = F.lit(True)
     for k in range(len(keys)):

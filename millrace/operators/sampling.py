@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batch import hashed, hashed_int, number_rows
+from .batch import hashed, hashed_int
+from .ordered import first_rows, number_rows, number_within
 
 
 def exact_sample(df: DataFrame, n: int, seed, *keys: str) -> DataFrame:
-    """``n`` rows at most, without replacement; each task keeps its best ``n``."""
-    return df.orderBy(hashed(seed, *keys), *keys).limit(n)
+    """``n`` rows at most, without replacement."""
+    return first_rows(df, n, hashed(seed, *keys), *keys)
 
 
 def weights(df: DataFrame, score: str, method: str, power: float = 2.0, out: str = "w") -> DataFrame:
@@ -51,9 +52,13 @@ def resample(df: DataFrame, key: str, weight: str, draws: int, seed) -> DataFram
 
 
 def allocate(df: DataFrame, task: str, total: int, seed, key: str) -> DataFrame:
-    """``total`` rows, dealt round-robin over tasks that still have some."""
-    rank = F.row_number().over(Window.partitionBy(task).orderBy(hashed(seed, key), key))
-    return df.withColumn("rank_in_task", rank).orderBy("rank_in_task", task).limit(total)
+    """``total`` rows, dealt round-robin over tasks that still have some; ``rank_in_task`` counts from 1.
+
+    Each task's rows are numbered by ranges, so a task may have any number of them.
+    """
+    ranked = number_within(df.withColumn("draw_", hashed(seed, key)), [task], "draw_", key, out="rank_in_task")
+    some = ranked.where(F.col("rank_in_task") < total).drop("draw_").withColumn("rank_in_task", (F.col("rank_in_task") + 1).cast("int"))
+    return first_rows(some, total, "rank_in_task", task)
 
 
 def stratified(df: DataFrame, positive: str, n: int, ratio: float, seed, key: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.batch import hashed
+from ..operators.ordered import first_rows
 
 
 @dataclass
@@ -61,7 +62,7 @@ def load_prompts(spark: SparkSession, paths: list[str], options: ReadOptions, or
         df = df.select(*options.columns)
     if options.limit > 0:
         keys = [hashed(options.seed, *order)] if options.shuffle else []
-        df = df.orderBy(*keys, *order).limit(options.limit)
+        df = first_rows(df, options.limit, *keys, *order)
     if options.max_prompt_length is not None:
         df = drop_overlong(df, options.prompt_key, options.max_prompt_length, options.length or content_length)
     return df
@@ -71,7 +72,7 @@ def load_conversations(spark: SparkSession, paths: list[str], limit: int = -1, o
     """All conversations, or the first ``limit`` in ``order``, without which they come file by file in the order of their text."""
     df = read_many(spark, paths)
     keys = order or ["file_no", F.to_json(F.struct(*[c for c in df.columns if c != "file_no"]))]
-    return df.orderBy(*keys).limit(limit) if limit > 0 else df
+    return first_rows(df, limit, *keys) if limit > 0 else df
 
 
 def load_preferences(spark: SparkSession, paths: list[str], prompt="prompt", chosen="chosen", rejected="rejected") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ordered import number_within
+from ..operators.staging import written
 
 
 def queue_stream(stream: DataFrame, key: str, order: str, payload: str, capacity: int) -> DataFrame:
@@ -164,18 +165,26 @@ def staleness_resets(events: DataFrame, versions: DataFrame) -> DataFrame:
 def pool_resampler(path: str, tasks: list, capacity: int, seed: int = 0) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: each batch enters the pools under ``path``, and as many rows are drawn from them.
 
-    Batches are stored by number and replace themselves when run again. Rows have task, positive and seq. The draw is
-    written beside them, from the last ``capacity`` rows of each task and kind.
+    The pools after each batch, the last ``capacity`` rows of each task and kind, and the draw from them are stored by the
+    batch's number and replace themselves when it is run again; a batch reads the pools of the one before it and no
+    earlier rows. Rows have task, positive and seq.
     """
+    from pyspark.errors import AnalysisException
+
     from ..operators.sampling import allocate
 
     def put(batch: DataFrame, number: int) -> None:
         spark, root = batch.sparkSession, path.rstrip("/")
-        held = batch.where(F.col("task").isin(tasks)).drop("batch_no")
-        held.write.mode("overwrite").parquet(f"{root}/rows/batch_no={number}")
-        n = spark.read.parquet(f"{root}/rows/batch_no={number}").count()
-        pools = ring_pools(spark.read.parquet(f"{root}/rows").where(F.col("batch_no") <= number), ["task", "positive"], "seq", capacity)
-        allocate(pools, "task", n, f"{seed}:{number}", "seq").drop("rank_in_task").write.mode("overwrite").parquet(f"{root}/drawn/batch_no={number}")
+        rows = written(batch.where(F.col("task").isin(tasks)).drop("batch_no"), "batch")
+        try:
+            stored = spark.read.parquet(f"{root}/pools").where(F.col("batch_no") < number)
+            before = stored.agg(F.max("batch_no")).first()[0]
+        except AnalysisException:  # the first batch
+            before = None
+        both = rows if before is None else rows.unionByName(stored.where(F.col("batch_no") == before).drop("batch_no"))
+        ring_pools(both, ["task", "positive"], "seq", capacity).write.mode("overwrite").parquet(f"{root}/pools/batch_no={number}")
+        pools = spark.read.parquet(f"{root}/pools/batch_no={number}")
+        allocate(pools, "task", rows.count(), f"{seed}:{number}", "seq").drop("rank_in_task").write.mode("overwrite").parquet(f"{root}/drawn/batch_no={number}")
 
     return put
 

@@ -100,3 +100,11 @@ def test_row_ids_that_start_anew_in_each_batch(spark):
     parts = partition.balance(df, "batch", "n", 2)
     assert parts.count() == 8 and {(r["batch"], r["part"]) for r in parts.collect()} == {(b, p) for b in "xy" for p in (0, 1)}
     assert partition.dynamic_batches(df, "batch", "n", 40).count() == 8
+
+
+def test_first_rows_by_number(table, rows, monkeypatch):
+    """A limit of many rows is the same, found by numbers."""
+    want = sorted(r["t"] for r in ordered.first_rows(table, 700, "s", "t").collect())
+    monkeypatch.setattr(ordered, "LIMITED", 10)
+    assert sorted(r["t"] for r in ordered.first_rows(table, 700, "s", "t").collect()) == want == sorted(r[1] for r in sorted(rows, key=lambda r: (r[3], r[1]))[:700])
+    assert ordered.first_rows(table, 10_000, "s").count() == 3000
