@@ -328,9 +328,17 @@ class PieceCodec:
         return [b"".join(map(known.__getitem__, parts)) for parts in split]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The text of ``ids``, without the space that encoding puts in front; broken bytes and ids of no piece become U+FFFD."""
+        """The text of ``ids`` of pieces, without the space that encoding puts in front; broken bytes become U+FFFD."""
+        return self._text(map(self.vocabulary.bytes.__getitem__, ids))
+
+    def decode_any(self, ids: Iterable[int | None]) -> str:
+        """As ``decode``, with U+FFFD for null and for numbers that are no piece's."""
         pieces = self.vocabulary.bytes
-        raw = b"".join([pieces[k] if k is not None and 0 <= k < len(pieces) else NO_PIECE for k in ids])
+        return self._text(pieces[k] if k is not None and 0 <= k < len(pieces) else NO_PIECE for k in ids)
+
+    @staticmethod
+    def _text(parts: Iterable[bytes]) -> str:
+        raw = b"".join(parts)
         return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", errors="replace")
 
 
@@ -374,7 +382,7 @@ def decode_pieces(df: DataFrame, ids_col: str = "ids", out: str = "text", model:
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = PieceCodec(model)
         for rows in batches:
-            yield pa.array([None if r is None else codec.decode(r) for r in rows.to_pylist()], pa.string())
+            yield pa.array([None if r is None else codec.decode_any(r) for r in rows.to_pylist()], pa.string())
 
     return replace_column(df, out, decoded.asNondeterministic()(F.col(f"`{ids_col}`")))
 
