@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +30,8 @@ class MetricSink(DataSource):
 
     A target whose name ends in ``.jsonl`` gets lines of JSON, others Parquet. Tasks write to a hidden folder in each target.
     When all have ended, each target's folder is renamed to what readers see, ``job=<id>``; if one can't be, those that were are
-    taken back and the write fails. If a task fails for good, nothing stays. Option ``job`` names the job; one of that name is
+    taken back and the write fails. If a task fails for good, readers see nothing of the job; a task that outlives it by seconds may
+    leave its hidden file. Option ``job`` names the job; one of that name is
     replaced. A stream's micro-batches are jobs by number, so one that is run again counts once.
     """
 
@@ -99,9 +102,13 @@ class _Targets:
             self._delete(system, former)
 
     def withdraw(self) -> None:
-        for target in self.targets:
-            system, root = fs.FileSystem.from_uri(target)
-            self._delete(system, f"{root}/{self.stage}")
+        """Drop what was staged. Other tasks of a failed job may still be ending, so this is tried again for a while."""
+        for pause in (0.0, 0.3, 1.0):
+            time.sleep(pause)
+            for target in self.targets:
+                system, root = fs.FileSystem.from_uri(target)
+                with contextlib.suppress(OSError):
+                    self._delete(system, f"{root}/{self.stage}")
 
     @staticmethod
     def _delete(system: fs.FileSystem, path: str) -> None:

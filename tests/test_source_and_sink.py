@@ -38,16 +38,19 @@ def test_all_targets_or_none(spark, tmp_path):
     metric_sink.write_metrics(df.limit(7), targets, "second")
     for t in targets:
         assert metric_sink.read_metrics(df, t).count() == 57
+    hidden = lambda: [p for p in Path(tmp_path).rglob("*") if p.name.startswith(("_staged", "_former"))]
+    assert not hidden()
     broken = df.withColumn("value", F.when(F.col("step") == 49, F.raise_error(F.lit("no metric")).cast("double")).otherwise(F.col("value")))
     with pytest.raises(Exception, match="no metric"):
         metric_sink.write_metrics(broken, targets, "third")
+    before = hidden()  # of tasks that outlived the job, if any
     (Path(tmp_path) / "b" / "job=fourth").write_text("in the way")  # the second target can't be renamed to
     with pytest.raises(Exception):  # noqa: B017, PT011
         metric_sink.write_metrics(df, targets, "fourth")
     (Path(tmp_path) / "b" / "job=fourth").unlink()
     for t in targets:
         assert metric_sink.read_metrics(df, t).count() == 57
-    assert not [p for p in Path(tmp_path).rglob("*") if p.name.startswith(("_staged", "_former"))]
+    assert hidden() == before
     metric_sink.write_metrics(df.limit(0), targets, "empty")
     assert {r["job"] for r in metric_sink.read_metrics(df, targets[1]).select("job").distinct().collect()} >= {"second"}
 
