@@ -62,7 +62,7 @@ def test_empty_tables(spark, docs, sf_dir, tmp_path):
     """Every query of the subpackage, and the pipeline, on tables without rows."""
     from millrace.llm import entry
 
-    for name in ("documents", "pages", "labels"):
+    for name in ("documents", "pages", "labels", "benchmark", "conversations"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in entry.QUERIES.items():
         assert query(spark, str(tmp_path)).count() == 0, name
