@@ -68,9 +68,9 @@ def chunks_with_padding(df: DataFrame, n: int, parts: int) -> tuple[DataFrame, i
 
 
 def response_block(values: Column, prompt: Column, response: Column, width: int, pad=0.0) -> Column:
-    """Of values of a whole sequence those that predict its response, padded on the right to ``width``."""
+    """Of values of a whole sequence those that predict its response: a block of ``width``, padded on the right or cut there."""
     own = A.shifted_response(values, F.greatest(prompt, F.lit(1)), response)
-    return A.pad_right(own, width, pad)
+    return A.fit_length(own, width, pad, left_pad=False, truncation="right")
 
 
 def response_mask(attention: Column, width: Column | int) -> Column:

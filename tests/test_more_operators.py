@@ -281,3 +281,12 @@ def test_group_statistics_of_null_keys(spark):
     assert out == {1: -2.0, 2: 2.0, 3: 4.0}
     std = {r["row_id"]: r["advantages"][0] for r in advantage.advantage(df, "grpo").collect()}
     assert std[2] == pytest.approx(1 / (statistics.stdev([1, 3]) + 1e-6))
+
+
+def test_response_block_has_its_width(spark):
+    """A response longer than the block is cut at its end, a shorter one padded."""
+    from millrace.operators import rollout
+
+    df = spark.createDataFrame([(list(range(17)), 8), ([5, 6, 7], 1)], "v array<int>, head int")
+    out = df.select(rollout.response_block(F.col("v"), F.col("head"), F.size("v") - F.col("head"), 8, 0).alias("b")).collect()
+    assert [r["b"] for r in out] == [list(range(7, 15)), [5, 6, 0, 0, 0, 0, 0, 0]]
