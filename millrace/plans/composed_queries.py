@@ -517,9 +517,9 @@ def answer_texts(spark, sf_dir):
 
 @query("source_scores", """select o_orderkey as k, case o_orderkey % 6 when 0 then (o_orderkey % 4 < 2)::int when 1 then (o_orderkey % 4 < 2)::int when 2 then (o_orderkey % 4 < 2)::int when 3 then case when o_orderkey % 4 < 2 then 1 else -1 end when 4 then (o_orderkey % 4 < 2)::int else case when o_orderkey % 4 < 2 then 1.0 else 0.1 end end::double as score from orders""")
 def source_scores(spark, sf_dir):
-    """Scorers by source: the right answer in rows 0 and 1 of four, a wrong one in the others."""
+    """Scorers by source: the right answer in rows 0 and 1 of four, a wrong one in the others, which no tolerance of a scorer reaches."""
     k = F.col("o_orderkey")
-    given = F.when(k % 4 < 2, F.col("o_custkey")).otherwise(F.col("o_custkey") + 1).cast("string")
+    given = F.when(k % 4 < 2, F.col("o_custkey")).otherwise(2 * F.col("o_custkey") + 1).cast("string")
     source = F.element_at(F.array(*[F.lit(x) for x in ("openai/gsm8k", "HuggingFaceH4/MATH-500", "searchR1_nq", "math_dapo", "numina_olympiads", "hiyouga/geometry3k")]), (k % 6 + 1).cast("int"))
     solution = F.concat(F.lit("<think>x</think> #### "), given, F.lit(" <answer>"), given, F.lit("</answer> \\boxed{"), given, F.lit("}\nAnswer: "), given)
     return load(spark, sf_dir, "orders").select(k.alias("k"), F.round(S.score_by_source(source, solution, F.col("o_custkey").cast("string")), 6).alias("score"))
