@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from ..operators import staging
-from ..operators.ordered import number_within
+from ..operators.ordered import number_rows
 
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -265,14 +265,19 @@ def tool_sessions(stream: DataFrame, make: Callable[[], Tool], key: str, turn: s
 def run_in_parts(df: DataFrame, order: str, parts: int, build: Callable[[DataFrame], DataFrame], stop_after: int, mode: str = "update", idle: bool = True) -> DataFrame:
     """All rows that the stream ``build`` gives out when ``df`` comes in ``parts`` files, in the order of a column.
 
+    Rows that are equal in it come in the same file, as by event time the later ones would be late.
     The stream is stopped after ``stop_after`` files and started again from its checkpoint for the others. Each
     micro-batch writes its own folder and replaces it when it is run again, so every row counts once. Without ``idle`` there
     are no micro-batches without rows, which streams by processing time would ask for without end.
     """
     spark, root = df.sparkSession, staging.folder(df.sparkSession, "stream")
-    places = number_within(df.withColumn("stream_all_", F.lit(0)), ["stream_all_"], order, out="stream_place_").drop("stream_all_")
-    n = max(1, df.count())
-    cut = staging.written(places.withColumn("stream_part_", F.floor(F.col("stream_place_") * parts / n).cast("int")).drop("stream_place_"), "parts")
+    numbered = number_rows(df.select(order), order, out="stream_place_")
+    n = numbered.count()
+    begins = [-(-n * part // parts) for part in range(1, parts)]
+    at = dict(numbered.where(F.col("stream_place_").isin(begins)).select("stream_place_", F.col(f"`{order}`")).collect())  # a row a part
+    reached = [F.lit(True) if at[b] is None else F.coalesce(F.col(f"`{order}`") >= F.lit(at[b]), F.lit(False)) for b in begins if b in at]
+    own = sum((r.cast("int") for r in reached), F.lit(0))
+    cut = staging.written(df.withColumn("stream_part_", own), "parts")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/out/batch_no={number}")

@@ -16,3 +16,11 @@ def test_scores_of_large_keys(spark, tmp_path):
     """Beyond 10,000 a neighbouring number is within a scorer's tolerance of 1e-4."""
     _held(spark, tmp_path, "orders", spark.range(600).select(F.col("id").alias("o_orderkey"), (F.col("id") * 7919 % 3_000_000).alias("o_custkey")))
     assert not compare.difference(catalog.QUERIES["source_scores"](spark, str(tmp_path)), compare.connect(str(tmp_path)), catalog.ORACLE_SQL["source_scores"])
+
+
+def test_ties_where_a_stream_is_cut(spark, tmp_path):
+    """Turns of the same time as the last turn of a part aren't late."""
+    k = F.col("id")
+    _held(spark, tmp_path, "conversations", spark.range(36).select(((k % 12) * 1000).alias("conv_id"), F.floor(k / 12).alias("turn"), F.repeat(F.lit("x"), (k % 9).cast("int")).alias("text")))
+    sql = catalog.ORACLE_SQL["stream_tool_sessions"]
+    assert not compare.difference(catalog.QUERIES["stream_tool_sessions"](spark, str(tmp_path)), compare.connect(str(tmp_path)), sql)
