@@ -7,6 +7,7 @@ limits say (``maxFilesPerTrigger`` and the like). Whatever a stream gives out ha
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -48,50 +49,76 @@ def _int(x) -> int | None:
 
 # ---- bounded queues
 
+#: Rows that are given out at a time.
+ROWS_OUT = 50_000
+#: Entries of a queue in a value of the state store.
+CHUNK = 512
+
 
 class _Queue(StatefulProcessor):
-    """Entries by number from ``head`` up to ``tail``; one value and one entry change with each row."""
+    """Entries by number from ``head`` up to ``tail``, ``chunk`` of them in a value of the state store.
+
+    Entries that come and go in one micro-batch don't touch the store.
+    """
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
+    def __init__(self, capacity: int, chunk: int):
+        self.capacity, self.chunk = capacity, chunk
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.entries = handle.getMapState("entries", "number bigint", "payload string")
+        self.chunks = handle.getMapState("chunks", "number bigint", "payloads array<string>")
         self.counters = handle.getValueState("counters", "head bigint, tail bigint, consumed bigint, dropped bigint, closed boolean")
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         head, tail, consumed, dropped, closed = self.counters.get() or (0, 0, 0, 0, False)
-        out = []
-        for at, action, payload in _sorted(rows, "at")[["at", "action", "payload"]].itertuples(index=False):
-            given, given_out = None, True
-            if action == "put":
-                if tail - head >= self.capacity:
-                    self.entries.removeKey((head,))
-                    head, dropped, given_out = head + 1, dropped + 1, False
-                self.entries.updateValue((tail,), (payload,))
-                tail += 1
-            elif action == "get" and tail > head:
-                given = self.entries.getValue((head,))[0]
-                self.entries.removeKey((head,))
-                head, consumed = head + 1, consumed + 1
-            elif action == "get":
-                given_out = False
-            elif action == "clear":
-                for number in range(head, tail):
-                    self.entries.removeKey((number,))
-                head = tail
-            elif action == "close":
-                closed = True
-            else:
-                raise ValueError(f"unknown action {action}")
-            out.append((key[0], at, action, given_out, given, tail - head, tail, consumed, dropped, closed))
+        first, stored = head, tail  # entries of these numbers are in the state store, later ones in ``fresh``
+        fresh: deque = deque()
+        read: tuple = (None, None)
+        columns = ["key", "at", "action", "done", "payload", "size", "produced", "consumed", "dropped", "closed"]
+        held = _sorted(rows, "at")[["at", "action", "payload"]]
+        for begin in range(0, len(held), ROWS_OUT):
+            out = []
+            for at, action, payload in held.iloc[begin : begin + ROWS_OUT].itertuples(index=False, name=None):
+                given, given_out = None, True
+                if action == "put":
+                    if tail - head >= self.capacity:
+                        if head >= stored and fresh:
+                            fresh.popleft()
+                        head, dropped, given_out = head + 1, dropped + 1, False
+                    fresh.append(payload)
+                    tail += 1
+                elif action == "get" and tail > head:
+                    if head < stored and read[0] != head // self.chunk:
+                        read = head // self.chunk, self._payloads(head // self.chunk)
+                    given = fresh.popleft() if head >= stored else read[1][head % self.chunk]
+                    head, consumed = head + 1, consumed + 1
+                elif action == "get":
+                    given_out = False
+                elif action == "clear":
+                    fresh.clear()
+                    head = tail
+                elif action == "close":
+                    closed = True
+                else:
+                    raise ValueError(f"unknown action {action}")
+                out.append((key[0], at, action, given_out, given, tail - head, tail, consumed, dropped, closed))
+            yield pd.DataFrame(out, columns=columns)
+        for number in range(first // self.chunk, min(head // self.chunk, -(-stored // self.chunk))):
+            self.chunks.removeKey((number,))
+        if fresh:
+            begin = max(head, stored)
+            number, place = divmod(begin, self.chunk)
+            line = [*(self._payloads(number) if place and head < stored else [None] * place), *fresh]
+            for k in range(0, len(line), self.chunk):
+                self.chunks.updateValue((number + k // self.chunk,), (line[k : k + self.chunk],))
         self.counters.update((head, tail, consumed, dropped, closed))
-        yield pd.DataFrame(out, columns=["key", "at", "action", "done", "payload", "size", "produced", "consumed", "dropped", "closed"])
+
+    def _payloads(self, number: int) -> list:
+        return list(self.chunks.getValue((number,))[0])
 
     def close(self) -> None: ...
 
 
-def queues(stream: DataFrame, key: str, order: str, action: Column, payload: Column, capacity: int) -> DataFrame:
+def queues(stream: DataFrame, key: str, order: str, action: Column, payload: Column, capacity: int, chunk: int = CHUNK) -> DataFrame:
     """A row for each action on the first-in-first-out queue of its key, in the order of a whole number.
 
     ``put`` drops the oldest entry of a full queue and is then not ``done``; ``get`` gives out the oldest entry, or is not
@@ -100,7 +127,7 @@ def queues(stream: DataFrame, key: str, order: str, action: Column, payload: Col
     kind = stream.schema[key].dataType.simpleString()
     asked = stream.select(F.col(key).alias("key"), F.col(order).cast("bigint").alias("at"), action.alias("action"), payload.cast("string").alias("payload"))
     schema = f"key {kind}, at bigint, action string, done boolean, payload string, size bigint, produced bigint, consumed bigint, dropped bigint, closed boolean"
-    return asked.groupBy("key").transformWithStateInPandas(_Queue(capacity), schema, "Update", "None")
+    return asked.groupBy("key").transformWithStateInPandas(_Queue(capacity, chunk), schema, "Update", "None")
 
 
 # ---- replay buffers

@@ -122,3 +122,41 @@ def test_tool_sessions(spark, stop_after):
     assert len(got) == len(set(got)) and set(got) == want
     events = {(r["k"], r["turn"]): r["event"] for r in state.session_result(df, "k", "turn", "ts", F.col("ends"), 30_000).collect()}
     assert events == {(k, number): event for k, event, _, number, _, _ in want if event in ("turn", "refused")}
+
+
+@pytest.mark.parametrize("chunk", [3, 512])
+def test_queues_in_chunks(spark, chunk):
+    """Entries that stay for several micro-batches, cleared and dropped amid a chunk of the state store."""
+    draw = random.Random(chunk)
+    rows = [(n, n % 2, draw.choice(["put"] * 6 + ["get"] * 3 + ["clear"] * (n % 40 == 7)), f"e{n}") for n in range(160)]
+    df = spark.createDataFrame(rows, "n int, k int, action string, payload string")
+    out = state.run_in_parts(df, "n", 3, lambda s: state.queues(s, "k", "n", F.col("action"), F.col("payload"), 11, chunk), 1)
+    held, want = {}, {}
+    for n, k, action, payload in rows:
+        q = held.setdefault(k, deque())
+        given = q.popleft() if q and (action == "get" or action == "put" and len(q) == 11) else None
+        if action == "put":
+            q.append(payload)
+        elif action == "clear":
+            q.clear()
+        want[n] = (given if action == "get" else None, len(q))
+    assert {r["at"]: (r["payload"], r["size"]) for r in out.collect()} == want
+
+
+def test_queue_entries_leave_the_store_alone():
+    """Of a micro-batch's rows only the chunks that change are written, not each entry."""
+    import pandas as pd
+
+    class Store(dict):
+        writes = 0
+        getValue, updateValue = dict.get, lambda s, k, v: (s.__setitem__(k, v), setattr(s, "writes", s.writes + 1))  # noqa: N815
+        removeKey = lambda s, k: s.pop(k, None)  # noqa: N815, E731
+
+    class Value:
+        get, update = lambda s: getattr(s, "v", None), lambda s, v: setattr(s, "v", v)
+
+    q = state._Queue(40, 512)
+    q.chunks, q.counters = Store(), Value()
+    for begin in (0, 3000):
+        list(q.handleInputRows((1,), iter([pd.DataFrame({"at": range(begin, begin + 3000), "action": "put", "payload": "x"})]), None))
+    assert q.chunks.writes <= 4 and q.counters.v == (5960, 6000, 0, 5960, False) and sum(len(v[0]) for v in q.chunks.values()) <= 1024
