@@ -22,11 +22,8 @@ TREES = 20
 DEPTH = 8
 VALUE_BYTES = 2
 TARGET_RECALL = 0.9995
-#: Nodes of the tries from which pairs are drawn to measure recall, and the links that a measure needs.
-SAMPLE_NODES = 4000
+#: Links that a measure of recall needs.
 LEAST_LINKS = 200
-#: Links this close above the threshold are measured apart, as a shorter prefix gains most of them.
-NEAR_BAND = 0.05
 #: A node's representative joins another one's group if they meet in this share of the trees.
 HOOK_SHARE = 0.2
 #: Most texts and bytes of text in a block of the verification.
@@ -199,45 +196,8 @@ def forest(reps: DataFrame, trees: int, depth: int, shortest: int) -> DataFrame:
     return walked.where("edge = 0").select("tree", "branch", "rep", "depth").unionByName(seams)
 
 
-def sampled_links(matched: DataFrame, texts: DataFrame, size: int, threshold: float, trees: int, depth: int, shortest: int, most: int = SAMPLE_NODES) -> list[tuple[int, bool, float, int]]:
-    """(longest common prefix in any tree, whether similarity is just above the threshold, weight, links) of drawn links.
-
-    Pairs come from about ``most`` nodes of ``shortest`` values, drawn by hash, two pairs a node, and are verified
-    exactly. A pair weighs by the reciprocal of the trees in which it could have been drawn.
-    """
-    nodes = matched.select("tree", F.substring("branch", 1, VALUE_BYTES * shortest).alias("prefix"), "rep")
-    every = max(1, nodes.count() // (2 * most))
-    drawn = nodes.where(F.pmod(F.xxhash64("tree", "prefix"), F.lit(every)) == 0)
-    picks = drawn.groupBy("tree", "prefix").agg(*[F.min_by("rep", F.xxhash64(F.lit(k), F.col("rep"))).alias(f"p{k}") for k in range(4)])
-    both = picks.select(F.explode(F.array(F.struct(F.least("p0", "p1").alias("a"), F.greatest("p0", "p1").alias("b")), F.struct(F.least("p2", "p3").alias("a"), F.greatest("p2", "p3").alias("b")))).alias("x"))
-    pairs = sorted(tuple(r) for r in both.select("x.a", "x.b").where("a < b").distinct().collect())
-    if not pairs:
-        return []
-    listed = texts.sparkSession.createDataFrame([(k, x) for k, p in enumerate(pairs) for x in p], "pair bigint, member bigint")
-
-    def measure(rows: pa.Table) -> pa.Table:
-        hashes, sign = _WordHashes(), _Signer(trees, depth)
-        own = {}
-        for member, text in sorted(zip(rows.column("member").to_pylist(), (t or "" for t in rows.column("text").to_pylist()), strict=True)):
-            own.setdefault(member, shingle_set(text.encode(), hashes, size))
-        result = []
-        if len(own) == 2:
-            a, b = own.values()
-            shared = len(np.intersect1d(a, b, assume_unique=True))
-            similarity = shared / max(1, len(a) + len(b) - shared)
-            if similarity >= threshold - 1e-9:
-                x, y = (np.frombuffer(sign(s), dtype=f"<u{VALUE_BYTES}").reshape(trees, depth) for s in (a, b))
-                prefix = np.logical_and.accumulate(x == y, axis=1).sum(axis=1)
-                result.append((int(prefix.max()), similarity < threshold + NEAR_BAND, 1 / max(1, int((prefix >= shortest).sum()))))
-        columns = list(zip(*result, strict=True)) or [(), (), ()]
-        return pa.table({"depth": pa.array(columns[0], pa.int32()), "near": pa.array(columns[1], pa.bool_()), "weight": pa.array(columns[2], pa.float64())})
-
-    measured = texts.join(F.broadcast(listed), F.col("rep") == F.col("member")).select("pair", "member", "text").groupBy("pair").applyInArrow(measure, "depth int, near boolean, weight double")
-    return [tuple(r) for r in measured.groupBy("depth", "near").agg(F.sum("weight"), F.count("*")).collect()]
-
-
 def adapted_depth(found: list[tuple[int, bool, float, int]], threshold: float, trees: int, depth: int, shortest: int, target: float) -> int:
-    """The longest prefix at which the links of the sample reach the target recall.
+    """The longest prefix at which drawn links reach the target recall; for tuning, as the join draws none.
 
     Prefixes lose one value at a time. Both the recall of all sampled links and that of links just above the threshold
     must reach the target; where fewer than LEAST_LINKS of the latter are there, that of a pair at the threshold, as
@@ -325,12 +285,12 @@ def shingle_join(df: DataFrame, id_col="doc_id", text_col="text", size=SHINGLE_W
     without links, and of rows that repeat an id each counts. Other columns are ignored.
 
     Equal sets collapse first, so copies are never compared. Each set's signature is a branch in every one of ``trees``
-    sorted prefix tries. Matched prefixes are shortened value by value until the recall measured on a sample of links
-    meets ``target``; texts that share a prefix of that length are members of its node, whose representative is their
-    smallest id. Nodes whose representatives themselves meet in HOOK_SHARE of the trees form one group. Within a group,
+    sorted prefix tries. Texts that share a prefix are members of its node, whose representative is their smallest id. The
+    prefix's length follows from ``threshold`` alone: a pair just at it is expected to miss all nodes with a tenth of what
+    ``target`` allows, and more similar pairs miss less. Nodes whose representatives themselves meet in HOOK_SHARE of the trees form one group. Within a group,
     members whose sizes allow the threshold are verified exactly, in blocks of a bounded number of texts and bytes that
     return a row for each text and never a pair; a pair in several groups counts in the first. Classes follow from
-    verified links only. Nothing is capped; the sample decides on the prefix only.
+    verified links only. Nothing is capped or sampled.
     """
     sketched = materialize(sketches(df, id_col, text_col, size, trees, depth), "sketches")
     usable = sketched.where("id is not null and digest is not null")
@@ -347,8 +307,7 @@ def shingle_join(df: DataFrame, id_col="doc_id", text_col="text", size=SHINGLE_W
     texts = df.select(F.col(f"`{id_col}`").cast("bigint").alias("rep"), F.col(f"`{text_col}`").alias("text"))
     shortest = prefix_depth(threshold, trees, depth, 1 - (1 - target) / 10)
     matched = forest(reps, trees, depth, shortest)
-    d = adapted_depth(sampled_links(matched, texts, size, threshold, trees, depth, shortest), threshold, trees, depth, shortest, target)
-    homes = materialize(groups(matched, d, max(2, round(HOOK_SHARE * trees))), "groups")
+    homes = materialize(groups(matched, shortest, max(2, round(HOOK_SHARE * trees))), "groups")
 
     # Sizes of linked sets differ by the threshold at most: each text is in the window of its own size and in the next.
     window = F.floor(F.log(F.col("n_shingles").cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
