@@ -154,6 +154,8 @@ def val_mean_std(df: DataFrame, keys: tuple[str, ...] = ("source", "uid", "var")
 
 #: Drawn places that a task keeps.
 KEPT_PLACES = 4_000_000
+#: Drawn places of all groups that are scored at a time.
+SCORED_PLACES = 500_000
 
 
 def drawn_places(n: int, k: int, draws: int, seed: int) -> np.ndarray:
@@ -162,31 +164,35 @@ def drawn_places(n: int, k: int, draws: int, seed: int) -> np.ndarray:
     return np.fromiter(first, dtype=np.int32, count=draws * k).reshape(draws, k)
 
 
-def sampled_scores(values: np.ndarray, labels: list, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Best and worst value of each sample, and the value of the label with most votes.
+def group_scores(values: np.ndarray, labels: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of groups of one size, a row each: best and worst value of each sample, and the value of the label with most votes.
 
-    Of equally frequent labels the one drawn first wins; its value is the one drawn first for it.
+    ``labels`` are numbers. Of equally frequent labels the one drawn first wins; its value is the one drawn first for it.
     """
-    drawn = values[places]
-    known = {x: i for i, x in enumerate(dict.fromkeys(labels))}
-    codes = np.array([known[x] for x in labels])[places]
+    drawn, codes = values[:, places], labels[:, places]
     k = places.shape[1]
-    rank = np.full((len(places), len(known)), -1, dtype=np.int64)
-    at = np.zeros((len(places), len(known)), dtype=np.int64)
-    for code in range(len(known)):
+    most, at = np.full(drawn.shape[:2], -1, dtype=np.int64), np.zeros(drawn.shape[:2], dtype=np.int64)
+    for code in np.unique(labels):
         hit = codes == code
-        votes, first = hit.sum(axis=1), hit.argmax(axis=1)
-        at[:, code] = first
-        rank[:, code] = np.where(votes > 0, votes * (k + 1) - first, -1)
-    row = np.arange(len(places))
-    return drawn.max(axis=1), drawn.min(axis=1), drawn[row, at[row, rank.argmax(axis=1)]]
+        votes, first = hit.sum(axis=2), hit.argmax(axis=2)
+        rank = np.where(votes > 0, votes * (k + 1) - first, -1)
+        at = np.where(rank > most, first, at)
+        most = np.maximum(most, rank)
+    return drawn.max(axis=2), drawn.min(axis=2), np.take_along_axis(drawn, at[:, :, None], axis=2)[:, :, 0]
+
+
+def sampled_scores(values: np.ndarray, labels: list, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``group_scores`` of one group with labels of any type."""
+    known: dict = {}
+    best, worst, vote = group_scores(values[None], np.array([[known.setdefault(x, len(known)) for x in labels]]), places)
+    return best[0], worst[0], vote[0]
 
 
 def bootstrap(df: DataFrame, keys: tuple[str, ...], value: str, pred: str | None = None, draws: int = 1000, seed: int = 42) -> DataFrame:
     """best@k, worst@k and maj@k of each group: mean and standard deviation (ddof 0) over ``draws`` samples with replacement.
 
     Rows have ``pos`` from 0 in their group, k is 2, 4, 8 ... below the group's size n, and n. Places are alike for all
-    groups of a size, so a task draws them once; groups, which are one prompt's answers, are then sampled in numpy.
+    groups of a size, so a task draws them once and scores equal samples once, for many groups at a time.
     """
     g = list(keys)
     row = F.struct("pos", F.col(value).cast("double").alias("v"), (F.col(pred).cast("string") if pred else F.lit("")).alias("p"))
@@ -195,19 +201,30 @@ def bootstrap(df: DataFrame, keys: tuple[str, ...], value: str, pred: str | None
     names = [f"{m}_{x}" for m in ("best", "worst", "maj") for x in ("mean", "std")]
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], np.ndarray] = {}
+        held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             out, owners = [], []
+            sizes: dict[int, list[tuple]] = {}
             for i, (values, labels) in enumerate(zip(batch.column("v").to_pylist(), batch.column("p").to_pylist(), strict=True)):
-                n, values = len(values), np.array([np.nan if v is None else v for v in values], dtype=np.float64)
+                known: dict = {}
+                codes = [known.setdefault(x, len(known)) for x in labels]
+                sizes.setdefault(len(values), []).append((i, [np.nan if v is None else v for v in values], codes))
+            for n, same in sizes.items():
                 for k in [*(2**e for e in range(1, 21) if 2**e < n), n]:
                     if (n, k) not in held:
-                        if sum(x.size for x in held.values()) > KEPT_PLACES:
+                        if sum(x[0].size for x in held.values()) > KEPT_PLACES:
                             held.clear()
-                        held[n, k] = drawn_places(n, k, draws, seed)
-                    found = sampled_scores(values, labels, held[n, k])
-                    out.append((n, k, *(float(x) for scores in found for x in (scores.mean(), scores.std()))))
-                    owners.append(i)
+                        held[n, k] = np.unique(drawn_places(n, k, draws, seed), axis=0, return_counts=True)
+                    places, times = held[n, k]
+                    step = max(1, SCORED_PLACES // places.size)
+                    for begin in range(0, len(same), step):
+                        which, values, codes = zip(*same[begin : begin + step], strict=True)
+                        moments = []
+                        for x in group_scores(np.array(values, dtype=np.float64), np.array(codes), places):
+                            mean = (x * times).sum(axis=1) / draws
+                            moments += [mean, np.sqrt(((x - mean[:, None]) ** 2 * times).sum(axis=1) / draws)]
+                        out.extend((n, k, *m) for m in zip(*(x.tolist() for x in moments), strict=True))
+                        owners.extend(which)
             if out:
                 columns = list(zip(*out, strict=True))
                 taken = [batch.column(c).take(pa.array(owners)) for c in g]
