@@ -15,6 +15,7 @@ from . import offpolicy
 from .batch import hashed_int
 from .metrics import agg_loss
 from .ordered import first_rows
+from .staging import written
 
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -149,23 +150,26 @@ def geo_mean(df: DataFrame, low: float = 0.4, high: float = 0.4) -> DataFrame:
     return per.agg(F.avg(-F.col("adv") * F.col("ratio")).alias("loss"))
 
 
-def _long(df: DataFrame) -> DataFrame:
-    """Unmasked tokens in rows of their own, with the covariance term of advantage and log-probability."""
+def _long(df: DataFrame) -> tuple[DataFrame, int]:
+    """Unmasked tokens in rows of their own, with the covariance term of advantage and log-probability; and their number.
+
+    Tokens are written once: where a cut lies takes several reads of them.
+    """
     zipped = F.arrays_zip(*[F.col(c).alias(c) for c in ("old_logp", "logp", "advantages", "mask")])
-    long = df.select("row_id", F.posexplode(zipped).alias("pos", "t")).select("row_id", "pos", "t.*").where("mask != 0")
-    means = long.agg(F.avg("advantages").alias("ma_"), F.avg("logp").alias("ml_"), F.count("*").alias("n_"))
-    return long.join(F.broadcast(means)).withColumn("cov", (F.col("advantages") - F.col("ma_")) * (F.col("logp") - F.col("ml_")))  # one row
+    long = written(df.select("row_id", F.posexplode(zipped).alias("pos", "t")).select("row_id", "pos", "t.*").where("mask != 0").drop("mask"), "tokens")
+    means = long.agg(F.avg("advantages"), F.avg("logp"), F.count("*")).first()
+    return long.withColumn("cov", (F.col("advantages") - F.lit(means[0])) * (F.col("logp") - F.lit(means[1]))), means[2]
 
 
-def _highest(long: DataFrame, value: str, k: int) -> DataFrame:
-    """``long`` with ``top_``: whether a token is among the ``k`` with the largest ``value``, of equals the first rows and places.
+def _highest(long: DataFrame, value: str, k: int) -> Column:
+    """Whether a token is among the ``k`` with the largest ``value``, of equals the first rows and places; a value of null is none.
 
-    Counts over brackets of approximate quantiles find the bracket in which the cut lies; only its rows are ordered, and
-    no task gathers the tokens above it.
+    Counts over brackets of approximate quantiles find the bracket in which the cut lies; only its rows are ordered. The last
+    row above the cut tells for each token on which side it is, so tokens are neither joined nor gathered.
     """
-    n = long.count()
+    n = long.agg(F.count(value)).first()[0]
     if k >= n:
-        return long.withColumn("top_", F.lit(True))
+        return F.col(value).isNotNull()
     share = k / n
     marks = long.agg(F.percentile_approx(value, [max(0.0, 1 - share * (2 - j / 32)) for j in range(65)], 100_000)).first()[0]
     marks = sorted(set(marks))
@@ -174,31 +178,34 @@ def _highest(long: DataFrame, value: str, k: int) -> DataFrame:
     above = counts[sure] if sure < len(marks) else 0
     inside = F.lit(True) if sure == 0 else F.col(value) >= marks[sure - 1]
     certain = F.lit(False) if sure == len(marks) else F.col(value) >= marks[sure]
-    edge = first_rows(long.where(inside & ~certain).select(value, "row_id", "pos"), k - above, F.desc(value), "row_id", "pos")
-    marked = long.join(edge.select("row_id", "pos", F.lit(True).alias("edge_")), ["row_id", "pos"], "left")
-    return marked.withColumn("top_", F.coalesce(certain, F.lit(False)) | F.coalesce("edge_", F.lit(False))).drop("edge_")
+    edge = first_rows(long.where(inside & ~certain & F.col(value).isNotNull()).select(value, "row_id", "pos"), k - above, F.desc(value), "row_id", "pos")
+    cut = edge.orderBy(value, F.desc("row_id"), F.desc("pos")).first()
+    if cut is None:
+        return F.coalesce(certain, F.lit(False))
+    held = {c: F.lit(cut[c]).cast(long.schema[c].dataType) for c in (value, "row_id", "pos")}
+    place, last = F.struct("row_id", "pos"), F.struct(held["row_id"].alias("row_id"), held["pos"].alias("pos"))
+    return F.coalesce((F.col(value) > held[value]) | ((F.col(value) == held[value]) & (place <= last)), F.lit(False))
 
 
 @register_loss("kl_cov")
 def kl_cov(df: DataFrame, share: float = 0.0002, coefficient: float = 1.0) -> DataFrame:
     """The tokens of largest covariance pay for their divergence; token mean. Of equals the first rows and places count."""
-    long = _long(df)
-    chosen = _highest(long, "cov", max(1, int(long.count() * share)))
+    long, n = _long(df)
+    top = _highest(long, "cov", max(1, int(n * share)))
     d = F.col("logp") - F.col("old_logp")
-    loss = -F.col("advantages") * F.exp(d) + F.when(F.col("top_"), coefficient * F.abs(d)).otherwise(0.0)
-    return chosen.agg(F.avg(loss).alias("loss"))
+    loss = -F.col("advantages") * F.exp(d) + F.when(top, coefficient * F.abs(d)).otherwise(0.0)
+    return long.agg(F.avg(loss).alias("loss"))
 
 
 @register_loss("clip_cov")
 def clip_cov(df: DataFrame, share: float = 0.0002, low: float = 0.2, high: float = 0.2, least: float = 1.0, most: float = 5.0, seed: int = 0) -> DataFrame:
     """Some tokens of middling covariance that aren't clipped are dropped, drawn by hash; token mean."""
-    long = _long(df)
+    long, n = _long(df)
     plain, clipped = _clipped(F.col("logp") - F.col("old_logp"), F.col("advantages"), low, high)
-    k = max(1, int(long.count() * share))
     can = (F.col("cov") > least) & (F.col("cov") < most) & ~(clipped > plain)
-    drawn = _highest(long.where(can).withColumn("draw_", -hashed_int(seed, "row_id", "pos")), "draw_", k).where("top_")
-    marked = long.join(drawn.select("row_id", "pos", F.lit(True).alias("drop_")), ["row_id", "pos"], "left")
-    return marked.agg(F.avg(F.when(F.col("drop_"), 0.0).otherwise(F.greatest(plain, clipped))).alias("loss"))
+    long = long.withColumn("draw_", F.when(can, -hashed_int(seed, "row_id", "pos")))
+    dropped = _highest(long, "draw_", max(1, int(n * share)))
+    return long.agg(F.avg(F.when(dropped, 0.0).otherwise(F.greatest(plain, clipped))).alias("loss"))
 
 
 @register_loss("flow_grpo")

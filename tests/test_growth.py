@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
+import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import lexical
+from millrace.operators import lexical, losses
 
 
 @contextmanager
@@ -44,3 +45,33 @@ def test_queries_that_are_many(spark, monkeypatch):
     for name, value in {"PACK_QUERIES": 9, "BROADCAST_QUERIES": 10, "PACKS": 2, "GATHERED": 50, "HELD": 100}.items():
         monkeypatch.setattr(lexical, name, value)
     assert len(want) == 1200 and sorted(lexical.search(index, n, docs, "id", "body", 4).collect()) == want
+
+
+@pytest.mark.parametrize("name", ["kl_cov", "clip_cov"])
+def test_tokens_are_made_once(spark, name):
+    """However many reads the cut takes, the rows are read once and no token is shuffled by its row."""
+    k = F.col("id")
+    long = spark.range(4000).select("id", F.transform(F.sequence(F.lit(0), k % 5), lambda j: (F.pmod(F.xxhash64("id", j), F.lit(1000)) / 1000).cast("double")).alias("old_logp"))
+    rows = long.select(k.alias("row_id"), "old_logp", F.transform("old_logp", lambda v: 1 - v).alias("logp"), F.transform("old_logp", lambda v: 2 * v).alias("advantages"), F.transform("old_logp", lambda v: F.lit(1)).alias("mask"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    with stages_of(spark) as stages:
+        loss = losses.policy_loss(rows.withColumn("row_id", counted.asNondeterministic()("row_id")), name, share=0.05, **({"least": -9.0, "most": 9.0} if name == "clip_cov" else {})).first()[0]
+    assert loss is not None and seen.value == 4000
+    assert sum(s.shuffleWriteRecords() for s in stages) < 3000
+
+
+@pytest.mark.parametrize("share", [0.0, 0.1, 0.3, 0.5, 0.9, 1.0])
+def test_cut_among_equals(spark, share):
+    """Of tokens with equal values at the cut, and values that are null or NaN, those chosen are the first in order."""
+    drawn = [(r, p, [None, float("nan"), 1.0, 2.0, 2.0, -0.0, 0.0][(r * 7 + p * 3) % 7]) for r in range(40) for p in range(5)]
+    df = spark.createDataFrame(drawn, "row_id long, pos int, v double").repartition(3)
+    ranked = sorted((t for t in drawn if t[2] is not None), key=lambda t: (0 if t[2] != t[2] else 1, -t[2] if t[2] == t[2] else 0, t[0], t[1]))
+    k = int(share * len(ranked))
+    found = {(r["row_id"], r["pos"]) for r in df.where(losses._highest(df, "v", k)).collect()}
+    assert found == {t[:2] for t in ranked[:k]}
