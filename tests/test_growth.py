@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import lexical, losses
+from millrace.plans import catalog
 
 
 @contextmanager
@@ -75,3 +76,11 @@ def test_cut_among_equals(spark, share):
     k = int(share * len(ranked))
     found = {(r["row_id"], r["pos"]) for r in df.where(losses._highest(df, "v", k)).collect()}
     assert found == {t[:2] for t in ranked[:k]}
+
+
+def test_sketches_are_not_held_by_key(spark, tmp_path):
+    """The exact count's distinct keys take some bytes each in a task, not a sketch each."""
+    spark.range(200_000).select(F.col("id").alias("l_partkey")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    with stages_of(spark) as stages:
+        assert catalog.QUERIES["approx_distinct"](spark, str(tmp_path)).collect()[0][0]
+    assert max(s.peakExecutionMemory() for s in stages) < 96 << 20
