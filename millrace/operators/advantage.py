@@ -9,10 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from .staging import written
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -215,20 +219,61 @@ def gae(df: DataFrame, gamma: float = 1.0, lam: float = 1.0, value: str = "value
     return whiten(out, "advantages") if whitened else out
 
 
-def _baseline_arrays(df: DataFrame, weight: str | None, dense: bool) -> DataFrame:
-    """``df`` with token arrays: return to go, running weight and place (counted over unmasked tokens if ``dense``)."""
-    items = F.zip_with("reward", "mask", lambda r, m: F.struct((r * m).alias("r")))
-    df = df.withColumn("togo_", A.reverse_scan(items, F.struct(F.lit(0.0).alias("out")), lambda s, x: F.struct((s["out"] + x["r"]).alias("out"))))
-    zipped = F.arrays_zip(F.col("mask").alias("m"), F.col("old_logp").alias("lp"), F.col("pi2").alias("p2"), *([F.col(weight).alias("w")] if weight else []))
+#: Rows that go on at a step of running sums; fewer are summed each for itself.
+_TOGETHER = 8
+
+
+def _running(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Running sums within rows, each added up from its first value; all rows take a step together."""
+    order = np.argsort(-lengths, kind="stable")
+    starts, lengths = starts[order], lengths[order]
+    out, sums, at = np.zeros(len(values)), np.zeros(len(starts)), 0
+    while (n := int(np.searchsorted(-lengths, -at))) > _TOGETHER:
+        places = starts[:n] + at
+        sums[:n] += values[places]
+        out[places] = sums[:n]
+        at += 1
+    for row in range(n):
+        out[starts[row] + at : starts[row] + lengths[row]] = np.cumsum(np.concatenate([sums[row : row + 1], values[starts[row] + at : starts[row] + lengths[row]]]))[1:]
+    return out
+
+
+def _baseline_scans(dense: bool):
+    def scans(tokens: pa.Array) -> pa.Array:
+        """Return to go, running weight and place of each token; after a null all are null."""
+        lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+        flat = tokens.flatten()
+        nulls = {c: x.is_null().to_numpy(zero_copy_only=False) for c, x in zip(flat.type.names, flat.flatten(), strict=True)}
+        r, m, lp, p2, *w = (pc.fill_null(x.cast(pa.float64()), 0.0).to_numpy() for x in flat.flatten())
+        starts = np.cumsum(lengths) - lengths
+
+        def listed(values: np.ndarray, *names: str, back: bool = False) -> pa.Array:
+            missing = np.logical_or.reduce([nulls[c] for c in names]) if names else np.zeros(len(values), bool)
+            values, missing = (values[::-1], missing[::-1]) if back else (values, missing)
+            first, length = (len(values) - starts - lengths, lengths) if back else (starts, lengths)
+            values = _running(values, first, length)
+            missing = _running(missing.astype(np.float64), first, length) > 0 if missing.any() else missing
+            return pa.array(values[::-1] if back else values, mask=missing[::-1] if back else missing)
+
+        squares = w[0] * w[0] if w else 1.0
+        togo = listed(r * m, "r", "m", back=True)
+        grown = listed((1 - 2 * np.exp(lp) + p2) * squares * m, "lp", "p2", "m", *["w"] * bool(w))
+        places = pc.subtract(listed(m, "m"), 1.0) if dense else pa.array(np.arange(len(m)) - np.repeat(starts, lengths))
+        offsets = pa.array(np.concatenate([starts, [len(m)]]), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (togo, grown, places.cast(pa.int32()))]
+        return pa.StructArray.from_arrays(lists, ["togo", "grown", "places"])
+
+    return scans
 
-    def grows(s: Column, t: Column) -> Column:
-        w2 = t["w"] * t["w"] if weight else F.lit(1.0)
-        return F.struct((s["out"] + (1 - 2 * F.exp(t["lp"]) + t["p2"]) * w2 * t["m"]).alias("out"))
 
-    df = df.withColumn("grown_", A.scan(zipped, F.struct(F.lit(0.0).alias("out")), grows))
-    if dense:
-        return df.withColumn("places_", A.scan(F.col("mask"), F.struct(F.lit(-1).alias("out")), lambda s, m: F.struct((s["out"] + m).cast("int").alias("out"))))
-    return df.withColumn("places_", F.transform("mask", lambda _, k: k))
+def _baseline_arrays(df: DataFrame, weight: str | None, dense: bool) -> DataFrame:
+    """``df`` with token arrays: return to go, running weight and place (counted over unmasked tokens if ``dense``)."""
+    fields = {"r": "reward", "m": "mask", "lp": "old_logp", "p2": "pi2"} | ({"w": weight} if weight else {})
+    tokens = F.arrays_zip(*[F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>")).alias(f) for f, c in fields.items()])
+    scans = F.arrow_udf(_baseline_scans(dense), "togo array<double>, grown array<double>, places array<int>")
+    done = df.withColumn("scans_", scans(tokens))
+    whole = F.col("reward").isNotNull() & F.col("mask").isNotNull()
+    return done.select(*[F.col(f"`{c}`") for c in df.columns], F.when(whole, F.col("scans_.togo")).alias("togo_"), F.when(whole, F.col("scans_.grown")).alias("grown_"), F.when(whole, F.col("scans_.places")).alias("places_"))
 
 
 @register_estimator("optimal_token_baseline")
@@ -237,10 +282,11 @@ def optimal_token_baseline(df: DataFrame, weight: str | None = None, tail: bool
 
     Single rows have baseline 0; so has the tail of a group's only longest row beyond the second length (``tail``).
     With ``dense`` places count unmasked tokens only. Frames also have old_logp and pi2 (sum of squared probabilities).
-    Sums by group and place are aggregated map-side; a group's baselines come back to its rows as one array.
+    Rows with their scans are written once, as groups, lengths and the result each read them. Sums by group and place are
+    aggregated map-side; a group's baselines come back to its rows as one array.
     """
-    rows = _baseline_arrays(df, weight, dense)
-    spans = df.select("uid", A.count_on(F.col("mask")).alias("len"))
+    rows = written(_baseline_arrays(df, weight, dense), "rows")
+    spans = rows.select("uid", A.count_on(F.col("mask")).alias("len"))
     sizes = (spans.where("len > 0") if dense else spans).groupBy("uid", "len").agg(F.count("*").alias("n"))
     tops = sizes.groupBy("uid").agg(F.sum("n").alias("rows"), F.max("len").alias("top"), F.max_by("n", "len").alias("tops"))
     others = sizes.join(tops.select("uid", "top"), "uid").where("len < top").groupBy("uid").agg(F.max("len").alias("below"))

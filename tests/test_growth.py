@@ -7,7 +7,7 @@ from contextlib import contextmanager
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import lexical, losses
+from millrace.operators import advantage, lexical, losses
 from millrace.plans import catalog
 
 
@@ -78,6 +78,48 @@ def test_cut_among_equals(spark, share):
     assert found == {t[:2] for t in ranked[:k]}
 
 
+@pytest.mark.parametrize("dense", [False, True])
+def test_rows_of_baselines_are_made_once(spark, dense):
+    rows = spark.range(2000).selectExpr("id as row_id", "id % 90 as uid", *[f"transform(sequence(0, id % 4), j -> cast((id * 7 + j) % 5 as {kind})) as {c}" for c, kind in (("reward", "double"), ("old_logp", "double"), ("pi2", "double"), ("one", "int"))])
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    held = rows.withColumn("mask", F.transform("one", lambda v: F.lit(1))).withColumn("uid", counted.asNondeterministic()("uid"))
+    assert advantage.optimal_token_baseline(held, dense=dense).select(F.sum(F.size("advantages"))).first()[0] == 5000 and seen.value == 2000
+
+
+@pytest.mark.parametrize("dense", [False, True])
+def test_scans_of_baselines(spark, dense):
+    """Rows of all lengths against plain loops, exactly but for the exponential; after a null all is null."""
+    import math
+    import random
+
+    draw = random.Random(3)
+    rows = [(k, *[[draw.random() for _ in range(n)] for _ in range(4)], [draw.randint(0, 1) for _ in range(n)]) for k, n in enumerate([0, 1, 700, 300, *[draw.randint(0, 9) for _ in range(60)]])]
+    rows[2][1][5] = rows[3][2][7] = None
+    rows.append((99, None, [], [], [], []))
+    df = spark.createDataFrame(rows, "row_id long, reward array<double>, old_logp array<double>, pi2 array<double>, w array<double>, mask array<int>").repartition(2)
+    found = {r["row_id"]: r for r in advantage._baseline_arrays(df, "w", dense).collect()}
+    assert len(found) == len(rows) and all(found[99][c] is None for c in ("togo_", "grown_", "places_"))
+    for key, reward, logp, pi2, w, mask in rows[:-1]:
+        togo, s = [], 0.0
+        for r, m in zip(reward[::-1], mask[::-1], strict=True):
+            s = None if s is None or r is None else s + r * m
+            togo.append(s)
+        grown, s, places, place = [], 0.0, [], -1
+        for lp, p, x, m in zip(logp, pi2, w, mask, strict=True):
+            s = None if s is None or lp is None else s + (1 - 2 * math.exp(lp) + p) * (x * x) * m
+            place += m if dense else 1
+            grown.append(s)
+            places.append(place)
+        assert found[key]["togo_"] == togo[::-1] and found[key]["places_"] == places
+        assert len(grown) == len(found[key]["grown_"]) and all(a is b if b is None else a == pytest.approx(b, rel=1e-12) for a, b in zip(found[key]["grown_"], grown, strict=True))
+
+
 def test_sketches_are_not_held_by_key(spark, tmp_path):
     """The exact count's distinct keys take some bytes each in a task, not a sketch each."""
     spark.range(200_000).select(F.col("id").alias("l_partkey")).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
